@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edge = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edge, before = materialize(edge, "edges"), None
     while True:
-        state = edge.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
+        state = edge.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if state == before or not state[0]:
             return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edge.select("v", "v").distinct())
         before = state
