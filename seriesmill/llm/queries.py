@@ -8,7 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate
-from .common import read
+from .common import fresh_path, read
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95).withColumnRenamed("id", "vec_id")
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .wavelet import document_digests, read_token_shards, write_token_shards
+
+    path = fresh_path(spark, "token-shards")
+    write_token_shards(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return document_digests(read_token_shards(spark, path))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +57,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op3_token_shards": op3_token_shards,
     "op4_simhash": op4_simhash,
     "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
+#: Cosines of all pairs; equal to op1's links as far as hashing finds them, which it does for all but pairs close to the threshold.
+EMBEDDING_LINKS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v LEFT JOIN n ON v.vec_id = n.a JOIN c ON v.vec_id = c.a
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": EMBEDDING_LINKS_SQL,
     "op7_decontamination": decontaminate.ORACLE_SQL,
 }
