@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, url_filters
 from .common import fresh_path, read
 
 
@@ -17,6 +17,17 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95).withColumnRenamed("id", "vec_id")
 
 
+#: Rules of op2: host, path and action.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import filter_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return filter_urls(read(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,6 +45,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import describe, find_secrets
+
+    return describe(find_secrets(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
@@ -58,8 +75,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_url_filters": op2_url_filters,
     "op3_token_shards": op3_token_shards,
     "op4_simhash": op4_simhash,
+    "op5_secrets": op5_secrets,
     "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
@@ -78,5 +97,6 @@ FROM v LEFT JOIN n ON v.vec_id = n.a JOIN c ON v.vec_id = c.a
 
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": EMBEDDING_LINKS_SQL,
+    "op2_url_filters": url_filters.ORACLE_SQL,
     "op7_decontamination": decontaminate.ORACLE_SQL,
 }
