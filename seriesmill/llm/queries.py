@@ -51,12 +51,26 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(find_secrets(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_blocks import extract_pages, fit
+
+    pages = read(spark, sf_dir, "pages")
+    return extract_pages(pages, fit(pages)).withColumnRenamed("id", "page_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,7 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_shards": op3_token_shards,
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }

@@ -69,7 +69,7 @@ def candidates(text: Column, base: Column) -> Column:
     kept = F.filter(_places(text, RUN), lambda p: p["value"].rlike("[0-9]") & p["value"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
 
     def encoding(p: Column) -> Column:
-        value = F.translate(F.rtrim(F.lit("="), p["value"]), "-_", "+/")
+        value = F.translate(F.rtrim(p["value"], F.lit("=")), "-_", "+/")
         upper_hex = value.rlike("^[0-9A-F]+$")
         alphabet = F.when(value.rlike("^[0-9a-f]+$") | upper_hex, F.lit(HEX_DIGITS)).when(value.rlike("^[A-Z2-7]+$"), F.lit(BASE32)).when(value.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), F.lit(BASE36)).otherwise(F.lit(BASE64))
         folded = F.when(upper_hex | (~value.rlike("^[A-Z2-7]+$") & value.rlike("^[0-9A-Z]+$")), F.lower(value)).otherwise(value)
@@ -140,7 +140,11 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def describe(found: DataFrame) -> DataFrame:
     """Rows (id, n_assign, n_access, n_hex, base_sha256, spans) of find_secrets' rows: counts and listings of spans."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(3)]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in KINDS[:3]]
     return found.select("id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
