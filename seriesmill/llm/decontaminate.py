@@ -53,8 +53,10 @@ class WordHashes(Memo):
 
     def shingles(self, words: list[str], n: int) -> np.ndarray:
         """A hash for each run of n words."""
+        if len(words) < n:
+            return np.zeros(0, np.uint64)
         hashes = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+        out = np.zeros(len(words) - n + 1, np.uint64)
         for k in range(n):
             out += hashes[k : len(hashes) - n + 1 + k] * WEIGHTS[k]
         out ^= out >> np.uint64(32)

@@ -27,7 +27,7 @@ def test_equals_brute_force(spark):
                 passage[rng.randrange(len(passage))] = "zz"
             text[10:10] = passage
         docs.append((d, " ".join(text).upper() if d % 3 else " ".join(text)))
-    docs += [(200, None), (201, ""), (202, items[0][1] + " x" * 30000)]
+    docs += [(200, None), (201, ""), (203, "w1 w2 w3"), (204, "w1"), (202, items[0][1] + " x" * 30000)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
