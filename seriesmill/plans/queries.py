@@ -111,7 +111,7 @@ def src_archived_channels(spark, sf_dir):
     return io.archived_channels(views.ticks(spark, sf_dir), ["error"], registry)
 
 
-@register("SELECT 'q' AS mission_id, channel_id, count(*) AS n, round(sum(value), 3) AS total FROM (UNPIVOT (SELECT l_shipdate, l_quantity::FLOAT::DOUBLE AS l_quantity, l_extendedprice::FLOAT::DOUBLE AS l_extendedprice, l_discount::FLOAT::DOUBLE AS l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME channel_id VALUE value) GROUP BY 2".replace("'q' AS mission_id, ", ""))
+@register("SELECT channel_id, count(*) AS n, round(sum(value), 3) AS total FROM (UNPIVOT (SELECT l_shipdate, l_quantity::FLOAT::DOUBLE AS l_quantity, l_extendedprice::FLOAT::DOUBLE AS l_extendedprice, l_discount::FLOAT::DOUBLE AS l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME channel_id VALUE value) GROUP BY 1")
 def src_wide_to_long(spark, sf_dir):
     wide = views.table(spark, sf_dir, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
     return io.wide_to_long(wide, "l_shipdate", "q").groupBy("channel_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 3).alias("total"))
@@ -800,7 +800,7 @@ def rpt_stream_tally(spark, sf_dir):
     return reports.stream_tally(tm.scored(spark, sf_dir))
 
 
-@register(f"WITH {TICKS}, k AS (SELECT * FROM (SELECT *, (us - lag(us) OVER ({ORDER})) / 1e6 AS gap FROM t) WHERE gap IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY gap, tick_id) - 1 AS at, count(*) OVER (PARTITION BY channel_id) AS n FROM k) SELECT channel_id, count(*) AS n, round(max(gap) FILTER (at = least(n * 50 // 100, n - 1)), 6) AS p50, round(max(gap) FILTER (at = least(n * 90 // 100, n - 1)), 6) AS p90, round(max(gap) FILTER (at = least(n * 99 // 100, n - 1)), 6) AS p99, count(*) FILTER (gap > 3600) AS abnormal, round((max(us) FILTER (gap > 3600) - min(us) FILTER (gap > 3600)) / 1e6 / nullif(count(*) FILTER (gap > 3600) - 1, 0), 6) AS cadence_s FROM r GROUP BY 1")
+@register(f"WITH {TICKS}, k AS (SELECT * FROM (SELECT *, (us - lag(us) OVER ({ORDER})) / 1e6 AS gap FROM t) WHERE gap IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY gap, tick_id) - 1 AS place, count(*) OVER (PARTITION BY channel_id) AS n FROM k) SELECT channel_id, count(*) AS n, round(max(gap) FILTER (place = least(n * 50 // 100, n - 1)), 6) AS p50, round(max(gap) FILTER (place = least(n * 90 // 100, n - 1)), 6) AS p90, round(max(gap) FILTER (place = least(n * 99 // 100, n - 1)), 6) AS p99, count(*) FILTER (gap > 3600) AS abnormal, round((max(us) FILTER (gap > 3600) - min(us) FILTER (gap > 3600)) / 1e6 / nullif(count(*) FILTER (gap > 3600) - 1, 0), 6) AS cadence_s FROM r GROUP BY 1")
 def rpt_arrival_gaps(spark, sf_dir):
     return reports.arrival_gaps(views.ticks(spark, sf_dir), 3600)
 

@@ -35,9 +35,9 @@ def anomaly_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(channel_id, start, end, peak) of predicted runs."""
     df = scored(spark, sf_dir)
     found = runs.find_runs(df, "predicted").withColumnRenamed("start", "a").withColumnRenamed("end", "b")
-    inside = [df[k] == found[k] for k in KEYS] + [df["position"] >= found["a"], df["position"] < found["b"]]
-    joined = df.join(found, inside).select(df["channel_id"], found["a"].alias("start"), found["b"].alias("end"), df["smoothed"])
-    return joined.groupBy("channel_id", "start", "end").agg(F.max("smoothed").alias("peak"))
+    found = found.withColumnRenamed("channel_id", "c").drop("mission_id")
+    joined = df.join(found, (df["channel_id"] == found["c"]) & (df["position"] >= found["a"]) & (df["position"] < found["b"]))
+    return joined.groupBy("channel_id", F.col("a").alias("start"), F.col("b").alias("end")).agg(F.max("smoothed").alias("peak"))
 
 
 def profiles(spark: SparkSession, sf_dir: str, rows: int = 500) -> tuple[DataFrame, DataFrame]:
