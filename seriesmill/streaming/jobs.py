@@ -125,10 +125,15 @@ def drift_stream(grid: DataFrame, reference: dict[tuple, list[float]], size: int
     return grid.groupBy(*KEYS).applyInPandasWithState(run, schema, "v array<double>, n bigint, alerts int", "append", GroupStateTimeout.NoTimeout)
 
 
-def staleness(ticks: DataFrame, lost_s: float = 60.0, fatal_s: float = 5400.0, delay: str = "1 minute") -> DataFrame:
-    """(mission_id, event, us): lost once no channel has had a tick for lost_s, fatal after fatal_s, recovered with the next tick; by event time. Ticks of a mission are reduced to one row a second before the single state of the mission."""
-    seconds = ticks.withWatermark(TIME, delay).groupBy("mission_id", F.window(TIME, "1 second")).agg(F.min(F.unix_micros(TIME)).alias("first"), F.max(F.unix_micros(TIME)).alias("last"))
-    each = seconds.select("mission_id", "first", "last")
+def staleness(ticks: DataFrame, lost_s: float = 60.0, fatal_s: float = 5400.0) -> DataFrame:
+    """(mission_id, event, us): lost once no channel has had a tick for lost_s, fatal after fatal_s, recovered with the next tick; by event time, in order within a micro-batch, older ticks change nothing. Each partition's ticks are reduced to a row a second before they meet in the single state of the mission."""
+
+    def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            df = df.assign(second=df["us"] // 1_000_000)
+            yield df.groupby(["mission_id", "second"], as_index=False).agg(first=("us", "min"), last=("us", "max"))[["mission_id", "first", "last"]]
+
+    each = ticks.select("mission_id", F.unix_micros(TIME).alias("us")).mapInPandas(reduce, "mission_id string, first bigint, last bigint")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -139,7 +144,7 @@ def staleness(ticks: DataFrame, lost_s: float = 60.0, fatal_s: float = 5400.0, d
                 if first - last > fatal_s * 1e6:
                     out.append((key[0], "fatal", last + int(fatal_s * 1e6)))
                 out.append((key[0], "recovered", int(first)))
-            last = int(until)
+            last = int(until) if last is None else max(last, int(until))
         state.update((last,))
         yield pd.DataFrame(out, columns=["mission_id", "event", "us"])
 
