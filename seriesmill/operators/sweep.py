@@ -73,3 +73,9 @@ def tuned_parameters(channels: DataFrame, subsystems: DataFrame, tuned: DataFram
     chosen = tuned.select("mission_id", "subsystem", *(F.col(c).alias(f"__{c}") for c in default))
     joined = channels.select(*KEYS).distinct().join(subsystems, [*KEYS], "left").join(chosen, ["mission_id", "subsystem"], "left")
     return joined.select(*KEYS, "subsystem", *(F.coalesce(f"__{c}", F.lit(v)).alias(c) for c, v in default.items()))
+
+
+def score_with_parameters(errors: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Windows with residuals, scored with the parameters of their own channel (columns span, window, z and least_run of tuned_parameters), all channels in one job."""
+    rows = errors.join(parameters.select(*KEYS, *DEFAULT), [*KEYS])
+    return flag_anomalies(thresholds_by_row(smooth_errors(rows, F.col("span")), KEYS), F.col("least_run"))

@@ -350,6 +350,16 @@ def pre_split_at_outages(spark, sf_dir):
     return prepare.split_at_outages(grid).select("channel_id", "bucket_us", "is_los", "segment_id")
 
 
+GRID_SERIES = f"""{GRID}, {MASK[len(TICKS) + 2 :]}, hl AS (SELECT channel_id, bucket_us, value, coalesce(is_los, false) AS is_los FROM gr LEFT JOIN mk USING (bucket_us)),
+hc AS (SELECT *, (is_los <> lag(is_los, 1, false) OVER (PARTITION BY channel_id ORDER BY bucket_us))::INT AS ch FROM hl), hs AS (SELECT *, sum(ch) OVER (PARTITION BY channel_id ORDER BY bucket_us ROWS UNBOUNDED PRECEDING) AS segment_id, avg(value::DOUBLE) OVER (PARTITION BY channel_id) AS mean, stddev_samp(value::DOUBLE) OVER (PARTITION BY channel_id) AS std, min(bucket_us) OVER (PARTITION BY channel_id) AS mn, max(bucket_us) OVER (PARTITION BY channel_id) AS mx FROM hc)"""
+
+
+@register(f"WITH {GRID_SERIES} SELECT channel_id, CASE WHEN bucket_us <= mn + 0.8::DOUBLE * (mx - mn) THEN 'train' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT segment_id) AS segments, round(sum(((value::DOUBLE - mean) / std)::FLOAT::DOUBLE), 3) AS total FROM hs GROUP BY 1, 2")
+def pre_grid_series(spark, sf_dir):
+    out = tm.grid_series(views.ticks(spark, sf_dir), 3600, 300)
+    return out.groupBy("channel_id", "split").agg(F.count("*").alias("n"), F.countDistinct("segment_id").alias("segments"), F.round(F.sum(F.col("value_normalized").cast("double")), 3).alias("total"))
+
+
 # Features
 
 
@@ -498,6 +508,16 @@ def sco_status(spark, sf_dir):
     return scoring.channel_status(windows, models, models.where("channel_id != 'view'").select(*KEYS)).select("channel_id", "status")
 
 
+@register(f"WITH RECURSIVE {SCORED} SELECT channel_id, position, round(threshold, 4) AS threshold, predicted FROM sc")
+def sco_all_channels(spark, sf_dir):
+    windows, subs = tm.windows(spark, sf_dir), views.subsystems(spark, sf_dir)
+    tuned = subs.where("subsystem = 'payload'").select("mission_id", "subsystem").distinct().select("*", F.lit(tm.SPAN).alias("span"), F.lit(tm.WINDOW).alias("window"), F.lit(tm.Z).alias("z"), F.lit(tm.LEAST_RUN).alias("least_run"))
+    default = {"span": tm.SPAN, "window": tm.WINDOW, "z": tm.Z, "least_run": tm.LEAST_RUN}
+    parameters = sweep.tuned_parameters(windows, subs, tuned, default)
+    out = sweep.score_with_parameters(scoring.residuals(scoring.predict_persistence(windows)), parameters)
+    return out.select("channel_id", "position", F.round("threshold", 4).alias("threshold"), "predicted")
+
+
 # Runs and intervals
 
 

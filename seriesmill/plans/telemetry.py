@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.series import KEYS
-from ..operators import drift, prepare, runs, scoring
+from ..operators import drift, prepare, resample, runs, scoring
 from ..sources import views
 
 #: Parameters for the test tables.
@@ -43,3 +43,11 @@ def anomaly_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profiles(spark: SparkSession, sf_dir: str, rows: int = 500) -> tuple[DataFrame, DataFrame]:
     df = series(spark, sf_dir).drop("position")
     return drift.profile(df.where("split = 'train'"), rows, True), drift.profile(df.where("split = 'test'"), rows, False)
+
+
+def grid_series(ticks: DataFrame, seconds: int, mask_seconds: int, multiplier: float = 3.0, fraction: float = 0.8) -> DataFrame:
+    """Full preparation of ticks on a grid: resampled, outages marked, filled, segmented at gaps and outages, normalised, not labelled, split."""
+    grid = resample.attach_mask(resample.resample_to_grid(ticks, seconds), resample.outage_mask(ticks, mask_seconds, False))
+    rows = grid.withColumn("telemetry_timestamp", F.timestamp_micros("bucket_us")).withColumn("tick_id", F.lit(0).cast("bigint"))
+    segments = prepare.split_at_outages(prepare.detect_gaps(prepare.fill_nulls(rows), multiplier))
+    return prepare.split_by_time(prepare.normalize(segments).withColumn("is_anomaly", F.lit(False)), fraction)
