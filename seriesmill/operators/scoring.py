@@ -183,22 +183,21 @@ def prune(df: DataFrame, least_drop: float, keys=KEYS) -> DataFrame:
 
 def point_metrics(df: DataFrame, truth: str = "window_label", predicted: str = "predicted", keys=KEYS) -> DataFrame:
     t, p = F.col(truth), F.col(predicted)
-    counts = df.groupBy(*keys).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(t).alias("n_true"), F.count_if(p).alias("n_predicted"))
+    counts = df.groupBy(*keys).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(t).alias("n_true"), F.count_if(p).alias("n_predicted"), F.count("*").alias("n"))
     scored = counts.withColumn("precision", ratio(F.col("tp"), F.col("n_predicted"))).withColumn("recall", ratio(F.col("tp"), F.col("n_true")))
     return scored.withColumn("f1", f_score(F.col("precision"), F.col("recall"), 1.0)).withColumn("f05", f_score(F.col("precision"), F.col("recall"), 0.5))
 
 
 def segment_metrics(df: DataFrame, truth: str = "window_label", predicted: str = "predicted", keys=KEYS) -> DataFrame:
-    """Shares of true runs that any predicted run overlaps, and the converse."""
-    true_runs, predicted_runs = find_runs(df, truth, keys), find_runs(df, predicted, keys)
-
-    def met(a: DataFrame, b: DataFrame, total: str, hit: str) -> DataFrame:
-        other = b.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"))
-        on = [a[k] == other[k] for k in keys] + [a["start"] < other["e"], a["end"] > other["s"]]
-        hits = a.join(other, on, "left_semi").groupBy(*keys).agg(F.count("*").alias(hit))
-        return a.groupBy(*keys).agg(F.count("*").alias(total)).join(hits, [*keys], "left")
-
-    both = df.select(*keys).distinct().join(met(true_runs, predicted_runs, "seg_true", "hit_true"), [*keys], "left").join(met(predicted_runs, true_runs, "seg_predicted", "hit_predicted"), [*keys], "left").fillna(0)
+    """Shares of true runs that any predicted run overlaps, and the converse. Two runs overlap where a row has both flags, so each run only has to know whether one of its rows has the other."""
+    flags = df.select(*keys, "position", F.coalesce(truth, F.lit(False)).alias("t"), F.coalesce(predicted, F.lit(False)).alias("p"))
+    marked = mark_runs(mark_runs(flags, "t", "t_run", keys, "position"), "p", "p_run", keys, "position")
+    true_row = F.when(F.col("t"), F.struct(F.lit(True).alias("true_run"), F.col("t_run").alias("run"), F.col("p").alias("hit")))
+    predicted_row = F.when(F.col("p"), F.struct(F.lit(False).alias("true_run"), F.col("p_run").alias("run"), F.col("t").alias("hit")))
+    rows = marked.select(*keys, F.explode_outer(F.array_compact(F.array(true_row, predicted_row))).alias("r")).select(*keys, "r.*")
+    met = rows.groupBy(*keys, "true_run", "run").agg(F.bool_or("hit").alias("hit"))
+    is_true, hit = F.col("true_run"), F.col("hit")
+    both = met.groupBy(*keys).agg(F.count_if(is_true).alias("seg_true"), F.count_if(is_true & hit).alias("hit_true"), F.count_if(~is_true).alias("seg_predicted"), F.count_if(~is_true & hit).alias("hit_predicted"))
     scored = both.withColumn("seg_recall", ratio(F.col("hit_true"), F.col("seg_true"))).withColumn("seg_precision", ratio(F.col("hit_predicted"), F.col("seg_predicted")))
     return scored.withColumn("seg_f1", f_score(F.col("seg_precision"), F.col("seg_recall"), 1.0)).withColumn("seg_f05", f_score(F.col("seg_precision"), F.col("seg_recall"), 0.5))
 

@@ -53,9 +53,8 @@ def trials(errors: DataFrame, configs: DataFrame, subsystems: DataFrame, penalty
     first = evaluation_slice(errors.select(*KEYS, "position", "residual", "window_label"), "first", fraction)
     rows = first.join(F.broadcast(configs))
     flagged = flag_anomalies(thresholds_by_row(smooth_errors(rows, F.col("span"), keys=keys), keys), F.col("least_run"), keys)
-    points = point_metrics(flagged, keys=keys).select(*keys, "f05", "fp", "n_true")
-    n = flagged.groupBy(*keys).agg(F.count("*").alias("n"))
-    each = points.join(n, [*keys]).join(segment_metrics(flagged, keys=keys).select(*keys, "seg_f05"), [*keys])
+    points = point_metrics(flagged, keys=keys).select(*keys, "f05", "fp", "n_true", "n")
+    each = points.join(segment_metrics(flagged, keys=keys).select(*keys, "seg_f05"), [*keys])
     each = each.withColumn("false_rate", ratio(F.col("fp"), F.col("n") - F.col("n_true"))).join(subsystems, [*KEYS])
     means = each.groupBy("mission_id", "subsystem", "config").agg(*(F.avg(c).alias(c) for c in ("f05", "seg_f05", "false_rate")))
     return means.withColumn("objective", F.col("seg_f05") - F.col("false_rate") * penalty)

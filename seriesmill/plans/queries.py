@@ -483,7 +483,7 @@ SEGMENT_NUMBERS = "seg_true, hit_true, seg_predicted, hit_predicted, round(seg_r
 
 @register(f"WITH RECURSIVE {SCORED}, judged AS (SELECT channel_id, position, window_label AS t1, predicted AS p1 FROM sc), {POINTS} SELECT channel_id, tp, fp, fn, n_true, n_predicted, {NUMBERS} FROM pm")
 def sco_point_metrics(spark, sf_dir):
-    return scoring.point_metrics(tm.scored(spark, sf_dir))
+    return scoring.point_metrics(tm.scored(spark, sf_dir)).drop("n")
 
 
 @register(f"WITH RECURSIVE {SCORED}, judged AS (SELECT channel_id, position, window_label AS t1, predicted AS p1 FROM sc), {SEGMENTS} SELECT channel_id, {SEGMENT_NUMBERS} FROM sg")
@@ -493,7 +493,7 @@ def sco_segment_metrics(spark, sf_dir):
 
 @register(f"WITH RECURSIVE {SCORED}, judged AS (SELECT channel_id, position, window_label AS t1, predicted AS p1 FROM (SELECT *, floor(count(*) OVER (PARTITION BY channel_id) * 0.6::DOUBLE) AS cut FROM sc) WHERE position >= cut), {POINTS} SELECT channel_id, tp, fp, fn, n_true, n_predicted, {NUMBERS} FROM pm")
 def sco_late_metrics(spark, sf_dir):
-    return scoring.point_metrics(scoring.evaluation_slice(tm.scored(spark, sf_dir), "rest"))
+    return scoring.point_metrics(scoring.evaluation_slice(tm.scored(spark, sf_dir), "rest")).drop("n")
 
 
 @register()
