@@ -9,7 +9,9 @@ Null texts count as empty; a text without words gets the score of the constant a
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,11 +64,26 @@ class Model:
     def __init__(self, weights: np.ndarray | None = None, constant: float = -np.inf):
         self.weights, self.constant = weights, constant
 
-    def scores(self, texts: list[str], features: Features) -> np.ndarray:
-        if self.weights is None:
+
+class Scorer:
+    """Scores of whole texts. Only buckets with a weight are kept of each word, so a text's set of them is small."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.words = Memo(self._weighted, 400_000)
+
+    def _weighted(self, word: str) -> tuple[int, ...]:
+        found = _word_features(word)
+        return tuple(found[self.model.weights[found] != 0].tolist())
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if self.model.weights is None:
             return np.zeros(len(texts))
-        sums = np.array([self.weights[features.of(x)].sum(dtype=np.float64) for x in texts])
-        return 1 / (1 + np.exp(-np.clip(sums + self.constant, -500, 500)))
+        sums = np.zeros(len(texts))
+        for k, text in enumerate(texts):
+            buckets = set().union(*map(self.words.__getitem__, {*WORD.findall(text.lower())}))
+            sums[k] = math.fsum(self.model.weights[list(buckets)]) if buckets else 0.0
+        return 1 / (1 + np.exp(-np.clip(sums + self.model.constant, -500, 500)))
 
 
 def _train_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     # The sample has at most 2 * SAMPLE rows of two numbers.
     rows = texts.join(F.broadcast(sample), "id").select("toxic", "text").mapInArrow(_train_features, "toxic int, features binary").toArrow()
     toxic = np.array(rows.column(0).to_pylist(), np.float64)
-    found = [np.frombuffer(x, np.int32) for x in rows.column(1).to_pylist()]
-    order = sorted(range(len(found)), key=lambda k: (toxic[k], found[k].tobytes()))
+    found = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column(1)]
+    order = sorted(range(len(found)), key=lambda k: (toxic[k], zlib.crc32(found[k])))
     return fit_features(toxic[order], [found[k] for k in order])
 
 
@@ -98,18 +115,19 @@ def fit_features(toxic: np.ndarray, found: list[np.ndarray]) -> Model:
     toxic, found = toxic[keep], [found[k] for k in keep]
     if not len(toxic) or toxic.min() == toxic.max():
         return Model()
-    flat, sizes = np.concatenate(found), np.array([len(x) for x in found])
-    of = np.repeat(toxic, sizes)
-    ones, others = np.bincount(flat, of, BUCKETS) + 1, np.bincount(flat, 1 - of, BUCKETS) + 1
+    ones, others = np.ones(BUCKETS), np.ones(BUCKETS)
+    for x, y in zip(found, toxic, strict=True):
+        (ones if y else others)[x] += 1
     ratio = np.log(ones / (toxic.sum() + 2)) - np.log(others / ((1 - toxic).sum() + 2))
     # A feature of one text says nothing about others, and one as common in both little.
     ratio *= (ones + others >= 4) & (np.abs(ratio) >= LEAST_RATIO)
     used = np.flatnonzero(ratio)
-    place = np.zeros(BUCKETS, np.int64)
+    place = np.zeros(BUCKETS, np.int32)
     place[used] = np.arange(len(used))
-    flat_used = ratio[flat] != 0
-    rows = np.repeat(np.arange(len(found)), sizes)[flat_used]
-    columns, values = place[flat[flat_used]], ratio[flat[flat_used]]
+    found = [x[ratio[x] != 0] for x in found]
+    flat = np.concatenate(found)
+    rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
+    columns, values = place[flat], ratio[flat]
     # Rare labels count as much as common ones in the fit, the constant takes the share of either.
     weight = np.where(toxic == 1, WEIGHT / toxic.sum(), (1 - WEIGHT) / (1 - toxic).sum())
     w, constant, speed, constant_speed = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0
@@ -128,9 +146,9 @@ def fit_features(toxic: np.ndarray, found: list[np.ndarray]) -> Model:
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        scorer = Scorer(model)
         for batch in batches:
-            scores = model.scores([x or "" for x in batch.column(2).to_pylist()], features)
+            scores = scorer.scores([x or "" for x in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], ["id", "held_out", "score"])
 
     return run
@@ -149,8 +167,8 @@ def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> D
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        scorer = Scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array(model.scores([x or "" for x in batch.column(at).to_pylist()], features) < 0.5))
+            yield batch.filter(pa.array(scorer.scores([x or "" for x in batch.column(at).to_pylist()]) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

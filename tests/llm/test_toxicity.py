@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from seriesmill.llm.toxicity import Features, fit, fit_features, score, without_toxic
+from seriesmill.llm.toxicity import Features, Scorer, fit, fit_features, score, without_toxic
 
 
 def rows():
@@ -49,5 +49,5 @@ def test_edge_cases(spark):
     assert score(docs.limit(0), fit(docs, labels.limit(0))).count() == 0
     features = Features()
     assert len(features.of("")) == 0 and (features.of("ab ab") == features.of("AB")).all()
-    model = fit_features(np.array([0.0, 1.0, 0.0, 1.0]), [features.of(t) for t in ("good day", "bad lump", "good man", "bad lump")])
-    assert (model.scores(["bad lump", "good day"], features) >= 0.5).tolist() == [True, False]
+    model = fit_features(np.array([0.0, 1.0] * 8), [features.of(t) for t in ("good day", "bad lump", "good man", "bad lump") * 4])
+    assert (Scorer(model).scores(["bad lump", "good day"]) >= 0.5).tolist() == [True, False]
