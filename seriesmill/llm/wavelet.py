@@ -165,11 +165,28 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.cut = word_pieces(path)
-        self.known = Memo(lambda chunk: self.library_ids([chunk])[0], 300_000)
+        self.known = Memo(lambda chunk: self.library_ids([chunk])[0], 600_000)
+        vocabulary = self.cut.library.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def library_ids(self, chunks: list[str]) -> list[bytes]:
-        found = self.cut.library.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        """The ids of each chunk. Chunks of letters only are one word each, so many of them go to the library in one text, whose ids are cut at the tokens that end a word."""
+        out: dict[str, bytes] = {}
+        words = [c for c in chunks if c.isalpha()]
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
+            flat = np.array(self.cut.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[flat]) + 1
+            if len(ends) == len(part):  # else some letters fall apart when normalised
+                raw, at = flat.tobytes(), 0
+                for word, end in zip(part, (ends * 4).tolist(), strict=True):
+                    out[word] = raw[at:end]
+                    at = end
+        rest = [c for c in chunks if c not in out]
+        found = self.cut.library.encode_batch_fast(rest, add_special_tokens=False)
+        out.update(zip(rest, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
+        return [out[c] for c in chunks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [[(k % 2, [s] if k % 2 else self.cut.chunks(s)) for k, s in enumerate(self.cut.sections(x))] for x in texts]
@@ -187,39 +204,31 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encode(tokenizer: str, end_id: int, each: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, end = encoder(tokenizer), struct.pack("<I", end_id)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                ids = library.encode([x or "" for x in part.column(1).to_pylist()])
-                ids = [np.frombuffer(x + end, "<u4").astype(each).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
-
-    return run
-
-
-def _shards(each: str, shard_tokens: int):
+def _shards(tokenizer: str, end_id: int, each: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        library, end = encoder(tokenizer), struct.pack("<I", end_id)
         part, number, first, total, size = TaskContext.get().partitionId(), 0, 0, 0, np.dtype(each).itemsize
         ids, names = [], []
 
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+            found = library.encode([x or "" for x in batch.column(1).to_pylist()])
+            for name, x in zip(batch.column(0).to_pylist(), found, strict=True):
+                yield name, np.frombuffer(x + end, "<u4").astype(each).tobytes()
+
         def shard() -> pa.RecordBatch:
             values = np.frombuffer(b"".join(ids), each)
             row = {"part": part, "shard": number, "first": first, "n_ids": len(values), "file": write_shard(values, names, [len(x) // size for x in ids])}
             return pa.RecordBatch.from_pylist([row], SHARD_TYPES)
 
-        for batch in batches:
-            for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(x)
-                names.append(name)
-                total += len(x) // size
-                if total >= shard_tokens:
-                    yield shard()
-                    ids, names, total, number, first = [], [], 0, number + 1, first + total
+        for name, x in ((name, x) for batch in batches for k in range(0, batch.num_rows, 200) for name, x in encoded(batch.slice(k, 200))):
+            ids.append(x)
+            names.append(name)
+            total += len(x) // size
+            if total >= shard_tokens:
+                yield shard()
+                ids, names, total, number, first = [], [], 0, number + 1, first + total
         if ids:
             yield shard()
 
@@ -230,9 +239,9 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """Encode all texts and write them, in ascending order of ids, as shards: a table (part, shard, first, n_ids, file) in which part and shard give the order, and first the number of ids before a shard in its part."""
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     each = "<u4" if word_pieces(tokenizer).library.get_vocab_size() > 1 << 16 else "<u2"
-    encoded = source.mapInArrow(_encode(tokenizer, end_id, each), "id bigint, ids binary")
-    ordered = encoded.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("ids"))
-    shards = ordered.mapInArrow(_shards(each, shard_tokens), SHARD_SCHEMA)
+    # Texts are dealt out before they are encoded: finding the ranges reads the rows a first time, which must not encode them twice.
+    ordered = source.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    shards = ordered.mapInArrow(_shards(tokenizer, end_id, each, shard_tokens), SHARD_SCHEMA)
     shards.write.option("compression", "uncompressed").parquet(path)
 
 
