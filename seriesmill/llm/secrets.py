@@ -149,20 +149,22 @@ def describe(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_column: str = "text", size_column: str = "n_chars") -> DataFrame:
-    """The documents with every span replaced by a mark, and the size column, if there is one, brought up to date. Texts without spans stay as they are, nulls too."""
-    scanned = _scan(docs, [F.col(c) for c in docs.columns], F.col(text_column))
-    admitted = F.broadcast(admitted_steps(scanned.select(F.col("__runs").alias("runs"))))
-    text = F.col("__text")
-    found = scanned.join(admitted.withColumnRenamed("admitted", "__admitted")).withColumn("__spans", _all_spans(F.col("__base"), F.col("__runs"), F.col("__admitted")))
+    """The documents with every span replaced by a mark, and the size column, if there is one, brought up to date. Texts without spans stay as they are, nulls too. The rates need all texts before any is judged, so these are scanned for a small table of rates first, and once more to be changed; no copy of the texts is written."""
+    row = docs.select(F.struct("*").alias("row"))
+    scanned = _scan(row, [F.col("row")], F.col("row").getField(text_column)).select("row", F.col("__base").alias("base"), F.col("__runs").alias("runs"))
+    found = scanned.join(F.broadcast(materialize(admitted_steps(scanned), "secrets")))
+    found = found.select("row", F.coalesce(F.col("row").getField(text_column), F.lit("")).alias("text"), _all_spans(F.col("base"), F.col("runs"), F.col("admitted")).alias("spans"))
+    text = F.col("text")
 
     def step(state: Column, span: Column) -> Column:
         between = F.concat(state["out"], F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(MARK))
         return F.struct(F.when(span["start"] >= state["at"], between).otherwise(state["out"]).alias("out"), F.greatest(state["at"], span["end"]).alias("at"))
 
-    cut = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    changed = F.size("__spans") > 0
-    found = found.withColumn("__cut", F.when(changed, cut))
-    out = {text_column: F.when(changed, F.col("__cut")).otherwise(F.col(text_column))}
+    cut = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    found = found.select("row", F.when(F.size("spans") > 0, cut).alias("cut"))
+    changed = F.col("cut").isNotNull()
+    out = F.col("row").withField(text_column, F.when(changed, F.col("cut")).otherwise(F.col("row").getField(text_column)))
     if size_column in docs.columns:
-        out[size_column] = F.when(changed, F.length("__cut").cast(docs.schema[size_column].dataType)).otherwise(F.col(size_column))
-    return found.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+        size = F.length("cut").cast(docs.schema[size_column].dataType)
+        out = out.withField(size_column, F.when(changed, size).otherwise(F.col("row").getField(size_column)))
+    return found.select(out.alias("row")).select("row.*")
