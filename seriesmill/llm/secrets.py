@@ -83,25 +83,39 @@ def candidates(text: Column, base: Column) -> Column:
         high = F.size(F.filter(p["v"], lambda x: x >= p["k"] / 2)).cast("double")
         return F.struct(*[p[c].alias(c) for c in ("start", "end", "k", "v")], n.cast("double").alias("n"), pairs.alias("pairs"), follow.alias("follow"), mean.alias("mean"), high.alias("high"))
 
-    def tests(p: Column) -> Column:
-        n, all_pairs = p["n"], p["n"] * (p["n"] - 1) / 2
-        equal = (p["pairs"] - all_pairs / p["k"]) / F.sqrt(all_pairs / p["k"] * (F.lit(1.0) - F.lit(1.0) / p["k"]))
+    # Each step names what the next one uses more than once, so the expression stays small.
+    def moments(p: Column) -> Column:
+        n = p["n"]
         runs = F.size(F.filter(p["follow"], lambda f: (f["a"] >= p["k"] / 2) != (f["b"] >= p["k"] / 2))).cast("double") + 1
         expected = p["high"] * (n - p["high"]) * 2 / n + 1
-        spread = (expected - 1) * (expected - 2) / (n - 1)
-        by_runs = F.when(spread > 0, F.try_divide(runs - expected, F.sqrt(spread))).otherwise(F.lit(9.0))
         square = F.aggregate(p["v"], F.lit(0.0), lambda total, x: total + (x - p["mean"]) * (x - p["mean"]))
         product = F.aggregate(p["follow"], F.lit(0.0), lambda total, f: total + (f["a"] - p["mean"]) * (f["b"] - p["mean"]))
-        serial = F.when(square > 0, (F.try_divide(product, square) + F.lit(1.0) / n) * F.sqrt(n)).otherwise(F.lit(9.0))
+        share = F.greatest(F.lit(2.0) / p["k"], F.lit(PROSE_PAIRS))
+        named = {"all": n * (n - 1) / 2, "runs": runs, "expected": expected, "square": square, "product": product, "share": share}
+        return F.struct(*[p[c].alias(c) for c in ("start", "end", "k", "n", "pairs")], *[c.alias(name) for name, c in named.items()])
+
+    def deviations(p: Column) -> Column:
+        n, chance, common = p["n"], p["all"] / p["k"], p["all"] * p["share"]
+        equal = (p["pairs"] - chance) / F.sqrt(chance * (F.lit(1.0) - F.lit(1.0) / p["k"]))
+        spread = (p["expected"] - 1) * (p["expected"] - 2) / (n - 1)
+        by_runs = F.when(spread > 0, F.try_divide(p["runs"] - p["expected"], F.sqrt(spread))).otherwise(F.lit(9.0))
+        serial = F.when(p["square"] > 0, (F.try_divide(p["product"], p["square"]) + F.lit(1.0) / n) * F.sqrt(n)).otherwise(F.lit(9.0))
+        structure = (common - p["pairs"]) / F.sqrt(common * (F.lit(1.0) - p["share"]))
+        return F.struct(p["start"].alias("start"), p["end"].alias("end"), n.alias("n"), F.array(equal, F.abs(by_runs), F.abs(serial), structure).alias("z"))
+
+    def tails(p: Column) -> Column:
+        return F.struct(p["start"].alias("start"), p["end"].alias("end"), p["n"].alias("n"), F.transform(p["z"], _upper_tail).alias("t"))
+
+    def judged(p: Column) -> Column:
         least = F.lit(1e-300)
-        p1, p2, p3 = F.greatest(_upper_tail(equal), least), F.greatest(_upper_tail(F.abs(by_runs)) * 2, least), F.greatest(_upper_tail(F.abs(serial)) * 2, least)
-        half = -(F.log(p1) + F.log(F.least(p2, F.lit(1.0))) + F.log(F.least(p3, F.lit(1.0))))
+        equal, by_runs, serial, structure = (F.get(p["t"], F.lit(k)) for k in range(4))
+        half = -(F.log(F.greatest(equal, least)) + F.log(F.least(F.greatest(by_runs * 2, least), F.lit(1.0))) + F.log(F.least(F.greatest(serial * 2, least), F.lit(1.0))))
         random = F.exp(-half) * (half * half / 2 + half + 1)
-        share = F.greatest(F.lit(2.0) / p["k"], F.lit(PROSE_PAIRS))
-        structure = F.greatest(_upper_tail((all_pairs * share - p["pairs"]) / F.sqrt(all_pairs * share * (F.lit(1.0) - share))), least)
-        return F.struct(p["start"].alias("start"), p["end"].alias("end"), F.floor(F.log2(n)).cast("int").alias("class"), F.floor(-F.log10(structure) * 4).cast("int").alias("step"), random.alias("random"))
+        step = F.floor(-F.log10(F.greatest(structure, least)) * 4).cast("int")
+        return F.struct(p["start"].alias("start"), p["end"].alias("end"), F.floor(F.log2(p["n"])).cast("int").alias("class"), step.alias("step"), random.alias("random"))
 
-    return F.transform(F.transform(F.transform(kept, encoding), sums), tests)
+    found = F.transform(F.transform(kept, encoding), sums)
+    return F.transform(F.transform(F.transform(F.transform(found, moments), deviations), tails), judged)
 
 
 def admitted_steps(scanned: DataFrame) -> DataFrame:
