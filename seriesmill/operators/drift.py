@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,19 +81,83 @@ def quality_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return every.groupBy(*KEYS, "feature").agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), *percent, F.max("x").alias("most"))
 
 
+def rolling_features(df: DataFrame, value: str = "value_normalized", interval: float = 1.0) -> DataFrame:
+    """(keys, position, value, change): the value and its change since the row before by the interval."""
+    now = F.col(value).cast("double")
+    return df.select(*KEYS, "position", now.alias("value"), ((now - F.lag(now).over(series(KEYS, "position"))) / interval).alias("change"))
+
+
 def rolling_drift(df: DataFrame, reference: DataFrame, size: int = 256, every: int = 10, value: str = "value_normalized", interval: float = 1.0) -> DataFrame:
-    """(keys, position, feature, score): drift of the last `size` rows against the reference, every so many rows once there are enough. Features are the value and its change by the interval."""
-    order = series(KEYS, "position")
-    base = df.select(*KEYS, "position", F.col(value).cast("double").alias("value")).withColumn("change", (F.col("value") - F.lag("value").over(order)) / interval)
-    at = base.where((F.col("position") >= size - 1) & (F.pmod(F.col("position") - (size - 1), F.lit(every)) == 0)).select(*KEYS, F.col("position").alias("evaluated"))
-    # Each row goes to the evaluations whose window holds it, at most size / every of them.
-    first = F.ceil((F.col("position") - (size - 1)) / every) * every + size - 1
-    steps = F.sequence(F.greatest(first, F.lit(size - 1)), F.col("position") + size - 1, F.lit(every))
-    spread = base.select(*KEYS, "value", "change", F.explode(F.filter(steps, lambda p: p >= F.col("position"))).alias("evaluated")).join(at, [*KEYS, "evaluated"], "left_semi")
-    long = spread.unpivot([*KEYS, "evaluated"], ["value", "change"], "feature", "x").where("x is not null")
-    evaluations = long.select(*KEYS, "feature", "evaluated").distinct()
-    known = reference.join(evaluations, [*KEYS, "feature"]).select(*KEYS, "evaluated", "feature", "x")
-    return wasserstein(known, long, (*KEYS, "evaluated", "feature")).withColumnRenamed("evaluated", "position")
+    """(keys, position, feature, score): drift of the last `size` rows against the reference, every so many rows once there are enough. Features are the value and its change by the interval; the first row of a window has no change, and a feature that lacks values on a side scores 0.
+
+    reference: keys, feature, x. It is counted once for each (keys, feature); each row then looks up how much of it lies at or below its own value. The area between two distribution functions is also that between their inverses, so an evaluation with n values needs these lookups and the integral of the reference's inverse at the n levels only.
+    """
+    keys, order, rows = (*KEYS, "feature"), series(KEYS, "position"), 10 * size
+    base = rolling_features(df, value, interval)
+    base = base.select("*", *(F.count(c).over(so_far(order)).alias(f"so_far_{c}") for c in ("value", "change")))
+    held = {"value": F.col("so_far_value") - F.coalesce(F.lag("so_far_value", size).over(order), F.lit(0)), "change": F.col("so_far_change") - F.lag("so_far_change", size - 1).over(order)}
+    evaluated = (F.col("position") >= size - 1) & (F.pmod(F.col("position") - (size - 1), F.lit(every)) == 0)
+    base = base.select("*", *(F.when(evaluated, n).alias(f"n_{c}") for c, n in held.items()))
+    long = base.select(*KEYS, "position", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("x"), F.col(f"n_{c}").alias("n")) for c in held))))
+    long = long.where("x is not null or n is not null")
+
+    counted = reference.where("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("r"))
+    # Of equal values the reference's comes first, so that running sums hold all of it.
+    both = long.select(*keys, "position", "x", "n", F.lit(0).cast("bigint").alias("r")).unionByName(counted, allowMissingColumns=True)
+    running = so_far(series(keys, "x", F.desc("r")))
+    sums = [F.sum("r").over(running).alias("below"), F.sum(F.col("r") * F.col("x")).over(running).alias("area")]
+    located = both.select(*keys, "position", "x", "n", "r", *sums).where("r = 0").drop("r")
+
+    wanted = long.where("n > 0").select(*keys, "n", F.floor(F.col("position") / rows).alias("block")).distinct()
+    totals = reference.where("x is not null").groupBy(*keys).agg(F.count("*").alias("total"), F.stddev_pop("x").alias("spread"))
+    steps = counted.select(*keys, "x", "r", *sums).join(wanted.select(*keys, "n").distinct(), [*keys]).join(totals, [*keys])
+    # Level i / n lies on the step that takes the count above i * total / n.
+    steps = steps.withColumn("first", F.expr("(below - r) * n div total + 1")).withColumn("last", F.expr("below * n div total")).where("first <= last")
+    steps = steps.withColumn("i", F.explode(F.sequence("first", "last"))).withColumn("level", F.expr("(area - r * x + (i * total / n - (below - r)) * x) / total"))
+    curves = steps.groupBy(*keys, "n", "total", "spread").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "level"))), lambda s: s["level"]).alias("curve"))
+
+    block = F.explode(F.sequence(F.floor(F.col("position") / rows), F.floor((F.col("position") + size - 1) / rows))).alias("block")
+    parts = located.select("*", block).unionByName(wanted.join(curves, [*keys, "n"]), allowMissingColumns=True)
+    kinds = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in KEYS)
+    return parts.groupBy(*keys, "block").applyInArrow(_rolling_scores(size, rows), f"{kinds}, position bigint, feature string, score double")
+
+
+def _rolling_scores(size: int, rows: int):
+    """The scores of one block of a series' feature from its located rows and its reference curves (rows without a position)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        feature, block = key[-2].as_py(), key[-1].as_py()
+        width, low = size - (feature == "change"), max(0, block * rows - size + 1)
+        curves = {r["n"]: r for r in table.filter(pc.is_null(table["position"])).select(["n", "curve", "total", "spread"]).to_pylist()}
+        table = table.filter(pc.is_valid(table["position"]))
+        position = table["position"].to_numpy()
+        dense = np.full((3, (block + 1) * rows - low), np.nan)
+        dense[:, position - low] = [table[c].cast(pa.float64()).fill_null(np.nan).to_numpy() for c in ("x", "below", "area")]
+        n = table["n"].fill_null(-1).to_numpy()
+        own = (n >= 0) & (position >= block * rows)
+        at, n = position[own], n[own]
+        scores = np.zeros(len(at))
+        for k in set(n.tolist()) & set(curves):
+            these = n == k
+            x, below, area = dense[:, (at[these] - low - width + 1)[:, None] + np.arange(width)]
+            order = np.argsort(x, axis=1)[:, :k]  # nan is last
+            x, below, area = (np.take_along_axis(v, order, 1) for v in (x, below, area))
+            a, b, curve = np.arange(k) / k, np.arange(1, k + 1) / k, np.array([0.0, *curves[k]["curve"]])
+            share = below / curves[k]["total"]
+            until = np.where(share <= a, curve[:-1], np.where(share >= b, curve[1:], area / curves[k]["total"]))
+            areas = x * (2 * np.clip(share, a, b) - a - b) + curve[:-1] + curve[1:] - 2 * until
+            scores[these] = areas.sum(axis=1) / max(curves[k]["spread"], FLOOR)
+        columns = [pa.array([k.as_py()] * len(at), k.type) for k in key[:-2]]
+        return pa.table([*columns, pa.array(at, pa.int64()), pa.array([feature] * len(at), pa.string()), pa.array(scores)], [*KEYS, "position", "feature", "score"])
+
+    return run
+
+
+def rolling_snapshots(scores: DataFrame, threshold: float = 0.1, share: float = 0.3) -> DataFrame:
+    """(keys, position, features, share, alert): the features of each evaluation with scores and flags, and a live alert from a share of drifted ones on."""
+    flagged = scores.withColumn("drifted", F.col("score") >= threshold)
+    found = flagged.groupBy(*KEYS, "position").agg(F.sort_array(F.collect_list(F.struct("feature", "score", "drifted"))).alias("features"), F.avg(F.col("drifted").cast("double")).alias("share"))
+    return found.withColumn("alert", F.col("share") >= share)
 
 
 def confirm(alerts: DataFrame, consecutive: int, alert: str = "alert", order: str = "position") -> DataFrame:

@@ -696,15 +696,16 @@ def drf_quality(spark, sf_dir):
 
 
 def _rolling(spark, sf_dir):
+    """Evaluations every ten rows of both features, against nominal rows of the train split in the same units."""
     df = tm.series(spark, sf_dir)
-    reference = df.where("split = 'train' and not is_anomaly").select(*KEYS, F.lit("value").alias("feature"), F.col("value_normalized").cast("double").alias("x"))
-    scores = drift.rolling_drift(df, reference, 256, 100)
-    return scores.where("feature = 'value'").withColumn("alert", F.col("score") >= 0.12)
+    reference = drift.long_form(drift.rolling_features(df.where("split = 'train' and not is_anomaly")), ["value", "change"])
+    return drift.rolling_snapshots(drift.rolling_drift(df, reference), 0.12)
 
 
 @register()
 def drf_rolling(spark, sf_dir):
-    return drift.confirm(_rolling(spark, sf_dir), 2)
+    found = drift.confirm(_rolling(spark, sf_dir), 2)
+    return found.select(*KEYS, "position", F.inline("features"), "share", "alert", "confirmed")
 
 
 @register()

@@ -1,12 +1,15 @@
 """Operators on tiny frames with known results."""
 
+import os
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seriesmill.functions import features
 from seriesmill.operators import drift, inject, prepare, profile, reports, resample, runs, scoring, sweep
+from seriesmill.plans import queries
 from seriesmill.sources import io
 
 START = datetime(2000, 1, 1)
@@ -165,6 +168,40 @@ def test_wasserstein(spark):
     assert drift.wasserstein(a, b.limit(0)).first()["score"] == 0
 
 
+def test_rolling_drift_equals_numpy(spark):
+    values = [None if k in (41, 42) else float(k * 7919 % 13) - 5 for k in range(500)]
+    df = positioned(spark, values, "value_normalized double")
+    known = {"value": [float(k * k % 11) - 4 for k in range(70)], "change": [float(k % 7) / 2 for k in range(50)]}
+    reference = spark.createDataFrame([("m", "c", f, x) for f, xs in known.items() for x in xs], "mission_id string, channel_id string, feature string, x double")
+    got = {(r.position, r.feature): r.score for r in drift.rolling_drift(df, reference, 32, 10, interval=2.0).collect()}
+    x = np.array([np.nan if v is None else v for v in values])
+    assert {p for p, _ in got} == set(range(31, 500, 10)) and len(got) == 2 * len(range(31, 500, 10))
+    for (p, feature), score in got.items():
+        now = x[p - 31 : p + 1]
+        now = np.diff(now) / 2 if feature == "change" else now
+        ref, now = np.sort(known[feature]), np.sort(now[~np.isnan(now)])
+        at = np.unique(np.concatenate((ref, now)))
+        gap = np.abs(np.searchsorted(ref, at, "right") / len(ref) - np.searchsorted(now, at, "right") / len(now))
+        assert score == pytest.approx((gap[:-1] * np.diff(at)).sum() / ref.std(), abs=1e-9)
+    alone = drift.rolling_drift(df, reference.where("feature = 'value'"), 32, 10).where("feature = 'change'")
+    assert {r.score for r in alone.collect()} == {0.0}
+
+
+def test_a_change_that_drifts_alerts(spark):
+    scores = spark.createDataFrame([("m", "c", p, f, s) for p, v, c in ((255, 0.0, 0.2), (265, 0.0, 0.2), (275, 0.0, 0.0)) for f, s in (("value", v), ("change", c))], "mission_id string, channel_id string, position long, feature string, score double")
+    out = drift.confirm(drift.rolling_snapshots(scores), 2).orderBy("position").collect()
+    assert [(r.share, r.alert, r.confirmed) for r in out] == [(0.5, True, False), (0.5, True, True), (0.0, False, False)]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_registered_rolling_drift_is_whole(spark):
+    rows = queries.QUERIES["drf_rolling"](spark, "/root/testdata/sf0.01").collect()
+    for channel in {r.channel_id for r in rows}:
+        for feature in ("value", "change"):
+            at = sorted(r.position for r in rows if (r.channel_id, r.feature) == (channel, feature))
+            assert at == [*range(255, at[-1] + 1, 10)] and len(at) > 100
+
+
 def test_faults(spark):
     df = positioned(spark, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0], "value_normalized float")
     faults = spark.createDataFrame([("m", "c", "spike", 1, 2, 3.0), ("m", "c", "drift", 3, 7, 4.0), ("m", "c", "flatline", 8, 10, None)], "mission_id string, channel_id string, type string, start long, end long, magnitude double")
