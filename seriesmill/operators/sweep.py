@@ -28,6 +28,12 @@ def clamp_configs(configs: DataFrame, bounds: dict = BOUNDS) -> DataFrame:
     return configs
 
 
+def with_default(configs: DataFrame, config: int, bounds: dict = BOUNDS, default: dict = DEFAULT) -> DataFrame:
+    """The configurations and, under the given number, the default clamped into the bounds."""
+    row = configs.sparkSession.range(1).select(F.lit(config).alias("config"), *(F.lit(default[name]).alias(name) for name in bounds))
+    return configs.unionByName(clamp_configs(row, bounds))
+
+
 def thresholds_by_row(df: DataFrame, keys) -> DataFrame:
     """threshold with window and z from columns: from running sums about the series' mean, and those of `window` rows before."""
     order = series(keys, "position")

@@ -624,11 +624,11 @@ def inj_class_profiles(spark, sf_dir):
 # Sweeps
 
 
-def _sweep(spark, sf_dir, n=8):
-    configs = sweep.clamp_configs(sweep.sample_configs(spark, n, seed=3))
-    configs = configs.withColumn("window", F.col("window") % 40 + 10).withColumn("least_run", F.lit(2))
+def _sweep(spark, sf_dir, n=50):
+    """Configurations sampled in the bounds, then the clamped default as the last, and their trials."""
+    configs = sweep.with_default(sweep.sample_configs(spark, n, seed=3), n)
     errors = scoring.residuals(scoring.predict_persistence(tm.windows(spark, sf_dir)))
-    return configs, sweep.trials(errors, configs, views.subsystems(spark, sf_dir))
+    return configs, sweep.trials(errors, configs, views.subsystems(spark, sf_dir)), n
 
 
 @register()
@@ -638,8 +638,8 @@ def swp_trials(spark, sf_dir):
 
 @register()
 def swp_best(spark, sf_dir):
-    configs, results = _sweep(spark, sf_dir)
-    return sweep.best_configs(results, configs, 0)
+    configs, results, default = _sweep(spark, sf_dir)
+    return sweep.best_configs(results, configs, default)
 
 
 @register(f"WITH {SUBSYSTEMS} SELECT channel_id, subsystem, CASE WHEN subsystem = 'payload' THEN 12 ELSE 30 END AS span, CASE WHEN subsystem = 'payload' THEN 60 ELSE 250 END AS \"window\", CASE WHEN subsystem = 'payload' THEN 2.5 ELSE 3.0 END::DOUBLE AS z, CASE WHEN subsystem = 'payload' THEN 2 ELSE 3 END AS least_run FROM sub")

@@ -231,6 +231,23 @@ def test_sweep_thresholds_equal_the_plain_frame(spark):
     assert all(5 <= c.span < 100 and 50 <= c.window < 500 and 2.5 <= c.z <= 5 and 1 <= c.least_run < 10 for c in configs)
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
+def test_registered_sweep_is_whole(spark):
+    configs, _, default = queries._sweep(spark, "/root/testdata/sf0.001")
+    rows = {c.config: c.asDict() for c in configs.collect()}
+    assert rows.pop(default) == {"config": default, **sweep.DEFAULT} and len(rows) == 50
+    for name, (a, b) in sweep.BOUNDS.items():
+        values = [c[name] for c in rows.values()]
+        assert min(values) >= a and max(values) <= b and max(values) - min(values) > (b - a) / 2
+
+
+def test_default_is_clamped_and_stays_when_as_good(spark):
+    configs = sweep.with_default(sweep.sample_configs(spark, 2), 2, sweep.LIVE_BOUNDS)
+    assert configs.where("config = 2").first().asDict() == {"config": 2, **sweep.DEFAULT, "window": 249}
+    results = spark.createDataFrame([("m", s, c, o) for s, o2 in (("same", 0.5), ("worse", 0.4)) for c, o in ((0, 0.5), (1, 0.1), (2, o2))], "mission_id string, subsystem string, config int, objective double")
+    assert {r.subsystem: r.config for r in sweep.best_configs(results, configs, 2).collect()} == {"same": 2, "worse": 0}
+
+
 def test_profiles_and_columns(spark):
     df = frame(spark, [(k, 1.0) for k in range(20)], "value float")
     assert profile.suitability(df, least_rows=10).first()["status"] == "constant"
