@@ -4,7 +4,7 @@ A page is cut into leaf blocks, the stretches of text between block-level tags.
 
 The labeller is trained here on a bounded sample of pages (`SAMPLE`, those with the smallest hashes of their ids). Its labels come from what pages say of themselves: text in an article or main element is main text, unless an element on its path is a menu, header, footer, sidebar, form, notice, advert or comment by its name, class or id; pages that say nothing of the kind are not learnt from. So that the labeller does not depend on one way of naming things, each page is also learnt from in changed forms: main elements renamed to divisions with usual classes, path names left out at random, and blocks of the kinds that do not belong put in between, made of the page's own words.
 
-Scripts, styles, comments, head and the like are never text. Character references are decoded, white space inside a block becomes one space, and blocks are joined in page order by a line feed. Null html counts as empty. A page without blocks has an empty text. Pages of any length are read whole, sequences of more than `WINDOW` blocks in windows that overlap by half, each block labelled where it stands nearest the middle. Repeated rows give repeated results. An empty table gives an empty result; without pages to learn from, all blocks that no name on their path rules out are main text. Only the named columns are read, so further columns may have any name.
+Scripts, styles, comments, head and the like are never text. Character references are decoded, white space inside a block becomes one space, and blocks are joined in page order by a line feed. Null html counts as empty. A page without blocks has an empty text. All words of a block count, and pages of any length are read whole, each as one sequence, so every block has the whole page as context. For training only, a page is cut to its first `TRAIN_CHARS` characters and `TRAIN_BLOCKS` blocks and learnt from in pieces of `TRAIN_STEPS` blocks. Repeated rows give repeated results. An empty table gives an empty result; without pages to learn from, all blocks that no name on their path rules out are main text. Only the named columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ SAMPLE = 160
 PATH_SIZE, WORD_SIZE, FORM_SIZE, HIDDEN = 48, 24, 8, 16
 INPUT = PATH_SIZE + WORD_SIZE + FORM_SIZE
 ROUNDS, BATCH, RATE, SEED = 5, 32, 0.02, 7
-WINDOW = 512
+#: What is read of a page in training, and the blocks of a sequence there; extraction has no such bounds.
+TRAIN_CHARS, TRAIN_BLOCKS, TRAIN_STEPS = 200_000, 512, 64
+#: Pages and steps times pages of one pass; a page of more steps goes alone.
+PASS_PAGES, PASS_CELLS = 128, 65_536
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.DOTALL)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -123,6 +126,12 @@ def _slot(word: str, size: int) -> tuple[int, float]:
     return h % size, 1.0 if h >> 40 & 1 else -1.0
 
 
+def _word_slot(word: str) -> int:
+    """The slot of a word, in the second half if its sign is negative."""
+    slot, sign = _slot(word, WORD_SIZE)
+    return slot if sign > 0 else slot + WORD_SIZE
+
+
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     out = np.zeros(PATH_SIZE, np.float32)
     for depth, label in enumerate(reversed(path)):
@@ -138,16 +147,15 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
 class Vectors:
     def __init__(self):
         self.paths = Memo(_path_vector, 20_000)
-        self.slots = Memo(lambda word: _slot(word, WORD_SIZE), 100_000)
+        self.slots = Memo(_word_slot, 100_000)
 
     def of(self, found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
         out = np.zeros((len(found), INPUT), np.float32)
         for k, (path, text, linked) in enumerate(found):
             out[k, :PATH_SIZE] = self.paths[path]
-            words = text.lower().split(" ", 16)[:16]
-            for word in words:
-                slot, sign = self.slots[word]
-                out[k, PATH_SIZE + slot] += sign / len(words)
+            words = text.lower().split(" ")
+            counts = np.bincount([self.slots[word] for word in words], minlength=2 * WORD_SIZE)
+            out[k, PATH_SIZE : PATH_SIZE + WORD_SIZE] = (counts[:WORD_SIZE] - counts[WORD_SIZE:]) / len(words)
             n = len(text)
             out[k, PATH_SIZE + WORD_SIZE :] = (np.log1p(n) / 8, linked, min(1.0, sum(map(text.count, ".!?")) / 5), text[-1] in ".!?\"”»", "©" in text, k / len(found), n < 25, 1.0)
         return out
@@ -166,8 +174,8 @@ class Labeller:
         self.p = {f"{side}{name}": value for side in "fb" for name, value in (("x", scale(INPUT, 4 * HIDDEN)), ("h", scale(HIDDEN, 4 * HIDDEN)), ("c", np.repeat(np.array([0, 1, 0, 0], np.float32), HIDDEN)))}
         self.p |= {"o": scale(2 * HIDDEN + INPUT, 1)[:, 0], "k": np.zeros(1, np.float32)}
 
-    def _pass(self, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """Hidden states (steps, batch, HIDDEN) of x (steps, batch, INPUT); a step whose mask is 0 leaves the state as it was."""
+    def _pass(self, side: str, x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Hidden states (steps, batch, HIDDEN) of x (steps, batch, INPUT), and what their gradient needs if it is to be kept; a step whose mask is 0 leaves the state as it was."""
         steps, batch, _ = x.shape
         given = x @ self.p[side + "x"] + self.p[side + "c"]
         h = c = np.zeros((batch, HIDDEN), np.float32)
@@ -177,14 +185,16 @@ class Labeller:
             gates = sigmoid(z[:, : 3 * HIDDEN])
             i, f, o, g = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
             new, m = f * c + i * g, mask[t][:, None]
-            kept.append((t, h, c, i, f, o, g, np.tanh(new), m))
+            tanh = np.tanh(new)
+            if keep:
+                kept.append((t, h, c, i, f, o, g, tanh, m))
             c = np.where(m > 0, new, c)
-            h = np.where(m > 0, o * kept[-1][7], h)
+            h = np.where(m > 0, o * tanh, h)
             out[t] = h
         return out, kept
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        joined = np.concatenate([self._pass("f", x, mask)[0], self._pass("b", x, mask)[0], x], axis=2)
+        joined = np.concatenate([self._pass("f", x, mask, False)[0], self._pass("b", x, mask, False)[0], x], axis=2)
         return joined @ self.p["o"] + self.p["k"][0]
 
     def _back(self, side: str, x: np.ndarray, kept: list, d_out: np.ndarray, grad: dict) -> None:
@@ -235,21 +245,16 @@ class Labeller:
 
     def main_text(self, pages: list[list], vectors: Vectors) -> list[np.ndarray]:
         """For each page, which of its blocks are main text."""
-        windows = []
-        for k, found in enumerate(pages):
-            x = vectors.of(found)
-            for start in range(0, max(1, len(found) - WINDOW // 2), WINDOW // 2):
-                windows.append((k, start, x[start : start + WINDOW]))
         out = [np.zeros(len(found), bool) for found in pages]
-        windows.sort(key=lambda w: len(w[2]))
-        for a in range(0, len(windows), 128):
-            part = [w for w in windows[a : a + 128] if len(w[2])]
-            if not part:
-                continue
-            scores = self.scores(*padded([w[2] for w in part]))
-            for b, (k, start, x) in enumerate(part):
-                from_here = WINDOW // 4 if start else 0
-                out[k][start + from_here : start + len(x)] = scores[from_here : len(x), b] >= 0
+        order = sorted((k for k, found in enumerate(pages) if found), key=lambda k: len(pages[k]))
+        while order:
+            n = 1
+            while n < min(len(order), PASS_PAGES) and (n + 1) * len(pages[order[n]]) <= PASS_CELLS:
+                n += 1
+            part, order = order[:n], order[n:]
+            scores = self.scores(*padded([vectors.of(pages[k]) for k in part]))
+            for b, k in enumerate(part):
+                out[k][:] = scores[: len(pages[k]), b] >= 0
         return out
 
 
@@ -298,14 +303,14 @@ def changed(found: list, labels: np.ndarray, rng: np.random.Generator) -> tuple[
 def train(pages: list[str]) -> Labeller | None:
     rng, vectors, sequences, labels = np.random.default_rng(SEED), Vectors(), [], []
     for page in pages:
-        found = blocks(page)[:WINDOW]
+        found = blocks(page)[:TRAIN_BLOCKS]
         own = own_labels(found)
         if own is None:
             continue
         for form in [(found, own), changed(found, own, rng), changed(found, own, rng)]:
-            for start in range(0, len(form[0]), 64):
-                sequences.append(vectors.of(form[0])[start : start + 64])
-                labels.append(form[1][start : start + 64])
+            for start in range(0, len(form[0]), TRAIN_STEPS):
+                sequences.append(vectors.of(form[0])[start : start + TRAIN_STEPS])
+                labels.append(form[1][start : start + TRAIN_STEPS])
     if not sequences:
         return None
     labeller = Labeller()
@@ -317,7 +322,7 @@ def fit(pages: DataFrame, id_column: str = "page_id", html_column: str = "html")
     """A labeller trained on a bounded sample of pages."""
     sample = pages.where(F.col(html_column).isNotNull()).select(F.col(html_column).alias("html"), F.xxhash64(F.col(id_column)).alias("h"))
     # Long pages are cut for training only, so that the sample is bounded in bytes too.
-    rows = sample.select("h", F.substring("html", 1, 200_000).alias("html")).orderBy("h", F.xxhash64("html")).limit(SAMPLE).collect()
+    rows = sample.select("h", F.substring("html", 1, TRAIN_CHARS).alias("html")).orderBy("h", F.xxhash64("html")).limit(SAMPLE).collect()
     return train([r.html for r in rows])
 
 

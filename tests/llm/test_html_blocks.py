@@ -87,3 +87,22 @@ def test_edge_cases(spark):
     found = blocks(page(1)[0])
     more, marks = changed(found, own_labels(found), np.random.default_rng(0))
     assert len(more) == len(marks) and marks.sum() == own_labels(found).sum()
+
+
+def test_all_words_of_a_block_count():
+    opening = " ".join(WORDS * 2)
+    a, b = Vectors().of([(("p",), f"{opening} subscribe now", 0.0), (("p",), f"{opening} subscribe nox", 0.0)])
+    assert (a != b).any()
+
+
+def test_a_block_sees_the_whole_page():
+    labeller, vectors, seen = Labeller(), Vectors(), []
+    scores = labeller.scores
+    labeller.scores = lambda x, mask: seen.append(mask.sum(axis=0).tolist()) or scores(x, mask)
+    pages = [[(("p",), f"{k} {n}", 0.0) for k in range(n)] for n in (3, 0, 2000, 70_000, 5)]
+    got = labeller.main_text(pages, vectors)
+    assert sorted(n for part in seen for n in part) == [3, 5, 2000, 70_000] and seen[-1] == [70_000]
+    for found, marks in zip(pages, got, strict=True):
+        assert len(found) == len(marks)
+    x, mask = padded([vectors.of(pages[2])])
+    assert ((scores(x, mask)[:, 0] >= 0) == got[2]).all()
