@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,16 +60,23 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
     return filled.withColumn("errors", F.array_compact(F.array(*checks)))
 
 
-def place_faults(df: DataFrame, faults_per_series: int, min_gap: int, tail: int, seed: int = 0, profile: dict | None = None, keys=KEYS) -> DataFrame:
+def place_faults(df: DataFrame, faults_per_series: int, min_gap: int, tail: int, seed: int = 0, profile: dict | None = None, keys=KEYS, value: str = "value_normalized", before: int = 250, flat: float = 0.01) -> DataFrame:
     """A fault table (keys, type, start, end, magnitude, signal_class) placed at random, the same for one seed and series.
 
-    Faults keep within a segment and off its first row, off lost rows and the last `tail` rows, and apart by min_gap; one at least is tried in the first 60 % and in the rest. Only the extents of usable stretches go to Python, one row of arrays for each series.
+    Faults keep within a segment and off its first row, off lost rows and the last `tail` rows, and apart by min_gap; one at least is tried in the first 60 % and in the rest. A flatline starts only where the variance of the rows before it, up to `before` in its segment, is not under `flat`. Only the extents of usable stretches go to Python, one row of arrays for each series.
     """
     profile = {**DEFAULTS, "fault_type_weights": dict.fromkeys(FAULTS, 1.0), **(profile or {})}
     usable = df.withColumn("usable", ~F.coalesce(F.col("is_los"), F.lit(False)) if "is_los" in df.columns else F.lit(True))
-    marked = mark_runs(usable, "usable", "run", (*keys, "segment_id"), "position").where("usable")
-    stretches = marked.groupBy(*keys, "segment_id", "run").agg(F.min("position").alias("a"), (F.max("position") + 1).alias("b"))
-    rows = stretches.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("stretches")).join(df.groupBy(*keys).agg((F.max("position") + 1).alias("n")), [*keys])
+    earlier = series((*keys, "segment_id"), "position").rowsBetween(-before, -1)
+    still = (F.count(value).over(earlier) > 1) & (F.var_pop(F.col(value).cast("double")).over(earlier) < flat)
+    usable = usable.withColumn("lively", F.col("usable") & ~still)
+
+    def stretches(flag: str) -> DataFrame:
+        marked = mark_runs(usable, flag, "run", (*keys, "segment_id"), "position").where(flag)
+        found = marked.groupBy(*keys, "segment_id", "run").agg(F.min("position").alias("a"), (F.max("position") + 1).alias("b"))
+        return found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias(flag))
+
+    rows = stretches("usable").join(stretches("lively"), [*keys], "left").join(df.groupBy(*keys).agg((F.max("position") + 1).alias("n")), [*keys])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = np.array([max(0.0, profile["fault_type_weights"].get(t, 0.0)) for t in FAULTS])
@@ -76,7 +84,12 @@ def place_faults(df: DataFrame, faults_per_series: int, min_gap: int, tail: int,
             out = []
             for row in batch.to_dict("records"):
                 rng = np.random.default_rng([seed, zlib.crc32("/".join(str(row[k]) for k in keys).encode())])
-                spans = [(int(s["a"]) + 1, min(int(s["b"]), int(row["n"]) - tail)) for s in row["stretches"]]
+                spans = [(int(s["a"]) + 1, min(int(s["b"]), int(row["n"]) - tail)) for s in row["usable"]]
+                # (first start, last start, end of the stretch); lively stretches lie within usable ones.
+                starts = dict.fromkeys(FAULTS, [(s, e, e) for s, e in spans])
+                lively = [] if row["lively"] is None else row["lively"]
+                inside = [(spans[bisect_right(spans, int(x["a"]) + 1, key=lambda span: span[0]) - 1], x) for x in lively]
+                starts["flatline"] = [(max(s, int(x["a"])), int(x["b"]) - 1, e) for (s, e), x in inside]
                 cut, taken = int(row["n"] * 0.6), []
                 for k in range(faults_per_series):
                     low, high = (0, cut) if k % 2 == 0 else (cut, int(row["n"]))
@@ -85,7 +98,7 @@ def place_faults(df: DataFrame, faults_per_series: int, min_gap: int, tail: int,
                         a, b = profile[f"{kind}_duration_range"]
                         size = max(int(rng.integers(a, b + 1)), 2 if kind == "drift" else 1)
                         magnitude = None if kind == "flatline" else float(rng.uniform(*profile["magnitude_sigma_range"]))
-                        fits = [(max(s, low), min(e, high) - size) for s, e in spans if min(e, high) - size >= max(s, low)]
+                        fits = [(max(s, low), min(last, min(e, high) - size)) for s, last, e in starts[kind] if min(last, min(e, high) - size) >= max(s, low)]
                         if not fits:
                             continue
                         s, e = fits[rng.integers(len(fits))]

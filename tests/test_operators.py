@@ -221,6 +221,20 @@ def test_placed_faults_keep_the_rules(spark):
         assert after is None or after.start >= r.end + 20
 
 
+def test_flatlines_start_where_values_vary(spark):
+    rows = [(k, float(k * 7919 % 5) if k % 1000 < 500 else 1.0, int(k >= 1000), k % 1000 == 100) for k in range(2000)]
+    df = frame(spark, rows, "value_normalized float, segment_id int, is_los boolean").withColumn("position", F.col("tick_id"))
+    only = {"fault_type_weights": {"flatline": 1.0}}
+    first = inject.place_faults(df, 12, 5, 50, seed=2, profile=only, before=50).collect()
+    values = np.array([r[1] for r in rows])
+    assert len(first) >= 4 and {r.type for r in first} == {"flatline"}
+    for r in first:
+        assert values[max(r.start // 1000 * 1000, r.start - 50) : r.start].var() >= 0.01 or r.start % 1000 == 1
+        assert not r.start % 1000 <= 100 < r.end - r.start // 1000 * 1000
+    flat = df.withColumn("value_normalized", F.lit(0.0))
+    assert all(r.start in (1, 1001) for r in inject.place_faults(flat, 12, 5, 50, seed=2, profile=only, before=50).collect())
+
+
 def test_sweep_thresholds_equal_the_plain_frame(spark):
     values = [abs((k * 7919) % 101) / 10 for k in range(300)]
     df = positioned(spark, values)
