@@ -2,26 +2,28 @@
 
 Of every id the bits are kept in planes, from the highest to the lowest; after each plane the ids are put in order of its bit, zeros first, otherwise as they were. A directory with the number of ones before each block and compressed blocks of bits give `access` (the id at a place), `count` (of an id before a place) and `locate` (the place of its k-th occurrence) by rank and select on the planes, without the other blocks. `slice` reads all ids of a range of places.
 
-File format, little-endian: magic `WVM1`; unsigned 64-bit number of ids n; unsigned 32-bit number of planes, and of documents; then a compressed block with the documents' ids (64-bit, with a byte each that says null), and one with their lengths (64-bit); then for each plane the number of zeros (64-bit) and for each of its blocks of 65,536 bits the number of ones before it (32-bit) and its offset (64-bit), one more offset than blocks; then the blocks. A block is stored with one byte before it, 1 if it is compressed by zlib, else 0.
+File format, little-endian: magic `WVM1`; unsigned 64-bit number of ids n; unsigned 32-bit number of planes, and of documents; then a compressed block with the documents' ids (64-bit, with a byte each that says null), and one with their lengths (64-bit); then for each plane the number of zeros (64-bit) and for each of its blocks of 65,536 bits the number of ones before it (32-bit) and its offset (64-bit), one more offset than blocks; then the blocks. A block is stored with a byte before it, 1 if it is compressed by zstd, else 0, and its size when unpacked (32-bit).
 
 Null texts count as empty; a document without text has the end id only. Documents of any length are cut over no two shards; a shard ends with the document that brings it to `SHARD_TOKENS`. Repeated rows are kept each; documents without an id come first. An empty table gives no shards. Only the named columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo
-from .word_bpe import word_pieces
+from .word_bpe import KNOWN, word_pieces
 
 BLOCK_BITS = 1 << 16
 SHARD_TOKENS = 1 << 21
@@ -30,13 +32,19 @@ SHARD_SCHEMA = "part int, shard int, first bigint, n_ids bigint, file binary"
 SHARD_TYPES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("file", pa.binary())])
 
 
+@lru_cache(maxsize=1)
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
 def _pack(raw: bytes) -> bytes:
-    small = zlib.compress(raw, 1)
-    return b"\1" + small if len(small) < len(raw) else b"\0" + raw
+    small = _codec().compress(raw, asbytes=True)
+    return struct.pack("<?I", True, len(raw)) + small if len(small) < len(raw) else struct.pack("<?I", False, len(raw)) + raw
 
 
 def _unpack(raw: bytes) -> bytes:
-    return zlib.decompress(raw[1:]) if raw[:1] == b"\1" else bytes(raw[1:])
+    packed, size = struct.unpack_from("<?I", raw)
+    return _codec().decompress(raw[5:], size, asbytes=True) if packed else bytes(raw[5:])
 
 
 def write_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -48,7 +56,7 @@ def write_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
     out = [b"WVM1", struct.pack("<QII", n, planes, len(doc_ids)), struct.pack("<I", len(names)), names, struct.pack("<I", len(sizes)), sizes]
     heads, bodies, offset = [], [], 0
     for plane in range(planes - 1, -1, -1):
-        bits = (values >> plane & 1).astype(bool)
+        bits = (values & values.dtype.type(1 << plane)) != 0
         packed = np.packbits(bits, bitorder="little").tobytes()
         before = np.concatenate(([0], np.cumsum(np.add.reduceat(bits, range(0, n, BLOCK_BITS), dtype=np.int64)))) if n else np.zeros(1, np.int64)
         blocks = [_pack(packed[k : k + BLOCK_BITS // 8]) for k in range(0, len(packed), BLOCK_BITS // 8)]
@@ -56,7 +64,7 @@ def write_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
         offset = int(offsets[-1])
         heads.append(struct.pack("<Q", n - int(before[-1])) + before[:-1].astype("<u4").tobytes() + offsets.tobytes())
         bodies += blocks
-        values = np.concatenate((values[~bits], values[bits]))
+        values = np.concatenate((np.compress(~bits, values), np.compress(bits, values)))
     return b"".join([*out, *heads, *bodies])
 
 
@@ -160,43 +168,83 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """The library's ids of whole texts; stretches between white space, which it encodes one by one, are encoded once and remembered."""
+    """The library's ids of whole texts. Stretches between ASCII white space, which no piece crosses, are encoded once and remembered; the ids of a batch are then taken from those of its different stretches."""
+
+    def __init__(self, path: str, most: int = 700_000):
+        from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.cut = word_pieces(path)
-        self.known = Memo(lambda chunk: self.library_ids([chunk])[0], 600_000)
+        self.cut, self.most = word_pieces(path), most
+        # The same model for words that are known to be normalised pieces: nothing is left but to cut them apart, and to name their bytes where these are not printable ASCII.
+        cut_apart, name_bytes = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.plain = Tokenizer.from_str(json.dumps(self.cut.config | {"normalizer": None, "pre_tokenizer": cut_apart}))
+        self.normal = Tokenizer.from_str(json.dumps(self.cut.config | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [cut_apart, name_bytes]}}))
         vocabulary = self.cut.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def library_ids(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk. Chunks of letters only are one word each, so many of them go to the library in one text, whose ids are cut at the tokens that end a word."""
-        out: dict[str, bytes] = {}
-        words = [c for c in chunks if c.isalpha()]
-        for k in range(0, len(words), 500):
-            part = words[k : k + 500]
-            flat = np.array(self.cut.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[flat]) + 1
-            if len(ends) == len(part):  # else some letters fall apart when normalised
-                raw, at = flat.tobytes(), 0
-                for word, end in zip(part, (ends * 4).tolist(), strict=True):
-                    out[word] = raw[at:end]
-                    at = end
-        rest = [c for c in chunks if c not in out]
-        found = self.cut.library.encode_batch_fast(rest, add_special_tokens=False)
-        out.update(zip(rest, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
-        return [out[c] for c in chunks]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[(k % 2, [s] if k % 2 else self.cut.chunks(s)) for k, s in enumerate(self.cut.sections(x))] for x in texts]
-        new = [c for c in {c for parts in cut for special, chunks in parts if not special for c in chunks} if c not in self.known and len(c) <= 64]
-        if len(self.known) + len(new) > self.known.most:
-            self.known.clear()
-            new = [c for c in {c for parts in cut for special, chunks in parts if not special for c in chunks} if len(c) <= 64]
-        self.known.update(zip(new, self.library_ids(new), strict=True))
-        special = {s: struct.pack("<I", i) for s, i in self.cut.special.items()}
-        return [b"".join(special[c[0]] if odd else b"".join(map(self.known.__getitem__, c)) for odd, c in parts) for parts in cut]
+        self.pieces: dict[str, bytes] = {}
+        self.special = {"": b"", **{s: struct.pack("<I", i) for s, i in self.cut.special.items()}}
+        self.known = dict(self.special)
+
+    def alone(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.cut.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """The ids of normalised pieces: all go to the library in one text, whose ids are cut at the tokens that end a piece."""
+        text = " ".join(pieces)
+        library = self.plain if text.isascii() and text.isprintable() else self.normal
+        flat = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        raw, ends = flat.tobytes(), ((np.flatnonzero(self.ends_word[flat]) + 1) * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each stretch: it is cut into normalised pieces, which many share; stretches outside of the blocks for which that is done here go to the library alone."""
+        find, normal, inside = self.cut.pattern.findall, self.cut.normal, KNOWN.fullmatch
+        parts = [((c.lower(),) if c.isalpha() else find(c.lower())) if c.isascii() else find(normal(c)) if inside(c) else None for c in chunks]
+        new = [*{*chain.from_iterable(filter(None, parts))}.difference(self.pieces)]
+        if len(self.pieces) + len(new) > self.most:
+            self.pieces.clear()
+            new = [*{*chain.from_iterable(filter(None, parts))}]
+        ascii_ones = [p for p in new if p.isascii() and p.isprintable()]
+        for wanted in (ascii_ones, [*{*new}.difference(ascii_ones)]):
+            for k in range(0, len(wanted), 1000):
+                self.pieces.update(zip(wanted[k : k + 1000], self.together(wanted[k : k + 1000]), strict=True))
+        rest = iter(self.alone([c for c, p in zip(chunks, parts, strict=True) if p is None]))
+        piece = self.pieces.__getitem__
+        return [next(rest) if p is None else piece(p[0]) if len(p) == 1 else b"".join(map(piece, p)) for p in parts]
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each followed by end_id if one is given, and the number of ids of each text."""
+        texts = pc.fill_null(texts, "")
+        # Lower-cased beforehand, ASCII texts have fewer different stretches. Special strings are lower-case only, so texts that may hold one stay as they are.
+        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
+        if pc.any(marked := pc.match_substring(texts, "<|")).as_py():
+            spaced = [self.cut.special_pattern.sub(r" \1 ", x) for x in texts.filter(marked).to_pylist()]
+            texts = pc.replace_with_mask(texts, marked, pa.array(spaced, texts.type))
+        chunks = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = chunks.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        known = self.known
+        new = [c for c in names if c not in known]
+        if len(known) + len(new) > self.most:
+            known = self.known = dict(self.special)
+            new = [c for c in names if c not in known]
+        for k in range(0, len(new), 20_000):
+            known.update(zip(new[k : k + 20_000], self.chunk_ids(new[k : k + 20_000]), strict=True))
+        taken = pa.array([known[c] for c in names], pa.large_binary()).take(words.indices)
+        ids = np.frombuffer(_data(taken), "<u4")
+        until = np.concatenate(([0], np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False)))) // 4
+        lengths = np.diff(until[np.asarray(chunks.offsets) - chunks.offsets[0].as_py()])
+        if end_id is not None:
+            ids, lengths = np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+        return ids, lengths
+
+
+def _data(values: pa.LargeBinaryArray) -> memoryview:
+    """The bytes of all values, one after the other."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return memoryview(values.buffers()[2] or b"")[offsets[0] : offsets[-1]] if len(values) else memoryview(b"")
 
 
 @lru_cache(maxsize=2)
@@ -208,39 +256,52 @@ def _shards(tokenizer: str, end_id: int, each: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        library, end = encoder(tokenizer), struct.pack("<I", end_id)
-        part, number, first, total, size = TaskContext.get().partitionId(), 0, 0, 0, np.dtype(each).itemsize
-        ids, names = [], []
-
-        def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-            found = library.encode([x or "" for x in batch.column(1).to_pylist()])
-            for name, x in zip(batch.column(0).to_pylist(), found, strict=True):
-                yield name, np.frombuffer(x + end, "<u4").astype(each).tobytes()
+        library, part, number, first, total = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0, 0
+        ids, names, lengths = [], [], []
 
         def shard() -> pa.RecordBatch:
-            values = np.frombuffer(b"".join(ids), each)
-            row = {"part": part, "shard": number, "first": first, "n_ids": len(values), "file": write_shard(values, names, [len(x) // size for x in ids])}
+            row = {"part": part, "shard": number, "first": first, "n_ids": total, "file": write_shard(np.concatenate(ids), names, lengths)}
             return pa.RecordBatch.from_pylist([row], SHARD_TYPES)
 
-        for name, x in ((name, x) for batch in batches for k in range(0, batch.num_rows, 200) for name, x in encoded(batch.slice(k, 200))):
-            ids.append(x)
-            names.append(name)
-            total += len(x) // size
-            if total >= shard_tokens:
-                yield shard()
-                ids, names, total, number, first = [], [], 0, number + 1, first + total
-        if ids:
+        for batch in batches:
+            for piece in slices(batch):
+                found, sizes = library.encode(piece.column(1), end_id)
+                found, ends, done = found.astype(each), np.cumsum(sizes), 0
+                for k, (name, size, end) in enumerate(zip(piece.column(0).to_pylist(), sizes.tolist(), ends.tolist(), strict=True)):
+                    names.append(name)
+                    lengths.append(size)
+                    total += size
+                    if total >= shard_tokens or k + 1 == len(sizes):
+                        ids.append(found[done:end])
+                        done = end
+                    if total >= shard_tokens:
+                        yield shard()
+                        ids, names, lengths, total, number, first = [], [], [], 0, number + 1, first + total
+        if names:
             yield shard()
 
     return run
 
 
+def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch of (id, text) in parts of about so many bytes of text, a longer text alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode all texts and write them, in ascending order of ids, as shards: a table (part, shard, first, n_ids, file) in which part and shard give the order, and first the number of ids before a shard in its part."""
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     each = "<u4" if word_pieces(tokenizer).library.get_vocab_size() > 1 << 16 else "<u2"
     # Texts are dealt out before they are encoded: finding the ranges reads the rows a first time, which must not encode them twice.
-    ordered = source.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    # Rows of one id are dealt out by their texts too, and equal rows by where they were read, so no id is one task.
+    order = [F.col("id"), F.xxhash64("text"), F.spark_partition_id()]
+    ordered = source.repartitionByRange(*order).sortWithinPartitions("id", F.xxhash64("text"))
     shards = ordered.mapInArrow(_shards(tokenizer, end_id, each, shard_tokens), SHARD_SCHEMA)
     shards.write.option("compression", "uncompressed").parquet(path)
 

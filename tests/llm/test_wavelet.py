@@ -2,10 +2,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from seriesmill.llm.wavelet import BLOCK_BITS, WaveletMatrix, count_token, document_digests, locate_token, read_token_shards, write_shard, write_token_shards
+from seriesmill.llm.wavelet import BLOCK_BITS, Encoder, WaveletMatrix, count_token, document_digests, locate_token, read_token_shards, slices, write_shard, write_token_shards
+
+from .test_tokens import texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +31,24 @@ def test_matrix_equals_the_plain_array(n):
         shard.locate(5, n)
 
 
+def test_encoder_equals_the_library():
+    library, own = Tokenizer.from_file(PATH), Encoder(PATH, most=500)
+    rows = [*texts(300, 40), None, "", "  ", "İ\u0307 ÀE\u0301 it's '\x00' ก็ ａｂ", "x " * 3000, "ab" * 4000]
+    ids, lengths = own.encode(pa.array(rows), 1)
+    ends = np.cumsum(lengths).tolist()
+    for row, end, n in zip(rows, ends, lengths.tolist(), strict=True):
+        assert ids[end - n : end].tolist() == [*library.encode(row or "", add_special_tokens=False).ids, 1]
+    assert [len(x) for x in slices(pa.record_batch({"id": [1] * 7, "text": ["aaaa", "bbb", None, "c" * 50, "", "dd", "e"]}), 8)] == [3, 1, 3]
+
+
+def test_repeated_ids_keep_every_row(spark, tmp_path):
+    docs = spark.createDataFrame([(5, "again and again")] * 40 + [(5, "other"), (4, "before"), (6, "after")], "doc_id long, text string").repartition(6)
+    write_token_shards(docs, PATH, f"file://{tmp_path}/r", shard_tokens=10)
+    rows = sorted(document_digests(read_token_shards(spark, f"file://{tmp_path}/r")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [4, *[5] * 41, 6]
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+
+
 def test_round_trip(spark, tmp_path):
     texts = {7: "Hello, World's  end", 3: None, 9: "", 1: "déjà <|endoftext|> vu ￼ x" * 50, 12: "a" * 5000, 2: "long " * 20000}
     docs = spark.createDataFrame([(k, v, k) for k, v in texts.items()] + [(None, "no id", 0)], "doc_id long, text string, ids long").repartition(3)
