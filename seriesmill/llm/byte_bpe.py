@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,18 +19,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, Memo, char_class
+from .common import Memo
 
 
 @lru_cache(maxsize=4)
-def byte_bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def byte_bpe(path: str, pattern: str | None = None) -> ByteBpe:
+    """The encoder of a file of ranks; texts are cut by the public tokenizers' pattern if none is given."""
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern
+    return ByteBpe(path, pattern)
+
+
+@lru_cache(maxsize=8)
+def engine_class(pattern: str) -> str:
+    """The inside of a regular expression's class with every code point that the tiktoken library's engine finds by a pattern. Its properties of characters are those of another version of Unicode than Python's."""
+    import tiktoken
+
+    probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, bytes(probe.encode_ordinary(every)).decode())):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" if b > a else f"\\U{a:08x}" for a, b in ranges)
+
+
+def plain_pattern(pattern: str) -> str:
+    r"""A pattern with \p{L}, \p{N}, \s and \S written out, for Python's re."""
+    out, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern):
+        if part.startswith("\\p") or part in (r"\s", r"\S"):
+            members, outside = engine_class(part.lower() if part == r"\S" else part), "^" if part == r"\S" else ""
+            out.append(members if inside else f"[{outside}{members}]")
+        else:
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+    return "".join(out)
 
 
 class ByteBpe:
-    """Encoder and decoder for a file of ranks whose texts are cut by the pattern of contractions, words, numbers, other runs and white space."""
+    """Encoder and decoder for a file of ranks, for texts that a pattern cuts into contractions, words, numbers, other runs and white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         import ahocorasick
 
         with open(path, "rb") as file:
@@ -44,9 +77,7 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        letters, digits, space = char_class("L"), char_class("N"), re.escape(WHITE_SPACE)
-        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+")
-        self.inner = re.compile(f"[{space}]")
+        self.pattern = re.compile(plain_pattern(pattern))
         self.piece_ids = Memo(self._piece_ids, 300_000)
         self.word_ids = Memo(self._word_ids, 300_000)
 
