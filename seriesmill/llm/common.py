@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 import uuid
@@ -15,9 +16,11 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0              
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder in the warehouse where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a folder in the warehouse, if one machine is all there is."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return base.rstrip("/")
 

@@ -1,16 +1,16 @@
 """Benchmark decontamination: containment search with MinHash sketches whose size follows the item's.
 
-Texts are lower-cased (A-Z) words between white space; shingles are five words, each counted once. An item leaks into a document that holds at least 0.8 of the item's shingles. Items are partitioned by size, and a partition's sketch is the k smallest hashes of the item's shingles, with k so large that an item without a single sketch hash in the document misses more than a fifth of its shingles: k = floor(0.2 n) + 1 for n shingles. So a document of any length needs to be looked at only where one of its shingles hits a sketch, and no leak is lost. Candidates are verified on the shingles themselves, not their hashes.
+Texts are lower-cased (A-Z) words between white space; shingles are five words, each counted once. An item leaks into a document that holds at least 0.8 of the item's shingles. Items are partitioned by size, from one power of 1.5 to the next, and each partition has one MinHash sketch size, made for its largest items: the k smallest hashes of an item's shingles, k = floor(0.2 m) + 1 + `SPARE` for items of up to m shingles (all of a smaller item's). An item of n shingles that leaks misses at most floor(0.2 n) of them, so at least k - floor(0.2 n) of its sketch are in the document: that is what a candidate must hold, and no leak is lost, however long the document is. Partitions whose smallest item needs more shingles than a document has are left out for that document. Candidates are verified on the shingles themselves, not their hashes.
 
 Items of fewer than five words have one shingle, the whole sequence. Items without words leak nowhere. Null texts count as empty. Repeated document rows are each searched; repeated rows of one item id with the same text give one pair, with different texts each is an item of its own and the largest containment counts. Rows with null ids are searched too. Empty tables give empty results. Only the named columns are read, so further columns may have any name.
 
-Items come in blocks of bounded size (`BLOCK_SHINGLES`), each sent to all executors; a larger item table makes more passes over the documents, never a larger block.
+Items come in blocks of bounded size (`BLOCK_SHINGLES`, or one longer item), each sent to all executors; a larger item table makes more passes over the documents, never a larger block, and what a pass finds is written before the next block is made.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, materialize
 
 WORDS = 5
 CONTAINMENT = 0.8
+#: Hashes of a sketch beyond the least number; so many more of them must a document hold.
+SPARE = 2
 #: Shingles of the items that are sent to the executors at once; some 100 bytes each.
 BLOCK_SHINGLES = 500_000
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -64,38 +66,73 @@ class WordHashes(Memo):
         return out ^ (out >> np.uint64(29))
 
 
+def size_class(n: int) -> int:
+    """The partition of an item of n shingles."""
+    k = 0
+    while most_in(k) < n:
+        k += 1
+    return k
+
+
+def most_in(size: int) -> int:
+    """Shingles of the largest items of a partition."""
+    return int(1.5**size)
+
+
+class Partition:
+    """The sketches of items of one width of shingles and one class of sizes."""
+
+    def __init__(self, size: int):
+        self.size, self.least, self.hits, self.needs = size, most_in(size), defaultdict(list), {}
+
+    def add(self, item: int, found: np.ndarray) -> None:
+        sketch = found[: most_in(self.size) - least_shared(most_in(self.size)) + 1 + SPARE]
+        self.least, self.needs[item] = min(self.least, least_shared(len(found))), len(sketch) - (len(found) - least_shared(len(found)))
+        for h in sketch.tolist():
+            self.hits[h].append(item)
+
+    def candidates(self, own: list[int]) -> Iterator[int]:
+        """Items with as many sketch hashes among a document's as they need."""
+        counts = Counter(item for h in own for item in self.hits.get(h, ()))
+        return (item for item, n in counts.items() if n >= self.needs[item])
+
+
 class Sketches:
     """The sketches of one block of items, for a search in documents."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        hashes, hits = WordHashes(), defaultdict(lambda: defaultdict(set))
-        self.items = []
+        hashes, parts = WordHashes(), {}
+        self.items, self.partitions = [], defaultdict(list)
         for item_id, text in items:
             words = word_list(text)
             if not words:
                 continue
             n = min(len(words), WORDS)
             found = np.unique(hashes.shingles(words, n))
-            for h in found[: len(found) - least_shared(len(found)) + 1].tolist():
-                hits[n][h].add(len(self.items))
+            key = n, size_class(len(found))
+            if key not in parts:
+                self.partitions[n].append(parts.setdefault(key, Partition(key[1])))
+            parts[key].add(len(self.items), found)
             self.items.append((item_id, shingle_set(words)))
-        self.hits = {n: dict(x) for n, x in hits.items()}
-        self.sorted = {n: np.array(sorted(x), np.uint64) for n, x in hits.items()}
-        self.seen = {}
-        for n, x in self.sorted.items():
+        self.sorted, self.seen = {}, {}
+        for n, partitions in self.partitions.items():
+            self.sorted[n] = np.array(sorted({h for p in partitions for h in p.hits}), np.uint64)
             self.seen[n] = np.zeros(1 << 20, bool)
-            self.seen[n][(x & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.seen[n][(self.sorted[n] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def search(self, text: str, hashes: WordHashes) -> list[tuple[int | None, int, int]]:
         """(item id, shingles shared, shingles of the item) of each item that leaks into the text."""
         words, candidates = word_list(text), set()
         for n, known in self.sorted.items():
             own = hashes.shingles(words, n)
+            most = len(own)
             own = own[self.seen[n][(own & np.uint64((1 << 20) - 1)).astype(np.int64)]]
             if len(own):
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                for h in np.unique(own[known[at] == own]).tolist():
-                    candidates |= self.hits[n][h]
+                own = np.unique(own[known[at] == own]).tolist()
+                for part in self.partitions[n] if own else ():
+                    if part.least <= most:
+                        candidates.update(part.candidates(own))
         if not candidates:
             return []
         full, joined = shingle_set(words), " " + " ".join(words) + " "
@@ -110,12 +147,13 @@ class Sketches:
         return out
 
 
-def item_blocks(items: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of bounded size, in order of a hash; one block is in the driver at a time."""
+def item_blocks(items: DataFrame, id_column: str, text_column: str) -> Iterator:
+    """The number of blocks, then the items in blocks of bounded size, in order of a hash; one block is in the driver at a time."""
     table = items.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).distinct()
     sized = table.withColumn("size", F.size(F.split(F.trim("text"), "[\\x20\\x09-\\x0D]+")))
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_SHINGLES))
+    yield blocks
     for k in range(blocks):
         yield [(r.id, r.text) for r in sized.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).select("id", "text").toLocalIterator()]
 
@@ -124,8 +162,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_column: str = "doc_id", it
     """Rows (doc_id, item_id, n_shared, n_item, containment) for each item that leaks into a document."""
     parts = None
     source = docs.select(F.col(doc_column).alias("id"), F.col(text_column).alias("text"))
-    for block in item_blocks(items, item_column, text_column):
+    blocks = item_blocks(items, item_column, text_column)
+    several = next(blocks) > 1
+    for block in blocks:
         part = source.mapInArrow(_search_with(Sketches(block)), "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint")
+        part = materialize(part, "leaks") if several else part
         parts = part if parts is None else parts.union(part)
     best = parts.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_shared", "m.n_item", "m.containment")
@@ -144,7 +185,9 @@ def _search_with(sketches: Sketches):
 
 def without_leaks(docs: DataFrame, items: DataFrame, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """The documents, with all their columns, into which no item leaks. Each document is judged where it lies, so nothing is shuffled."""
-    for block in item_blocks(items, item_column, text_column):
+    blocks = item_blocks(items, item_column, text_column)
+    several = next(blocks) > 1
+    for block in blocks:
         sketches = Sketches(block)
         at = docs.columns.index(text_column)
 
@@ -155,6 +198,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, item_column: str = "item_id
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = materialize(docs, "without-leaks") if several else docs
     return docs
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -52,14 +52,18 @@ def fingerprint(text: str, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, fp): the 64 bits of each text's fingerprint as a signed long."""
+    """Rows (id, fp, row): the 64 bits of each text's fingerprint as a signed long, and a hash of the whole row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(x or "", words) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), batch.column(2)], ["id", "fp", "row"])
 
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), row_hash(docs).alias("row")).mapInArrow(run, "id bigint, fp bigint, row bigint")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*(docs[f"`{c}`"] for c in docs.columns))
 
 
 def _segment(j: int):
@@ -129,11 +133,21 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, fp, component_id): component_id is the smallest id reachable over links, itself included."""
+    """Rows (id, fp, row, component_id): component_id is the smallest id reachable over links, itself included; row is a hash of the whole row."""
     prints = materialize(fingerprints(docs, words, id_column, text_column), "simhash-prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     links = link_fingerprints(distinct.select("fp"))
     classes = distinct.join(links, distinct.fp == links.node).select("fp", "least", "component")
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(names, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    return prints.join(named, "fp").select("id", "fp", "row", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents, with all their columns, one of each group: a row with the smallest id of it. Of several rows with that id in the group, the one with the least fingerprint and hash of the row stays, once; a row of the same id in another group is judged there. Rows without an id all stay."""
+    found = near_duplicates(docs, words, id_column, text_column)
+    kept = found.where("id = component_id").groupBy("id").agg(F.min(F.struct("fp", "row")).alias("m"))
+    kept = materialize(kept.select(F.col("id").alias("__kept_id"), F.col("m.row").alias("__kept_row")), "simhash-kept")
+    rows = docs.withColumn("__kept_id", docs[id_column].cast("bigint")).withColumn("__kept_row", row_hash(docs))
+    with_id = rows.join(kept, ["__kept_id", "__kept_row"], "left_semi").dropDuplicates(["__kept_id", "__kept_row"])
+    return with_id.union(rows.where("__kept_id is null")).select(*(f"`{c}`" for c in docs.columns))
