@@ -133,21 +133,21 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, fp, row, component_id): component_id is the smallest id reachable over links, itself included; row is a hash of the whole row."""
+    """Rows (id, fp, row, component, component_id): component_id is the smallest id reachable over links, itself included, component the smallest fingerprint as a signed long; row is a hash of the whole row."""
     prints = materialize(fingerprints(docs, words, id_column, text_column), "simhash-prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     links = link_fingerprints(distinct.select("fp"))
     classes = distinct.join(links, distinct.fp == links.node).select("fp", "least", "component")
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(names, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "row", "component_id")
+    named = classes.join(names, "component").select("fp", "component", "component_id")
+    return prints.join(named, "fp").select("id", "fp", "row", "component", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents, with all their columns, one of each group: a row with the smallest id of it. Of several rows with that id in the group, the one with the least fingerprint and hash of the row stays, once; a row of the same id in another group is judged there. Rows without an id all stay."""
     found = near_duplicates(docs, words, id_column, text_column)
-    kept = found.where("id = component_id").groupBy("id").agg(F.min(F.struct("fp", "row")).alias("m"))
+    kept = found.where("id = component_id").groupBy("id", "component").agg(F.min(F.struct("fp", "row")).alias("m"))
     kept = materialize(kept.select(F.col("id").alias("__kept_id"), F.col("m.row").alias("__kept_row")), "simhash-kept")
     rows = docs.withColumn("__kept_id", docs[id_column].cast("bigint")).withColumn("__kept_row", row_hash(docs))
     with_id = rows.join(kept, ["__kept_id", "__kept_row"], "left_semi").dropDuplicates(["__kept_id", "__kept_row"])
-    return with_id.union(rows.where("__kept_id is null")).select(*(f"`{c}`" for c in docs.columns))
+    return with_id.unionByName(rows.where("__kept_id is null")).select(*(f"`{c}`" for c in docs.columns))

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +13,7 @@ from tiktoken.load import load_tiktoken_bpe
 import corpus_pipeline
 from seriesmill.llm.decontaminate import least_shared, shingle_set, word_list
 from seriesmill.llm.secrets import MARK
+from seriesmill.llm.simhash import without_near_duplicates
 
 from .test_secrets import brute as brute_spans
 from .test_simhash import brute_components, brute_fingerprint
@@ -19,6 +21,47 @@ from .test_simhash import brute_components, brute_fingerprint
 SMALL = "/root/testdata/sf0.001"
 
 
+def test_odd_rows_and_columns(spark, tmp_path):
+    """Nulls in any column, repeated rows and ids, clashing names, and empty tables, through all stages."""
+    long = " ".join(f"word{k % 97} and{k % 89} so{k % 83}" for k in range(4000))
+    texts = {1: [long], 2: [long + " more"], 3: [None, "other text of the same id, which is no copy of anything else here"], 4: ["", ""], 5: [" \t"], 6: ["my token=abcdefgh12 stands here among six words or more"] * 2, 7: ["passage of the benchmark that leaked into this text word by word"]}
+    rows = [(d, t, None, "s", None if t is None else len(t), "x", 1, None, 2.0, "y", b"z", "w") for d, ts in texts.items() for t in ts]
+    rows += [(None, None, None, None, None, None, None, None, None, None, None, None), (None, "no id, but a text of its own that nobody repeats", "en", "s", 5, "x", 1, 2, 2.0, "y", b"z", "w")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, fp int, row long, score double, toxic string, spans binary, component_id string"
+    root = f"file://{tmp_path}"
+    spark.createDataFrame(rows, schema).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, None, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([(1, "of the benchmark that leaked into this text"), (2, None), (2, "")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, root)
+        docs.write.parquet(path := corpus_pipeline.fresh_path(spark, "odd"))
+        docs = spark.read.parquet(path)
+        kept[name] = sorted((r.doc_id or 0) for r in docs.collect())
+        if name != "byte_bpe":
+            assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+    assert kept["toxicity"] == [0, 0, 1, 2, 3, 3, 4, 4, 5, 6, 6, 7]
+    # The texts without words are one group, whose smallest id is 3; 1 and 2 are near copies.
+    assert kept["simhash_near_dedup"] == [0, 0, 1, 3, 3, 6, 7]
+    assert kept["benchmark_decontamination"] == [d for d in kept["simhash_near_dedup"] if d != 7]
+    assert kept["secret_scans"] == kept["byte_bpe"] == kept["benchmark_decontamination"]
+    empty = f"{root}/empty"
+    for table in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{root}/{table}.parquet").limit(0).write.parquet(f"{empty}/{table}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_rows_of_one_id_are_judged_in_their_own_groups(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(50)) for _ in range(60)) for _ in range(4)]
+    rows = [(1, texts[0], 0), (1, texts[1], 0), (2, texts[1], 0), (2, texts[2], 0), (3, texts[3], 0), (3, texts[3], 0), (3, texts[3], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    for part in (1, 3):
+        got = sorted((r.doc_id, r.text) for r in without_near_duplicates(docs.repartition(part)).collect())
+        assert got == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3])])
+
+
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="no test tables")
 def test_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

@@ -42,6 +42,18 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert (a.weights == b.weights).all() and a.constant == b.constant
 
 
+def test_repeated_rows_of_an_id_are_learnt_from_once(spark):
+    data = rows()
+    docs = spark.createDataFrame([(k, t) for k, t, _ in data], "doc_id long, text string")
+    again = docs.union(docs.where("doc_id in (6, 7)").crossJoin(spark.range(50)).select("doc_id", "text"))
+    labels = spark.createDataFrame([(k, y) for k, _, y in data], "doc_id long, toxic int")
+    a, b = fit(docs, labels), fit(again, labels)
+    assert (a.weights == b.weights).all() and a.constant == b.constant
+    own = fit_features(np.array([y for k, _, y in data if zlib.crc32(str(k).encode()) % 5], float), [Features().of(t) for k, t, _ in data if zlib.crc32(str(k).encode()) % 5])
+    texts = [t for _, t, _ in data]
+    assert np.allclose(Scorer(a).scores(texts), Scorer(own).scores(texts), atol=1e-3)
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "word " * 30000), (None, "x"), (2, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (3, 0)], "doc_id long, toxic int")
