@@ -2,17 +2,16 @@
 
 Toxic documents go; one document of each group of near-duplicates stays, the one with the smallest id; documents into which a benchmark item leaks go; secrets are replaced by a mark; and the last stage encodes what is left.
 
-Documents without an id are in no group of near-duplicates and stay. Repeated rows of one id count as one document from the second stage on. All stages but the last return the columns of documents.
+Of several rows with the smallest id of a group, the one with the least fingerprint and hash of the row stays; rows of one id in different groups are judged in theirs. Documents without an id all stay. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seriesmill.llm import byte_bpe, decontaminate, secrets, simhash, toxicity
-from seriesmill.llm.common import fresh_path, materialize, read
+from seriesmill.llm.common import fresh_path, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    kept = materialize(found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct(), "kept")
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.union(docs.where("doc_id is null")).select(*docs.columns)
+    return simhash.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
