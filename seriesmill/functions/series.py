@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ("mission_id", "channel_id")
@@ -26,6 +26,11 @@ def micros(column: str = TIME) -> Column:
     return F.unix_micros(column)
 
 
+def sent_if_small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The table marked for sending to every task if it has at most so many rows, which are counted first; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b as a double, 0 where b is 0 or null."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

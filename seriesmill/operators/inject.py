@@ -15,7 +15,19 @@ from ..functions.series import KEYS, series, whole
 from .runs import mark_runs
 
 FAULTS = ("spike", "drift", "flatline")
-DEFAULTS = {"signal_class": "mixed", "magnitude_sigma_range": (3.0, 6.0), "spike_duration_range": (1, 3), "drift_duration_range": (20, 60), "flatline_duration_range": (10, 40)}
+#: A profile where nothing is given (fixed values).
+DEFAULTS = {"signal_class": "slow_lownoise", "magnitude_sigma_range": (0.4, 1.5), "spike_duration_range": (1, 5), "drift_duration_range": (30, 300), "flatline_duration_range": (30, 300)}
+WEIGHTS = {"drift": 0.45, "flatline": 0.45, "spike": 0.10}
+#: Profiles of classes with too few channels: weights of spike, drift and flatline, magnitudes, and the durations of each (fixed values). The mixed class has that of slow_lownoise.
+CLASS_DEFAULTS = {
+    "periodic_flatlines": ((0.20, 0.15, 0.65), (0.5, 2.5), (1, 5), (10, 200), (20, 400)),
+    "smooth_ramp": ((0.15, 0.55, 0.30), (0.4, 2.0), (1, 5), (20, 500), (20, 300)),
+    "slow_lownoise": ((0.10, 0.45, 0.45), (0.4, 2.0), (1, 4), (30, 600), (30, 600)),
+    "bounded_oscillatory": ((0.30, 0.40, 0.30), (0.3, 1.5), (1, 6), (15, 300), (15, 200)),
+}
+#: What faults need to be seen by a forecast's residual, instead of a class's own profile (fixed values).
+DETECTABLE = ((0.40, 0.30, 0.30), (3.0, 5.0), (1, 10), (20, 120), (20, 120))
+PROFILE_COLUMNS = ["spike", "drift", "flatline", *(f"{name}_{end}" for name in ("magnitude", "spike_duration", "drift_duration", "flatline_duration") for end in ("low", "high"))]
 
 
 def apply_faults(df: DataFrame, faults: DataFrame, value: str = "value_normalized", keys=KEYS) -> DataFrame:
@@ -51,7 +63,7 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
     for name, default in DEFAULTS.items():
         made = F.lit(default) if isinstance(default, str) else F.array(*map(F.lit, default))
         filled = filled.withColumn(name, F.coalesce(F.col(name), made))
-    filled = filled.withColumn("fault_type_weights", F.coalesce("fault_type_weights", F.map_from_arrays(F.array(*map(F.lit, FAULTS)), F.array(*[F.lit(1.0)] * 3))))
+    filled = filled.withColumn("fault_type_weights", F.coalesce("fault_type_weights", F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))))
     checks = [
         F.when(F.size(F.array_except(F.map_keys("fault_type_weights"), F.array(*map(F.lit, FAULTS)))) > 0, "unknown fault"),
         F.when(F.forall(F.map_values("fault_type_weights"), lambda w: w <= 0), "no positive weight"),
@@ -65,7 +77,7 @@ def place_faults(df: DataFrame, faults_per_series: int, min_gap: int, tail: int,
 
     Faults keep within a segment and off its first row, off lost rows and the last `tail` rows, and apart by min_gap; one at least is tried in the first 60 % and in the rest. A flatline starts only where the variance of the rows before it, up to `before` in its segment, is not under `flat`. Only the extents of usable stretches go to Python, one row of arrays for each series.
     """
-    profile = {**DEFAULTS, "fault_type_weights": dict.fromkeys(FAULTS, 1.0), **(profile or {})}
+    profile = {**DEFAULTS, "fault_type_weights": WEIGHTS, **(profile or {})}
     usable = df.withColumn("usable", ~F.coalesce(F.col("is_los"), F.lit(False)) if "is_los" in df.columns else F.lit(True))
     earlier = series((*keys, "segment_id"), "position").rowsBetween(-before, -1)
     still = (F.count(value).over(earlier) > 1) & (F.var_pop(F.col(value).cast("double")).over(earlier) < flat)
@@ -113,17 +125,19 @@ def place_faults(df: DataFrame, faults_per_series: int, min_gap: int, tail: int,
     return rows.mapInPandas(place, f"{types}, type string, start bigint, end bigint, magnitude double, signal_class string")
 
 
-def anomaly_shapes(df: DataFrame, value: str = "value_normalized", keys=KEYS) -> DataFrame:
-    """(keys, start, n, level, spread, slope, shape) of each labelled run of positioned rows."""
-    marked = mark_runs(df, "is_anomaly", "run", keys, "position").where("is_anomaly")
+def anomaly_shapes(df: DataFrame, value: str = "value_normalized", least: int = 50, keys=KEYS) -> DataFrame:
+    """(keys, start, n, level, spread, rise, magnitude, shape) of each labelled run of positioned rows, all taken against the mean and deviation of the series' nominal rows: how far its mean is off, its deviation, its slope times its length, and the median distance of its rows. Series with fewer nominal rows than `least` are left out."""
     v = F.col(value).cast("double")
-    runs = marked.groupBy(*keys, "run").agg(F.min("position").alias("start"), F.count("*").alias("n"), F.avg(v).alias("level"), F.stddev_pop(v).alias("spread"), F.coalesce(F.regr_slope(v, F.col("position").cast("double")), F.lit(0.0)).alias("slope"))
-    level, rise = F.abs("level"), F.abs("slope") * F.col("n")
+    nominal = df.where(~F.col("is_anomaly")).groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(v).alias("usual"), F.coalesce(F.nullif(F.stddev_pop(v), F.lit(0.0)), F.lit(1.0)).alias("deviation")).where(F.col("rows") >= least)
+    marked = mark_runs(df, "is_anomaly", "run", keys, "position").where("is_anomaly").join(nominal, [*keys])
+    off = (v - F.col("usual")) / F.greatest("deviation", F.lit(1e-9))
+    runs = marked.groupBy(*keys, "run").agg(F.min("position").alias("start"), F.count("*").alias("n"), F.avg(off).alias("level"), F.stddev_pop(off).alias("spread"), (F.coalesce(F.regr_slope(off, F.col("position").cast("double")), F.lit(0.0)) * F.count("*")).alias("rise"), F.median(F.abs(off)).alias("magnitude"))
+    level, rise = F.abs("level"), F.abs("rise")
     shape = (
         F.when(F.col("n") < 2, "spike")
         .when((F.col("n") < 10) & (level > 1.5), "spike")
         .when((F.col("spread") < 0.25) & (level > 0.3), "flatline")
-        .when((rise > 0.8) & (F.col("spread") < F.greatest(rise, F.lit(0.3))), "drift")
+        .when((rise > 0.8) & (F.col("spread") < F.greatest(rise, F.lit(0.3))), "drift_ramp")
         .otherwise("level_shift")
     )
     return runs.withColumn("shape", shape).drop("run")
@@ -148,27 +162,46 @@ def ratio_of(a, b):
 
 
 def signal_classes(characteristics: DataFrame) -> DataFrame:
-    """signal_class by simple rules on the characteristics."""
-    c = F.when(F.col("flat") > 0.8, "stepwise").when((F.col("autocorrelation") > 0.95) & (F.col("noise") < 0.2), "smooth").when(F.col("noise") > 0.8, "noisy").when(F.col("autocorrelation") > 0.7, "periodic").otherwise("mixed")
-    return characteristics.withColumn("signal_class", c)
+    """signal_class by rules on the characteristics, the first that holds; a missing autocorrelation fails its rules."""
+    flat, noise, correlated, spread = (F.col(c) for c in ("flat", "noise", "autocorrelation", "range"))
+    rules = (
+        F.when((flat > 0.25) & (spread > 1.5), "periodic_flatlines")
+        .when((correlated > 0.97) & (noise < 0.04) & (spread < 2.0), "slow_lownoise")
+        .when((correlated > 0.92) & (noise < 0.10), "smooth_ramp")
+        .when((spread < 3.0) & (flat < 0.20), "bounded_oscillatory")
+        .otherwise("mixed")
+    )
+    return characteristics.withColumn("signal_class", rules)
+
 
+def class_profiles(classes: DataFrame, shapes: DataFrame, least: int = 3, detectable: bool = False, keys=KEYS) -> DataFrame:
+    """(signal_class, n_channels, then the columns PROFILE_COLUMNS) of every class: weights of faults, and the lower and upper end of magnitudes and durations.
 
-def class_profiles(classes: DataFrame, shapes: DataFrame, least: int = 3, keys=KEYS) -> DataFrame:
-    """(signal_class, n_channels, magnitude_low, magnitude_high, spike, drift, flatline): ranges from percentiles of the channels' medians and weights from the mix of shapes, a level shift counting for drift (0.6) and flatline (0.4); classes of fewer channels take the default."""
-    each = shapes.groupBy(*keys).agg(F.median(F.abs("level")).alias("magnitude"), *(F.avg((F.col("shape") == s).cast("double")).alias(s) for s in ("spike", "drift", "flatline", "level_shift")))
+    Of each channel with labelled runs the median duration and magnitude and the mix of shapes count. A class's weights are the means of the mix, where a level shift counts as a flatline by 0.6 and as a drift by 0.4, made to add up to one; its ranges go by the tenth, fiftieth and ninetieth percentile of the channels' medians, within bounds. A class of fewer channels than `least` has its default profile; with `detectable`, all have that of faults that a forecast's residual shows.
+    """
+    kinds = ("spike", "flatline", "drift_ramp", "level_shift")
+    each = shapes.groupBy(*keys).agg(F.median("magnitude").alias("magnitude"), F.median("n").alias("duration"), *(F.avg((F.col("shape") == s).cast("double")).alias(s) for s in kinds))
     joined = classes.select(*keys, "signal_class").join(each, [*keys])
-    grouped = joined.groupBy("signal_class").agg(F.count("*").alias("n_channels"), F.percentile("magnitude", 0.1).alias("low"), F.percentile("magnitude", 0.9).alias("high"), *(F.avg(s).alias(s) for s in ("spike", "drift", "flatline", "level_shift")))
-    enough, (a, b) = F.col("n_channels") >= least, DEFAULTS["magnitude_sigma_range"]
-    low = F.greatest(F.col("low"), F.lit(0.5))
-    return grouped.select(
-        "signal_class",
-        "n_channels",
-        F.when(enough, low).otherwise(F.lit(a)).alias("magnitude_low"),
-        F.when(enough, F.least(F.greatest(F.col("high"), low + 0.5), F.lit(10.0))).otherwise(F.lit(b)).alias("magnitude_high"),
-        F.when(enough, F.col("spike")).otherwise(1.0).alias("spike"),
-        F.when(enough, F.col("drift") + F.col("level_shift") * 0.6).otherwise(1.0).alias("drift"),
-        F.when(enough, F.col("flatline") + F.col("level_shift") * 0.4).otherwise(1.0).alias("flatline"),
-    )
+    percentiles = [F.percentile(c, p / 100).alias(f"{c}_p{p}") for c in ("magnitude", "duration") for p in (10, 50, 90)]
+    grouped = joined.groupBy("signal_class").agg(F.count("*").alias("n_channels"), *percentiles, *(F.avg(s).alias(f"{s}_share") for s in kinds))
+    share = F.col("level_shift_share")
+    parts = {"spike": F.col("spike_share"), "drift": F.col("drift_ramp_share") + share * 0.4, "flatline": F.col("flatline_share") + share * 0.6}
+    grouped = grouped.select("*", *(F.round(x, 2).alias(f"{name}_part") for name, x in parts.items()))
+    total = F.col("spike_part") + F.col("drift_part") + F.col("flatline_part")
+    whole = lambda p: F.floor(f"duration_p{p}").cast("int")
+    low = F.greatest(F.lit(0.3), F.round("magnitude_p10", 2))
+    short, long = F.greatest(F.lit(3), F.least(F.lit(20), whole(10))), F.greatest(F.lit(100), F.least(F.lit(2000), whole(90)))
+    own = [*(F.round(F.try_divide(F.col(f"{name}_part"), total), 3) for name in parts), low, F.least(F.lit(6.0), F.round(F.greatest(F.col("magnitude_p90"), low + 0.5), 2)), F.lit(1), F.greatest(F.lit(2), short), short, long, short, long]
+    found = grouped.select("signal_class", "n_channels", *(x.cast("double").alias(f"own_{c}") for c, x in zip(PROFILE_COLUMNS, own, strict=True)))
+
+    def flat(profile: tuple) -> list[float]:
+        return [float(x) for part in profile for x in part]
+
+    rows = [(name, *flat(DETECTABLE if detectable else CLASS_DEFAULTS.get(name, CLASS_DEFAULTS["slow_lownoise"]))) for name in (*CLASS_DEFAULTS, "mixed")]
+    defaults = classes.sparkSession.createDataFrame(rows, "signal_class string, " + ", ".join(f"{c} double" for c in PROFILE_COLUMNS))
+    both = defaults.join(found, "signal_class", "left").withColumn("n_channels", F.coalesce("n_channels", F.lit(0)).cast("bigint"))
+    chosen = [F.when((F.col("n_channels") >= least) & F.lit(not detectable), F.col(f"own_{c}")).otherwise(F.col(c)).alias(c) for c in PROFILE_COLUMNS]
+    return both.select("signal_class", "n_channels", *chosen)
 
 
 __all__ = ["Window", "anomaly_shapes", "apply_faults", "channel_characteristics", "class_profiles", "fault_manifest", "place_faults", "signal_classes", "validate_profiles", "whole"]

@@ -82,14 +82,16 @@ def prepare(ticks: DataFrame, labels: DataFrame, multiplier: float = 3.0, fracti
     return label_timesteps(normalize(split_by_time(out, fraction, lookback_us), stats_scope=stats_scope), labels)
 
 
-def resolve_channels(df: DataFrame, explicit: list[str] | None = None, listed: list[str] | None = None, subsystems: DataFrame | None = None, subsystem: str | None = None) -> DataFrame:
-    """Distinct channels: those given, else those of a list, else all, each cut down to a subsystem if one is given."""
+def resolve_channels(df: DataFrame, explicit: list[str] | None = None, listed: list[str] | None = None, subsystems: DataFrame | None = None, subsystem: str | None = None, some: bool = False) -> DataFrame:
+    """Distinct channels: those given, else those of a list, else all, each cut down to a subsystem if one is given. With `some`, none at all is an error."""
     chosen = explicit if explicit is not None else listed
     out = df.select(*KEYS).distinct()
     if chosen is not None:
         out = out.where(F.col("channel_id").isin(chosen))
     if subsystem is not None:
         out = out.join(subsystems.where(F.col("subsystem") == subsystem), [*KEYS], "left_semi")
+    if some and out.isEmpty():
+        raise ValueError("no channel is left")
     return out
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from ..functions.series import KEYS, TIME, micros, series, whole
 from .resample import resample_to_grid
 
-TIME_NAMES, TYPE_NAMES, CHANNEL_NAMES = ("timestamp", "time", "datetime", "telemetry_timestamp", "ts"), ("type", "anomaly_type", "category", "class"), ("channel", "chan", "channel_id", "name")
+#: Names of columns, the likeliest first (fixed values).
+TIME_NAMES, TYPE_NAMES, CHANNEL_NAMES = ("timestamp", "time", "datetime", "ts", "date"), ("anomaly_type", "type", "label"), ("channel", "chan", "channel_id", "name")
 
 
 def first_channels(df: DataFrame, n: int, allowed: list[str] | None = None) -> DataFrame:

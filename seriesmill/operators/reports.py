@@ -37,11 +37,19 @@ def diagnosis_summary(diagnoses: DataFrame) -> DataFrame:
 
 
 def error_against_threshold(scored: DataFrame) -> DataFrame:
-    """(keys, labelled_ratio, nominal_ratio, share_above, verdict): medians of error over threshold on labelled and other windows, and the share of labelled ones above it."""
-    r = scored.where("threshold > 0").withColumn("r", F.col("smoothed") / F.col("threshold"))
-    found = r.groupBy(*KEYS).agg(F.median(F.when(F.col("window_label"), F.col("r"))).alias("labelled_ratio"), F.median(F.when(~F.col("window_label"), F.col("r"))).alias("nominal_ratio"), F.avg(F.when(F.col("window_label"), (F.col("r") > 1).cast("double"))).alias("share_above"))
-    verdict = F.when(F.col("labelled_ratio").isNull(), "no labelled windows").when(F.col("share_above") > 0.5, "visible").when(F.col("labelled_ratio") > F.col("nominal_ratio") * 1.5, "raised but below threshold").otherwise("not visible")
-    return found.withColumn("verdict", verdict)
+    """(keys, n_labelled, nominal_error, labelled_error, spike_ratio, labelled_threshold, share_above, verdict): labelled windows; medians of the smoothed error on other and on labelled windows that have a threshold, and how much larger the latter is; the median threshold of the labelled ones, and the share of them above it."""
+    known, label = F.col("threshold").isNotNull(), F.col("window_label")
+    error = F.col("smoothed")
+    found = scored.groupBy(*KEYS).agg(
+        F.count_if(label).alias("n_labelled"),
+        F.median(F.when(known & ~label, error)).alias("nominal_error"),
+        F.median(F.when(known & label, error)).alias("labelled_error"),
+        F.median(F.when(label, F.col("threshold"))).alias("labelled_threshold"),
+        F.coalesce(F.avg(F.when(known & label, (error > F.col("threshold")).cast("double"))), F.lit(0.0)).alias("share_above"),
+    )
+    found = found.withColumn("spike_ratio", F.try_divide("labelled_error", "nominal_error"))
+    verdict = F.when(F.col("n_labelled") == 0, "no labelled windows").when(F.col("share_above") > 0.05, "crosses the threshold").when(F.col("spike_ratio") >= 2.0, "rises below the threshold").otherwise("barely rises")
+    return found.select(*KEYS, "n_labelled", "nominal_error", "labelled_error", "spike_ratio", "labelled_threshold", "share_above", verdict.alias("verdict"))
 
 
 def stream_tally(scored: DataFrame) -> DataFrame:

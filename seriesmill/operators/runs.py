@@ -55,7 +55,7 @@ def longest_above(df: DataFrame, value: str, level: float, keys=KEYS) -> DataFra
     return runs.groupBy(*keys).agg(F.max(F.when(F.col("above"), F.col("count")).otherwise(0)).alias("longest"))
 
 
-def replay_passes(df: DataFrame, arrival: str, keys=()) -> DataFrame:
+def replay_passes(df: DataFrame, arrival: str, keys=KEYS) -> DataFrame:
     """A column `replay`: how often time has gone backwards so far, in order of arrival."""
     window = Window.partitionBy(*keys).orderBy(arrival)
     back = (F.lag(TIME).over(window) > F.col(TIME)).cast("int")

@@ -116,12 +116,15 @@ def residuals(predicted: DataFrame, value: str = "value_normalized") -> DataFram
     return predicted.withColumn("residual", F.col("prediction") - F.col(value).cast("double"))
 
 
-def smooth_errors(df: DataFrame, span: int | Column, error: str = "residual", keys=KEYS) -> DataFrame:
+def smooth_errors(df: DataFrame, span: int | Column, error: str = "residual", keys=KEYS, most_span: int = 800) -> DataFrame:
     """smoothed: the exponentially weighted mean of absolute errors in order of position, starting with the first.
 
-    With q = 1 - 2 / (span + 1), each block of rows is summed by itself, weighted by powers of q; only one number of each block is carried to those after it. So blocks are partitions of their own, and a long series is many tasks. The span may be a column.
+    With q = 1 - 2 / (span + 1), each block of rows is summed by itself, weighted by powers of q; only one number of each block is carried to those after it. So blocks are partitions of their own, and a long series is many tasks. The span may be a column, of values up to most_span; larger ones are an error.
     """
-    span = F.lit(span) if isinstance(span, int) else span
+    if isinstance(span, int):
+        span, most_span = F.lit(span), span
+    else:
+        span = F.when(span <= most_span, span).otherwise(F.raise_error(F.lit(f"a span above most_span, {most_span}")))
     q = F.lit(1.0) - F.lit(2.0) / (span + 1)
     x = F.abs(F.col(error)).cast("double")
     base = df.withColumn("__q", q).withColumn("__x", F.when(F.col("position") == 0, x).otherwise(x * (F.lit(1.0) - F.col("__q"))))
@@ -130,8 +133,9 @@ def smooth_errors(df: DataFrame, span: int | Column, error: str = "residual", ke
     local = F.sum(F.col("__x") * F.pow("__q", -F.col("__k"))).over(inside) * F.pow("__q", F.col("__k"))
     base = base.withColumn("__local", F.when(F.col("__q") > 0, local).otherwise(F.col("__x")))
     blocks = base.groupBy(*keys, "__block").agg(F.max_by("__local", "__k").alias("tail"), F.max("__k").alias("k"), F.first("__q").alias("q"))
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(-64, -1)
-    # What lies 64 blocks back weighs q to the power of 16,384: less than 1e-17 for spans up to 800.
+    # What lies so many blocks back weighs less than 1e-17.
+    back = max(1, -int(-40 * (most_span + 1) // (2 * BLOCK)))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(-back, -1)
     listed = F.collect_list(F.struct("tail", "k", "q")).over(before)
     carry = F.aggregate(listed, F.lit(0.0), lambda c, b: c * F.pow(b["q"], b["k"] + 1) + b["tail"])
     blocks = blocks.select(*keys, "__block", carry.alias("__carry"))

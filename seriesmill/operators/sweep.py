@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import KEYS, ratio, series, so_far
+from ..functions.series import KEYS, ratio, sent_if_small, series, so_far
 from .scoring import evaluation_slice, flag_anomalies, point_metrics, segment_metrics, smooth_errors
 
 #: Bounds of span, window, z and run; the upper ends of whole numbers are exclusive.
@@ -57,7 +57,7 @@ def trials(errors: DataFrame, configs: DataFrame, subsystems: DataFrame, penalty
     """
     keys = (*KEYS, "config")
     first = evaluation_slice(errors.select(*KEYS, "position", "residual", "window_label"), "first", fraction)
-    rows = first.join(F.broadcast(configs))
+    rows = first.join(sent_if_small(configs))
     flagged = flag_anomalies(thresholds_by_row(smooth_errors(rows, F.col("span"), keys=keys), keys), F.col("least_run"), keys)
     points = point_metrics(flagged, keys=keys).select(*keys, "f05", "fp", "n_true", "n")
     each = points.join(segment_metrics(flagged, keys=keys).select(*keys, "seg_f05"), [*keys])
@@ -70,7 +70,7 @@ def best_configs(results: DataFrame, configs: DataFrame, default_config: int, bo
     """The best configuration of each subsystem; the default stays where it is at least as good. near_bound marks a z within 0.1 of the lower bound."""
     order = F.struct("objective", (F.col("config") == default_config).cast("int").alias("d"), (-F.col("config")).alias("c"))
     best = results.groupBy("mission_id", "subsystem").agg(F.max_by(F.struct("config", "objective"), order).alias("b")).select("mission_id", "subsystem", "b.*")
-    return best.join(F.broadcast(configs), "config").withColumn("near_bound", F.col("z") <= bounds["z"][0] + 0.1)
+    return best.join(sent_if_small(configs), "config").withColumn("near_bound", F.col("z") <= bounds["z"][0] + 0.1)
 
 
 def tuned_parameters(channels: DataFrame, subsystems: DataFrame, tuned: DataFrame, default: dict = DEFAULT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions import features
 from ..functions.series import KEYS
 from ..operators import drift, inject, prepare, profile, reports, resample, runs, scoring, sweep
 from ..sources import io, views
+from ..streaming import jobs
 from . import telemetry as tm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -496,7 +498,16 @@ def sco_late_metrics(spark, sf_dir):
     return scoring.point_metrics(scoring.evaluation_slice(tm.scored(spark, sf_dir), "rest")).drop("n")
 
 
-@register()
+def again(sql: str, names: str, mark: str) -> str:
+    """The SQL with the given names marked, to be used a second time."""
+    return re.sub(rf"\b({names})\b", rf"\1{mark}", sql)
+
+
+BOTH = f"""judged AS (SELECT channel_id, position, window_label AS t1, predicted AS p1 FROM pu), {POINTS}, {SEGMENTS}, judged_p AS (SELECT channel_id, position, window_label AS t1, pruned AS p1 FROM pu),
+{again(POINTS, "judged|pm0|pm1|pm", "_p")}, {again(SEGMENTS, "judged|tr0|tr|pd0|pd|sg0|sg1|sg2|sg", "_p")}"""
+
+
+@register(f"WITH RECURSIVE {PRUNED}, {BOTH} SELECT pm.channel_id, pm.tp, pm.fp, pm.fn, pm.n_true, pm.n_predicted, (SELECT count(*) FROM pu WHERE pu.channel_id = pm.channel_id) AS n, {re.sub(r'round[(]', 'round(pm.', NUMBERS)}, {SEGMENT_NUMBERS.replace('seg_true, hit_true, seg_predicted, hit_predicted', 'sg.seg_true, sg.hit_true, sg.seg_predicted, sg.hit_predicted').replace('round(seg', 'round(sg.seg')}, round(pm_p.precision, 6) AS pruned_precision, round(pm_p.recall, 6) AS pruned_recall, round(sg_p.seg_f05, 6) AS pruned_seg_f05, round(sg_p.seg_precision, 6) AS pruned_seg_precision FROM pm JOIN sg USING (channel_id) JOIN pm_p USING (channel_id) JOIN sg_p USING (channel_id)")
 def sco_channel_report(spark, sf_dir):
     return scoring.channel_report(tm.scored(spark, sf_dir), tm.DROP)
 
@@ -593,18 +604,21 @@ def inj_profile_validation(spark, sf_dir):
     return inject.validate_profiles(profiles).select("channel_id", F.size("errors").alias("n_errors"), F.element_at("errors", 1).alias("error"))
 
 
-SHAPES = f"""{SERIES}, {runs_of("is_anomaly", "x", "r")}, sr AS (SELECT r.channel_id, r.a AS start, count(*) AS n, avg(vn::DOUBLE) AS level, stddev_pop(vn::DOUBLE) AS spread, coalesce(regr_slope(vn::DOUBLE, position::DOUBLE), 0) AS slope FROM r JOIN x ON x.channel_id = r.channel_id AND position >= a AND position < b GROUP BY 1, 2),
-ss AS (SELECT *, CASE WHEN n < 2 THEN 'spike' WHEN n < 10 AND abs(level) > 1.5 THEN 'spike' WHEN spread < 0.25 AND abs(level) > 0.3 THEN 'flatline' WHEN abs(slope) * n > 0.8 AND spread < greatest(abs(slope) * n, 0.3) THEN 'drift' ELSE 'level_shift' END AS shape FROM sr)"""
+SHAPES = f"""{SERIES}, {runs_of("is_anomaly", "x", "r")}, no AS (SELECT channel_id, avg(vn::DOUBLE) AS usual, coalesce(nullif(stddev_pop(vn::DOUBLE), 0), 1) AS dev FROM x WHERE NOT is_anomaly GROUP BY 1 HAVING count(*) >= 50),
+sq AS (SELECT r.channel_id, r.a AS start, position::DOUBLE AS p, vn::DOUBLE AS v, usual, dev FROM r JOIN x ON x.channel_id = r.channel_id AND position >= a AND position < b JOIN no ON no.channel_id = r.channel_id),
+sr AS (SELECT channel_id, start, count(*) AS n, (avg(v) - any_value(usual)) / any_value(dev) AS level, stddev_pop(v) / any_value(dev) AS spread, CASE WHEN count(*) > 1 THEN regr_slope(v, p) * count(*) / any_value(dev) ELSE 0 END AS rise, median(abs(v - usual)) / any_value(dev) AS magnitude FROM sq GROUP BY 1, 2),
+ss AS (SELECT *, CASE WHEN n < 2 OR n < 10 AND abs(level) > 1.5 THEN 'spike' WHEN spread < 0.25 AND abs(level) > 0.3 THEN 'flatline' WHEN abs(rise) > 0.8 AND spread < greatest(abs(rise), 0.3) THEN 'drift_ramp' ELSE 'level_shift' END AS shape FROM sr)"""
 
 
-@register(f"WITH {SHAPES} SELECT channel_id, start, n, round(level, 5) AS level, round(spread, 5) AS spread, shape FROM ss")
+@register(f"WITH {SHAPES} SELECT channel_id, start, n, round(level, 5) AS level, round(spread, 5) AS spread, round(rise, 4) AS rise, round(magnitude, 5) AS magnitude, shape FROM ss")
 def inj_shapes(spark, sf_dir):
-    return inject.anomaly_shapes(tm.series(spark, sf_dir)).select("channel_id", "start", "n", F.round("level", 5).alias("level"), F.round("spread", 5).alias("spread"), "shape")
+    out = inject.anomaly_shapes(tm.series(spark, sf_dir))
+    return out.select("channel_id", "start", "n", *(F.round(c, 5).alias(c) for c in ("level", "spread", "magnitude")), F.round("rise", 4).alias("rise"), "shape")
 
 
 CHARACTER = f"""{SERIES}, nm AS (SELECT channel_id, vn::DOUBLE AS v, lag(vn::DOUBLE) OVER (PARTITION BY channel_id ORDER BY position) AS p FROM x WHERE NOT is_anomaly),
 ch AS (SELECT channel_id, count(*) FILTER (abs(v - p) < 0.02)::DOUBLE / nullif(count(v - p), 0) AS flat, stddev_pop(v - p) AS noise, corr(v, p) AS autocorrelation, max(v) - min(v) AS range FROM nm GROUP BY 1 HAVING count(*) >= 50),
-cl AS (SELECT *, CASE WHEN flat > 0.8 THEN 'stepwise' WHEN autocorrelation > 0.95 AND noise < 0.2 THEN 'smooth' WHEN noise > 0.8 THEN 'noisy' WHEN autocorrelation > 0.7 THEN 'periodic' ELSE 'mixed' END AS signal_class FROM ch)"""
+cl AS (SELECT *, CASE WHEN flat > 0.25 AND range > 1.5 THEN 'periodic_flatlines' WHEN autocorrelation > 0.97 AND noise < 0.04 AND range < 2 THEN 'slow_lownoise' WHEN autocorrelation > 0.92 AND noise < 0.1 THEN 'smooth_ramp' WHEN range < 3 AND flat < 0.2 THEN 'bounded_oscillatory' ELSE 'mixed' END AS signal_class FROM ch)"""
 
 
 def _classes(spark, sf_dir):
@@ -616,7 +630,21 @@ def inj_characteristics(spark, sf_dir):
     return _classes(spark, sf_dir).select("channel_id", *(F.round(c, 5).alias(c) for c in ("flat", "noise", "autocorrelation")), F.round("range", 4).alias("range"), "signal_class")
 
 
-@register()
+CLASSES = f"""{CHARACTER}, {SHAPES.removeprefix(SERIES + ", ")},
+ea AS (SELECT channel_id, median(magnitude) AS mag, median(n) AS dur, avg((shape = 'spike')::INT::DOUBLE) AS sp, avg((shape = 'flatline')::INT::DOUBLE) AS fl, avg((shape = 'drift_ramp')::INT::DOUBLE) AS dr, avg((shape = 'level_shift')::INT::DOUBLE) AS lv FROM ss GROUP BY 1),
+cg AS (SELECT signal_class, count(*) AS n_channels, quantile_cont(mag, 0.1) AS m10, quantile_cont(mag, 0.9) AS m90, quantile_cont(dur, 0.1) AS d10, quantile_cont(dur, 0.9) AS d90, round(avg(sp), 2) AS ws, round(avg(fl) + avg(lv) * 0.6::DOUBLE, 2) AS wf, round(avg(dr) + avg(lv) * 0.4::DOUBLE, 2) AS wd FROM cl JOIN ea USING (channel_id) GROUP BY 1),
+ow AS (SELECT *, greatest(0.3::DOUBLE, round(m10, 2)) AS lo, greatest(3, least(20, floor(d10)))::DOUBLE AS sh, greatest(100, least(2000, floor(d90)))::DOUBLE AS lg FROM cg),
+df(signal_class, s, d, f, ml, mh, sl, sh2, dl, dh, fl2, fh) AS (VALUES ('periodic_flatlines', 0.2, 0.15, 0.65, 0.5, 2.5, 1, 5, 10, 200, 20, 400), ('smooth_ramp', 0.15, 0.55, 0.3, 0.4, 2, 1, 5, 20, 500, 20, 300), ('slow_lownoise', 0.1, 0.45, 0.45, 0.4, 2, 1, 4, 30, 600, 30, 600), ('bounded_oscillatory', 0.3, 0.4, 0.3, 0.3, 1.5, 1, 6, 15, 300, 15, 200), ('mixed', 0.1, 0.45, 0.45, 0.4, 2, 1, 4, 30, 600, 30, 600))"""
+
+
+def _own(column: str, own: str, default: str) -> str:
+    return f"(CASE WHEN n_channels >= 3 THEN {own} ELSE {default} END)::DOUBLE AS {column}"
+
+
+@register(
+    f"WITH {CLASSES} SELECT signal_class, coalesce(n_channels, 0) AS n_channels, {_own('spike', 'round(ws / (ws + wd + wf), 3)', 's')}, {_own('drift', 'round(wd / (ws + wd + wf), 3)', 'd')}, {_own('flatline', 'round(wf / (ws + wd + wf), 3)', 'f')}, {_own('magnitude_low', 'lo', 'ml')}, {_own('magnitude_high', 'least(6, round(greatest(m90, lo + 0.5), 2))', 'mh')}, "
+    f"{_own('spike_duration_low', '1', 'sl')}, {_own('spike_duration_high', 'greatest(2, sh)', 'sh2')}, {_own('drift_duration_low', 'sh', 'dl')}, {_own('drift_duration_high', 'lg', 'dh')}, {_own('flatline_duration_low', 'sh', 'fl2')}, {_own('flatline_duration_high', 'lg', 'fh')} FROM df LEFT JOIN ow USING (signal_class)"
+)
 def inj_class_profiles(spark, sf_dir):
     return inject.class_profiles(_classes(spark, sf_dir), inject.anomaly_shapes(tm.series(spark, sf_dir)))
 
@@ -736,6 +764,24 @@ def drf_shown_features(spark, sf_dir):
 # Alerts, reports, catalogue
 
 
+@register(f"WITH {SERIES} SELECT channel_id, us AS telemetry_timestamp, tick_id, round(CASE WHEN std = 0 THEN 0 ELSE (value::DOUBLE - mean) / std END::FLOAT::DOUBLE, 5) AS value_normalized FROM t JOIN pr USING (channel_id)")
+def str_raw_ticks(spark, sf_dir):
+    ticks = views.ticks(spark, sf_dir)
+    raw = jobs.normalized_ticks(ticks, prepare.normalization_params(prepare.fill_nulls(ticks)))
+    return raw.select("channel_id", "telemetry_timestamp", "tick_id", F.round(F.col("value_normalized").cast("double"), 5).alias("value_normalized"))
+
+
+@register(f"WITH {TICKS}, k AS (SELECT channel_id, us - us % 3600000000 AS bucket_us, avg(value::DOUBLE)::FLOAT AS v FROM t GROUP BY 1, 2) SELECT channel_id, bucket_us, round(v::DOUBLE, 5) AS value FROM k QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY bucket_us DESC) = 1")
+def str_flushed_buckets(spark, sf_dir):
+    """What is left open when a stream ends: its means are those of all buckets that a later one has closed."""
+    ticks = views.ticks(spark, sf_dir)
+    bucket = resample.floor_to_grid(F.unix_micros("telemetry_timestamp"), 3600)
+    means = ticks.groupBy(*KEYS, bucket.alias("bucket_us")).agg(F.avg("value").alias("value"))
+    newest = means.groupBy(*KEYS).agg(F.max("bucket_us").alias("newest"))
+    closed = means.join(newest, [*KEYS]).where("bucket_us < newest").drop("newest")
+    return jobs.flush_open(ticks, closed, 3600).select("channel_id", "bucket_us", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
 EDGES = f"{SCORED}, eg AS (SELECT *, lag(predicted, 1, false) OVER ({POS}) AS before, max(position) OVER (PARTITION BY channel_id) - position AS later FROM sc), ed AS (SELECT * FROM eg WHERE predicted AND NOT before)"
 
 
@@ -810,10 +856,13 @@ def rpt_diagnosis_summary(spark, sf_dir):
 RATIOS = f"{SCORED}, rt AS (SELECT *, smoothed / threshold AS r FROM sc WHERE threshold > 0)"
 
 
-@register(f"WITH RECURSIVE {RATIOS}, k AS (SELECT channel_id, median(r) FILTER (window_label) AS lr, median(r) FILTER (NOT window_label) AS nr, avg((r > 1)::INT::DOUBLE) FILTER (window_label) AS sa FROM rt GROUP BY 1) SELECT channel_id, round(lr, 5) AS labelled_ratio, round(nr, 5) AS nominal_ratio, round(sa, 5) AS share_above, CASE WHEN lr IS NULL THEN 'no labelled windows' WHEN sa > 0.5 THEN 'visible' WHEN lr > nr * 1.5 THEN 'raised but below threshold' ELSE 'not visible' END AS verdict FROM k")
+@register(
+    f"WITH RECURSIVE {SCORED}, k AS (SELECT channel_id, count(*) FILTER (window_label) AS n_labelled, median(smoothed) FILTER (NOT window_label AND threshold IS NOT NULL) AS ne, median(smoothed) FILTER (window_label AND threshold IS NOT NULL) AS le, median(threshold) FILTER (window_label AND threshold IS NOT NULL) AS lt, coalesce(avg((smoothed > threshold)::INT::DOUBLE) FILTER (window_label AND threshold IS NOT NULL), 0) AS sa FROM sc GROUP BY 1) "
+    "SELECT channel_id, n_labelled, round(ne, 5) AS nominal_error, round(le, 5) AS labelled_error, round(le / nullif(ne, 0), 4) AS spike_ratio, round(lt, 4) AS labelled_threshold, round(sa, 5) AS share_above, CASE WHEN n_labelled = 0 THEN 'no labelled windows' WHEN sa > 0.05 THEN 'crosses the threshold' WHEN le / nullif(ne, 0) >= 2 THEN 'rises below the threshold' ELSE 'barely rises' END AS verdict FROM k"
+)
 def rpt_error_against_threshold(spark, sf_dir):
     out = reports.error_against_threshold(tm.scored(spark, sf_dir))
-    return out.select("channel_id", *(F.round(c, 5).alias(c) for c in ("labelled_ratio", "nominal_ratio", "share_above")), "verdict")
+    return out.select("channel_id", "n_labelled", *(F.round(c, 5).alias(c) for c in ("nominal_error", "labelled_error", "share_above")), *(F.round(c, 4).alias(c) for c in ("spike_ratio", "labelled_threshold")), "verdict")
 
 
 @register(f"WITH RECURSIVE {SCORED}, judged AS (SELECT channel_id, position, window_label AS t1, predicted AS p1 FROM sc), {SEGMENTS}, k AS (SELECT channel_id, count(*) AS n, count(*) FILTER (window_label) AS labelled, count(*) FILTER (predicted) AS n_predicted, count(threshold) AS warm FROM sc GROUP BY 1) SELECT channel_id, n, labelled, n_predicted, warm, round(seg_recall, 6) AS seg_recall, round(seg_precision, 6) AS seg_precision FROM k JOIN sg USING (channel_id)")
@@ -837,10 +886,16 @@ def rpt_near_misses(spark, sf_dir):
     return reports.near_misses(tm.scored(spark, sf_dir).where("position > 3")).select("channel_id", F.round("labelled_most", 4).alias("labelled_most"), F.round("most", 4).alias("most"))
 
 
-@register()
+SENSITIVE = f"""{SMOOTHED}, ze AS (SELECT e.channel_id || ':' || z AS channel_id, e.channel_id AS c, z, position, window_label, smoothed, avg(smoothed) OVER fr + z * stddev_pop(smoothed) OVER fr AS threshold FROM e JOIN sm USING (channel_id, position) CROSS JOIN (VALUES (3.0::DOUBLE), (2.0), (1.0), (0.75)) v(z) WINDOW fr AS (PARTITION BY e.channel_id, z ORDER BY position ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+za AS (SELECT *, coalesce(smoothed > threshold, false) AS above FROM ze), zr AS (SELECT *, row_number() OVER ({POS}) - row_number() OVER (PARTITION BY channel_id, above ORDER BY position) AS run FROM za),
+zf AS (SELECT *, above AND count(*) OVER (PARTITION BY channel_id, above, run) >= 2 AS predicted FROM zr), judged AS (SELECT channel_id, position, window_label AS t1, predicted AS p1 FROM zf), {SEGMENTS}"""
+
+
+@register(f"WITH RECURSIVE {SENSITIVE} SELECT any_value(c) AS channel_id, any_value(z) AS z, round(arg_max(threshold, struct_pack(smoothed, position)) FILTER (window_label), 4) AS peak_threshold, count(*) FILTER (window_label AND predicted) AS inside, count(*) FILTER (predicted) AS total, round(any_value(seg_recall), 6) AS seg_recall FROM zf JOIN sg USING (channel_id) GROUP BY zf.channel_id")
 def rpt_sensitivity(spark, sf_dir):
     smoothed = scoring.smooth_errors(scoring.residuals(scoring.predict_persistence(tm.windows(spark, sf_dir))), tm.SPAN)
-    return reports.sensitivity(smoothed, tm.WINDOW, [3.0, 2.0, 1.0, 0.75], tm.LEAST_RUN)
+    found = reports.sensitivity(smoothed, tm.WINDOW, [3.0, 2.0, 1.0, 0.75], tm.LEAST_RUN)
+    return found.withColumn("peak_threshold", F.round("peak_threshold", 4))
 
 
 @register(f"WITH RECURSIVE {SCORED}, k AS (SELECT *, position - min(position) FILTER (window_label) OVER (PARTITION BY channel_id) AS \"offset\", count(*) FILTER (window_label AND smoothed > threshold) OVER (PARTITION BY channel_id) AS labelled_above FROM sc) SELECT channel_id, position, \"offset\", above, labelled_above FROM k WHERE \"offset\" >= -2 AND \"offset\" < 12")

@@ -33,11 +33,9 @@ def scored(spark: SparkSession, sf_dir: str, mode: str = "batch") -> DataFrame:
 
 def anomaly_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(channel_id, start, end, peak) of predicted runs."""
-    df = scored(spark, sf_dir)
-    found = runs.find_runs(df, "predicted").withColumnRenamed("start", "a").withColumnRenamed("end", "b")
-    found = found.withColumnRenamed("channel_id", "c").drop("mission_id")
-    joined = df.join(found, (df["channel_id"] == found["c"]) & (df["position"] >= found["a"]) & (df["position"] < found["b"]))
-    return joined.groupBy("channel_id", F.col("a").alias("start"), F.col("b").alias("end")).agg(F.max("smoothed").alias("peak"))
+    marked = runs.mark_runs(scored(spark, sf_dir), "predicted", "run", KEYS, "position").where("predicted")
+    found = marked.groupBy(*KEYS, "run").agg(F.min("position").alias("start"), (F.max("position") + 1).alias("end"), F.max("smoothed").alias("peak"))
+    return found.select("channel_id", "start", "end", "peak")
 
 
 def profiles(spark: SparkSession, sf_dir: str, rows: int = 500) -> tuple[DataFrame, DataFrame]:

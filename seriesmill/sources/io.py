@@ -39,9 +39,14 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ticks(spark: SparkSession, root: str, channels: list[str] | None = None) -> DataFrame:
-    """The tick archive; channels are partitions, so others are not read."""
+    """The tick archive; channels are partitions, so others are not read. An archive that is not there is an error, and so is one without any of the channels asked for."""
     df = spark.read.schema(RAW_TICK).parquet(root)
-    return df if channels is None else df.where(F.col("channel_id").isin(channels))
+    if channels is None:
+        return df
+    df = df.where(F.col("channel_id").isin(channels))
+    if df.isEmpty():
+        raise FileNotFoundError(f"none of {', '.join(channels)} in {root}")
+    return df
 
 
 def archived_channels(ticks: DataFrame, excluded: list[str], registry: DataFrame | None = None) -> DataFrame:
@@ -69,6 +74,19 @@ def read_series(spark: SparkSession, path: str, mission_id: str | None = None, c
     return df
 
 
+def write_profiles(df: DataFrame, path: str) -> None:
+    """Reference profiles by mission and channel; those of the channels present are replaced, others stay."""
+    df.repartition(*KEYS).write.partitionBy(*KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_profiles(spark: SparkSession, path: str, mission_id: str | None = None, channel_id: str | None = None) -> DataFrame:
+    """Reference profiles; an error if the channel asked for has none."""
+    df = read_series(spark, path, mission_id, channel_id)
+    if channel_id is not None and df.isEmpty():
+        raise FileNotFoundError(f"no reference profile of {mission_id}/{channel_id} in {path}")
+    return df
+
+
 def partition_statistics(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min(F.unix_micros(TIME)).alias("first_us"), F.max(F.unix_micros(TIME)).alias("last_us"))
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.series import KEYS, TIME
+from ..functions.series import KEYS, TIME, sent_if_small
+from ..operators.prepare import apply_params
+from ..operators.resample import floor_to_grid
 
 GRID = "mission_id string, channel_id string, bucket_us bigint, value float"
 SCORED = "mission_id string, channel_id string, bucket_us bigint, value double, prediction double, smoothed double, threshold double, predicted boolean"
@@ -32,6 +34,19 @@ def bucket_means(ticks: DataFrame, seconds: int, delay: str) -> DataFrame:
     return grouped.agg(F.avg(F.col("value").cast("double")).alias("value")).select(*KEYS, F.unix_micros("window.start").alias("bucket_us"), F.col("value").cast("float").alias("value"))
 
 
+def flush_open(ticks: DataFrame, means: DataFrame, seconds: int) -> DataFrame:
+    """(keys, bucket_us, value) of the buckets that a finished stream has left open, from its ticks and the means that it has put out: those after the last one of each series."""
+    closed = means.groupBy(*KEYS).agg(F.max("bucket_us").alias("closed_us"))
+    bucketed = ticks.withColumn("bucket_us", floor_to_grid(F.unix_micros(TIME), seconds)).join(closed, [*KEYS], "left")
+    left = bucketed.where(F.col("closed_us").isNull() | (F.col("bucket_us") > F.col("closed_us")))
+    return left.groupBy(*KEYS, "bucket_us").agg(F.avg(F.col("value").cast("double")).cast("float").alias("value"))
+
+
+def normalized_ticks(ticks: DataFrame, params: DataFrame, value: str = "value") -> DataFrame:
+    """The raw stream beside the scored one: each tick normalised at once by its series' stored parameters, without waiting for its bucket. Ticks of series without parameters go."""
+    return apply_params(ticks, params, value)
+
+
 def fill_grid(means: DataFrame, seconds: int, stale_s: float | None = None) -> DataFrame:
     """Closed buckets with the empty ones between two of them filled from the one before. A stretch longer than stale_s is an outage and is not filled."""
     grid = seconds * 1_000_000
@@ -65,6 +80,15 @@ class OnlineScorer:
     def state(self) -> tuple:
         return self.values, self.smoothed, self.ring, self.flags
 
+    def reset(self) -> None:
+        self.values, self.smoothed, self.ring, self.flags = [], None, [], 0
+
+    def prime(self, values: list[float]) -> None:
+        """Start anew from past values: they fill the inputs, and are scored without a result, so that thresholds are there at once."""
+        self.reset()
+        for value in values:
+            self.step(value)
+
     def step(self, value: float) -> tuple[float | None, float | None, float | None, bool]:
         prediction = threshold = None
         predicted = False
@@ -82,20 +106,31 @@ class OnlineScorer:
         return prediction, self.smoothed if prediction is not None else None, threshold, predicted
 
 
-def score_grid(grid: DataFrame, inputs: int, span: int, window: int, z: float, least_run: int, history: dict[tuple, list[float]] | None = None) -> DataFrame:
-    """Scores of a grid stream by a persistence forecast; history primes series with values from before, a bounded number each."""
+def score_grid(grid: DataFrame, inputs: int, span: int, window: int, z: float, least_run: int, history: dict[tuple, list[float]] | None = None, stale_s: float | None = None, recent: int | None = None) -> DataFrame:
+    """Scores of a grid stream by a persistence forecast; history primes series with values from before, a bounded number each.
+
+    With stale_s, a step of more than that between two buckets of a series is an outage: after it the series' state starts anew, primed with its last `recent` values from before (as many as inputs and threshold hold), so that neither smoothed errors nor flags go on across it.
+    """
+    recent = inputs + window if recent is None else recent
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scorer = OnlineScorer(inputs, span, window, z, least_run, state.get if state.exists else None)
-        if not state.exists:
-            for value in (history or {}).get(key, []):
-                scorer.step(value)
-        rows = pd.concat(list(frames)).sort_values("bucket_us")
-        out = [(*key, at, value, *scorer.step(value)) for at, value in zip(rows["bucket_us"].tolist(), map(float, rows["value"]), strict=True)]
-        state.update(scorer.state())
+        last, past = None, []
+        if state.exists:
+            *kept, last, past = state.get
+            scorer, past = OnlineScorer(inputs, span, window, z, least_run, tuple(kept)), [*past]
+        else:
+            scorer = OnlineScorer(inputs, span, window, z, least_run)
+            scorer.prime(past := list((history or {}).get(key, [])))
+        rows, out = pd.concat(list(frames)).sort_values("bucket_us"), []
+        for at, value in zip(rows["bucket_us"].tolist(), map(float, rows["value"]), strict=True):
+            if stale_s and last is not None and at - last > stale_s * 1e6:
+                scorer.prime(past[-recent:] if recent else [])
+            out.append((*key, at, value, *scorer.step(value)))
+            last, past = at, [*past, value][-recent:] if recent else []
+        state.update((*scorer.state(), last, past[-recent:] if stale_s and recent else []))
         yield pd.DataFrame(out, columns=[*KEYS, "bucket_us", "value", "prediction", "smoothed", "threshold", "predicted"])
 
-    kept = "v array<double>, smoothed double, ring array<double>, flags int"
+    kept = "v array<double>, smoothed double, ring array<double>, flags int, last bigint, past array<double>"
     return grid.groupBy(*KEYS).applyInPandasWithState(run, SCORED, kept, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -125,6 +160,55 @@ def drift_stream(grid: DataFrame, reference: dict[tuple, list[float]], size: int
     return grid.groupBy(*KEYS).applyInPandasWithState(run, schema, "v array<double>, n bigint, alerts int", "append", GroupStateTimeout.NoTimeout)
 
 
+def drift_snapshots(grid: DataFrame, reference: dict[tuple, list[float]], interval: float = 1.0, size: int = 256, every: int = 10, threshold: float = 0.1, share: float = 0.3, confirmations: int = 3) -> DataFrame:
+    """(keys, bucket_us, features, share, alert, confirmed): drift of the last values, and of their changes by the interval, against bounded reference samples by (keys, feature), every so many buckets once there are enough. A feature without values on a side scores 0. An alert is confirmed when so many in a row have alerted."""
+    import numpy as np
+
+    def distance(a: np.ndarray, b: np.ndarray) -> float:
+        if not len(a) or not len(b):
+            return 0.0
+        x = np.sort(np.concatenate((a, b)))
+        gap = np.abs(np.searchsorted(np.sort(a), x[:-1], "right") / len(a) - np.searchsorted(np.sort(b), x[:-1], "right") / len(b))
+        return float((gap * np.diff(x)).sum() / max(a.std(), 0.001))
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        values, n, alerts = state.get if state.exists else ([], 0, 0)
+        values, out = [*values], []
+        known = {f: np.array(reference.get((*key, f), []), float) for f in ("value", "change")}
+        rows = pd.concat(list(frames)).sort_values("bucket_us")
+        for at, value in zip(rows["bucket_us"].tolist(), map(float, rows["value"]), strict=True):
+            values, n = [*values, value][-size:], n + 1
+            if n >= size and (n - size) % every == 0:
+                now = np.array(values)
+                scores = {"value": distance(known["value"], now), "change": distance(known["change"], np.diff(now) / interval)}
+                drifted = sum(s >= threshold for s in scores.values()) / len(scores)
+                alerts = alerts + 1 if drifted >= share else 0
+                out.append((*key, at, [{"feature": f, "score": s, "drifted": s >= threshold} for f, s in scores.items()], drifted, drifted >= share, alerts >= confirmations))
+        state.update((values, n, alerts))
+        yield pd.DataFrame(out, columns=[*KEYS, "bucket_us", "features", "share", "alert", "confirmed"])
+
+    schema = "mission_id string, channel_id string, bucket_us bigint, features array<struct<feature:string,score:double,drifted:boolean>>, share double, alert boolean, confirmed boolean"
+    return grid.groupBy(*KEYS).applyInPandasWithState(run, schema, "v array<double>, n bigint, alerts int", "append", GroupStateTimeout.NoTimeout)
+
+
+def subsystem_drift(snapshots: DataFrame, subsystems: DataFrame, share: float = 0.3) -> DataFrame:
+    """(mission_id, subsystem, bucket_us, share, alert): after each snapshot, the share of a subsystem's channels heard so far whose newest snapshot is confirmed, and whether it is so large."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names, flags = state.get if state.exists else ([], [])
+        newest, out = dict(zip(names, flags, strict=True)), []
+        for row in pd.concat(list(frames)).sort_values(["bucket_us", "channel_id"]).itertuples():
+            newest[row.channel_id] = bool(row.confirmed)
+            now = sum(newest.values()) / len(newest)
+            out.append((*key, row.bucket_us, now, now >= share))
+        state.update(([*newest], [*newest.values()]))
+        yield pd.DataFrame(out, columns=["mission_id", "subsystem", "bucket_us", "share", "alert"])
+
+    named = snapshots.select(*KEYS, "bucket_us", "confirmed").join(subsystems.select(*KEYS, "subsystem"), [*KEYS])
+    schema = "mission_id string, subsystem string, bucket_us bigint, share double, alert boolean"
+    return named.groupBy("mission_id", "subsystem").applyInPandasWithState(run, schema, "names array<string>, flags array<boolean>", "append", GroupStateTimeout.NoTimeout)
+
+
 def staleness(ticks: DataFrame, lost_s: float = 60.0, fatal_s: float = 5400.0) -> DataFrame:
     """(mission_id, event, us): lost once no channel has had a tick for lost_s, fatal after fatal_s, recovered with the next tick; by event time, in order within a micro-batch, older ticks change nothing. Each partition's ticks are reduced to a row a second before they meet in the single state of the mission."""
 
@@ -153,7 +237,7 @@ def staleness(ticks: DataFrame, lost_s: float = 60.0, fatal_s: float = 5400.0) -
 
 def inject_live(grid: DataFrame, faults: DataFrame) -> DataFrame:
     """A grid stream with faults (keys, type, from_us, to_us, magnitude, anchor) on the buckets within [from_us, to_us): a spike goes the value's way, a drift rises over the first half, a flatline holds its anchor. The fault table is a bounded list of active faults."""
-    active = F.broadcast(faults)
+    active = sent_if_small(faults)
     on = [grid[k] == active[k] for k in KEYS] + [grid["bucket_us"] >= active["from_us"], grid["bucket_us"] < active["to_us"]]
     half = (active["to_us"] - active["from_us"]) / 2
     share = F.least(F.lit(1.0), (grid["bucket_us"] - active["from_us"]) / half)
@@ -162,6 +246,29 @@ def inject_live(grid: DataFrame, faults: DataFrame) -> DataFrame:
     return grid.join(active, on, "left").select(*(grid[c] for c in grid.columns if c != "value"), new.cast("float").alias("value"), active["type"].isNotNull().alias("injected"))
 
 
+def inject_live_anchored(grid: DataFrame, faults: DataFrame) -> DataFrame:
+    """inject_live for faults without an anchor: a flatline holds the first value that its series has within it, which is kept as state."""
+    flat = sent_if_small(faults.where("type = 'flatline'"))
+    within = [grid[k] == flat[k] for k in KEYS] + [grid["bucket_us"] >= flat["from_us"], grid["bucket_us"] < flat["to_us"]]
+    marked = grid.join(flat, within, "left").select(*(grid[c] for c in ("mission_id", "channel_id", "bucket_us", "value")), flat["from_us"].alias("since"))
+
+    def hold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since, anchor = state.get if state.exists else (None, None)
+        out = []
+        for row in pd.concat(list(frames)).sort_values("bucket_us").itertuples():
+            start = None if pd.isna(row.since) else int(row.since)
+            if start is not None and start != since:
+                since, anchor = start, float(row.value)
+            out.append((*key, row.bucket_us, row.value if start is None else anchor, start is not None))
+        if since is not None:
+            state.update((since, anchor))
+        yield pd.DataFrame(out, columns=[*KEYS, "bucket_us", "value", "held"])
+
+    held = marked.groupBy(*KEYS).applyInPandasWithState(hold, f"{GRID}, held boolean", "since bigint, anchor double", "append", GroupStateTimeout.NoTimeout)
+    others = inject_live(held, faults.where("type != 'flatline'").withColumn("anchor", F.lit(None).cast("double")))
+    return others.withColumn("injected", F.col("injected") | F.col("held")).drop("held")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """All that a stream has now, as a table."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

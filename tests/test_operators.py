@@ -270,6 +270,40 @@ def test_profiles_and_columns(spark):
     assert profile.detect_column(df.withColumnRenamed("channel_id", "Channel"), profile.CHANNEL_NAMES) == "Channel"
 
 
+def test_shapes_are_taken_against_nominal_rows(spark):
+    nominal = [float(k % 2) * 2 + 10 for k in range(100)]  # mean 11, deviation 1
+    runs_of = [[14.0] * 3, [11.5] * 20, [11.0 + 0.2 * k for k in range(20)], [11.0 + (3 if k % 2 else -3) for k in range(20)], [20.0]]
+    values = [(v, False) for v in nominal]
+    for run in runs_of:
+        values += [(v, True) for v in run] + [(10.0, False), (12.0, False)]
+    df = positioned(spark, values, "value_normalized double, is_anomaly boolean")
+    shapes = inject.anomaly_shapes(df).orderBy("start").collect()
+    assert [r["shape"] for r in shapes] == ["spike", "flatline", "drift_ramp", "level_shift", "spike"]
+    assert shapes[0].level == pytest.approx(3) and shapes[1].magnitude == pytest.approx(0.5) and shapes[2].rise == pytest.approx(4)
+    assert inject.anomaly_shapes(df, least=1000).count() == 0
+    classes = spark.createDataFrame([("m", c, "smooth_ramp") for c in "cde"] + [("m", "x", "mixed")], "mission_id string, channel_id string, signal_class string")
+    several = inject.anomaly_shapes(df)
+    for c in "dex":
+        several = several.union(inject.anomaly_shapes(df.withColumn("channel_id", F.lit(c))))
+    got = {r.signal_class: r for r in inject.class_profiles(classes, several).collect()}
+    assert len(got) == 5 and got["slow_lownoise"].n_channels == 0 and got["mixed"].drift == 0.45
+    own = got["smooth_ramp"]
+    assert (own.spike, own.flatline, own.drift) == (0.4, 0.32, 0.28) and own.n_channels == 3
+    assert (own.spike_duration_high, own.drift_duration_low, own.drift_duration_high) == (20, 20, 100)
+    assert own.magnitude_low == 3.0 and own.magnitude_high == 3.5
+    assert {r.spike for r in inject.class_profiles(classes, several, detectable=True).collect()} == {0.4}
+
+
+def test_smoothing_over_many_blocks_of_a_long_span(spark):
+    values, s, alpha = [1000.0] + [0.0] * 30_000, None, 2 / 20_001
+    got = listed(scoring.smooth_errors(positioned(spark, values, "residual double"), 20_000), "smoothed")
+    for x, y in zip(values, got, strict=True):
+        s = x if s is None else alpha * x + (1 - alpha) * s
+        assert y == pytest.approx(s, rel=1e-9)
+    with pytest.raises(Exception, match="most_span"):
+        scoring.smooth_errors(positioned(spark, values[:3], "residual double"), F.lit(900)).collect()
+
+
 def test_rising_edges(spark):
     df = positioned(spark, [(True, True), (True, True), (False, False), (True, False)], "predicted boolean, window_label boolean")
     assert [(r.position, r.truth_match) for r in reports.rising_edges(df).orderBy("position").collect()] == [(0, True), (3, False)]
@@ -284,6 +318,12 @@ def test_files(spark, tmp_path):
     back = io.read_series(spark, f"file://{tmp_path}/s", "m")
     assert back.groupBy("channel_id").count().orderBy("channel_id").collect() == [("c", 40), ("d", 3)]
     assert io.content_fingerprint(df, ["tick_id"]).first() == io.content_fingerprint(df.repartition(3), ["tick_id"]).first()
+    io.write_profiles(df, f"file://{tmp_path}/p")
+    assert io.read_profiles(spark, f"file://{tmp_path}/p", "m", "c").count() == 40
+    with pytest.raises(FileNotFoundError):
+        io.read_profiles(spark, f"file://{tmp_path}/p", "m", "d")
+    with pytest.raises(ValueError, match="no channel"):
+        prepare.resolve_channels(df, explicit=["x"], some=True)
     assert len(io.file_fingerprint(back).first()["fingerprint"]) == 64
     spark.createDataFrame([(START, 1.5, "x")], "datetime timestamp, ch double, txt string").write.parquet(f"file://{tmp_path}/raw")
     assert io.read_raw_channel(spark, f"file://{tmp_path}/raw", "ch", "m").first()["value"] == 1.5

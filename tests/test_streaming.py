@@ -46,6 +46,61 @@ def test_online_scores_equal_strict_batch(spark, tmp_path):
     assert any(a.predicted for a in late)
 
 
+def test_scores_start_anew_after_an_outage(spark, tmp_path):
+    values = [float((k * 7919) % 101) / 50 + (9 if 60 <= k < 64 else 0) for k in range(160)]
+    rows = [("m", "c", (k + (1000 if k >= 62 else 0)) * 30_000_000, v) for k, v in enumerate(values)]
+    for recent in (0, 15, None):
+        stream = source(spark, tmp_path, rows, jobs.GRID, f"in{recent}")
+        out = jobs.score_grid(stream, 10, 5, 20, 2.0, 2, {("m", "c"): [1.0] * 40}, 3600, recent)
+        online = jobs.run_to_table(out, f"file://{tmp_path}/out{recent}", f"file://{tmp_path}/c{recent}").orderBy("bucket_us").collect()
+        scorer = jobs.OnlineScorer(10, 5, 20, 2.0, 2)
+        scorer.prime([1.0] * 40)
+        want = [scorer.step(v) for v in values[:62]]
+        scorer.prime(([1.0] * 40 + values[:62])[-(30 if recent is None else recent) :] if recent != 0 else [])
+        want += [scorer.step(v) for v in values[62:]]
+        assert [(r.prediction, r.smoothed, r.threshold, r.predicted) for r in online] == [pytest.approx(w, abs=1e-5) for w in want]
+        assert (online[62].prediction is None) == (recent == 0) and (online[62].threshold is not None) == (recent is None)
+
+
+def test_open_buckets_are_flushed_and_ticks_pass_raw(spark, tmp_path):
+    schema = "mission_id string, channel_id string, telemetry_timestamp timestamp, value float"
+    ticks = [("m", "c", START + timedelta(seconds=s), v) for s, v in ((10, 5.0), (100, 9.0), (130, 1.0), (140, 2.0))] + [("m", "d", START, 3.0)]
+    stream = source(spark, tmp_path, ticks, schema)
+    means = jobs.run_to_table(jobs.bucket_means(stream, 30, "0 seconds"), f"file://{tmp_path}/means", f"file://{tmp_path}/c1")
+    left = jobs.flush_open(spark.createDataFrame(ticks, schema), means, 30)
+    whole = sorted((r.channel_id, r.value) for r in means.union(left).collect())
+    assert whole == [("c", 1.5), ("c", 5.0), ("c", 9.0), ("d", 3.0)]
+    params = spark.createDataFrame([("m", "c", 1.0, 2.0)], "mission_id string, channel_id string, mean double, std double")
+    raw = jobs.run_to_table(jobs.normalized_ticks(stream, params), f"file://{tmp_path}/raw", f"file://{tmp_path}/c2")
+    assert sorted(r.value_normalized for r in raw.collect()) == [0.0, 0.5, 2.0, 4.0]
+
+
+def test_drift_of_both_features_and_subsystems(spark, tmp_path):
+    rows = [("m", c, k, float(k % 3) + (5.0 if c == "c" and k >= 40 else 0.0)) for k in range(80) for c in ("c", "d")]
+    stream = source(spark, tmp_path, rows, jobs.GRID)
+    known = {("m", c, f): xs for c in ("c", "d") for f, xs in (("value", [0.0, 1.0, 2.0] * 20), ("change", [1.0, 1.0, -2.0] * 20))}
+    snapshots = jobs.run_to_table(jobs.drift_snapshots(stream, known, 1.0, 30, 10, 0.3, 0.5, 2), f"file://{tmp_path}/out", f"file://{tmp_path}/c")
+    found = {(r.channel_id, r.bucket_us): r for r in snapshots.collect()}
+    assert sorted(k for c, k in found if c == "c") == [29, 39, 49, 59, 69, 79]
+    assert [found["c", k].confirmed for k in (29, 39, 49, 59, 69, 79)] == [False, False, False, True, True, True]
+    assert not any(found["d", k].alert for k in (29, 39, 49, 59, 69, 79))
+    last = {f.feature: f for f in found["c", 79].features}
+    assert last["value"].drifted and not last["change"].drifted and found["c", 79].share == 0.5
+    again = spark.readStream.schema(snapshots.schema).parquet(f"file://{tmp_path}/out")
+    subsystems = spark.createDataFrame([("m", "c", "s"), ("m", "d", "s")], "mission_id string, channel_id string, subsystem string")
+    states = jobs.run_to_table(jobs.subsystem_drift(again, subsystems, 0.5), f"file://{tmp_path}/subs", f"file://{tmp_path}/c3").orderBy("bucket_us").collect()
+    assert states[-1].bucket_us == 79 and states[-1].share == 0.5 and states[-1].alert and not states[0].alert
+
+
+def test_live_flatlines_anchor_themselves(spark, tmp_path):
+    rows = [("m", c, k * 10, float(k + (100 if c == "d" else 0))) for k in range(12) for c in ("c", "d")]
+    stream = source(spark, tmp_path, rows, jobs.GRID)
+    faults = spark.createDataFrame([("m", "c", "flatline", 25, 60, None), ("m", "d", "spike", 30, 40, 3.0), ("m", "c", "flatline", 80, 100, None)], "mission_id string, channel_id string, type string, from_us long, to_us long, magnitude double")
+    out = jobs.run_to_table(jobs.inject_live_anchored(stream, faults), f"file://{tmp_path}/out", f"file://{tmp_path}/c").orderBy("channel_id", "bucket_us").collect()
+    assert [(r.value, r.injected) for r in out if r.channel_id == "c"] == [(0.0, False), (1.0, False), (2.0, False), *[(3.0, True)] * 3, (6.0, False), (7.0, False), *[(8.0, True)] * 2, (10.0, False), (11.0, False)]
+    assert [(r.value, r.injected) for r in out if r.channel_id == "d"][3:5] == [(106.0, True), (104.0, False)]
+
+
 def test_staleness_events(spark, tmp_path):
     at = [0, 10, 200, 210, 7000, 7400]
     ticks = [("m", f"c{k % 2}", START + timedelta(seconds=s)) for k, s in enumerate(at)]
