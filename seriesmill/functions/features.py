@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .series import KEYS, TIE, TIME, micros, series
 
 WINDOWS = (10, 50, 100)
@@ -66,34 +67,11 @@ def latest_features(df: DataFrame, value: str = "value_normalized", windows=WIND
     return frame.groupBy(*KEYS).agg(F.max_by(F.struct(*inner), F.struct(TIME, TIE)).alias("f")).select(*KEYS, "f.*")
 
 
-def blocked(df: DataFrame, rows: int, halo: int, keys=KEYS) -> DataFrame:
-    """For series too long for one task: rows in blocks of so many rows by position, each copied into the block after it as well if it is among the last `halo` of its own.
-
-    Needs a column `position` (from 0). Windows that look back at most `halo` rows can then be partitioned by keys and `block`; rows with `own` false are dropped afterwards.
-    """
-    block = F.floor(F.col("position") / rows)
-    copies = F.when(F.col("position") % rows >= rows - halo, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = df.withColumn("block", F.explode(copies))
-    return spread.withColumn("own", F.col("block") == F.floor(F.col("position") / rows))
-
-
-def positions(df: DataFrame, keys=KEYS, buckets: str = "hour") -> DataFrame:
-    """Position of each row in its series, from counts by time bucket and a running total over buckets, so that no series is sorted in one task."""
-    from pyspark.sql.functions import date_trunc
-
-    cut = df.withColumn("bucket", date_trunc(buckets, TIME))
-    before = cut.groupBy(*keys, "bucket").count()
-    running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select(*keys, "bucket", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(*keys, "bucket").orderBy(TIME, TIE)
-    return cut.withColumn("inside", F.row_number().over(inside) - 1).join(before, [*keys, "bucket"]).withColumn("position", F.col("inside") + F.col("before")).drop("inside", "before", "bucket")
-
-
 def blocked_features(df: DataFrame, value: str = "value_normalized", windows=WINDOWS, rows: int = 100_000) -> DataFrame:
     """feature_frame for skewed series: every task holds at most one block and its halo."""
-    spread = blocked(positions(df), rows, max(windows))
-    keys = (*KEYS, "block")
+    spread = blocks.by_position(blocks.numbered(df), max(windows), rows=rows)
+    keys = (*KEYS, blocks.BLOCK)
     made = {f"rolling_{kind}_{n}": rolling(kind, n, value, keys) for n in windows for kind in ("mean", "std", "min", "max")}
     made["rate_of_change"] = rate_of_change(value, keys)
-    full = spread.select(*KEYS, TIME, TIE, F.col(value).cast("double").alias(value), "own", *(c.alias(name) for name, c in made.items()))
-    return full.where("own").drop("own").dropna(subset=[value, *names(windows)])
+    full = spread.select(*KEYS, TIME, TIE, F.col(value).cast("double").alias(value), blocks.OWN, *(c.alias(name) for name, c in made.items()))
+    return full.where(blocks.OWN).drop(blocks.OWN).dropna(subset=[value, *names(windows)])

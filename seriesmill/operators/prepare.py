@@ -5,33 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import KEYS, TIME, micros, series, so_far, whole
+from ..functions import blocks
+from ..functions.series import KEYS, TIME, micros, so_far, whole
 from .runs import merge_intervals
 
 
-def fill_nulls(df: DataFrame, value: str = "value", keys=KEYS) -> DataFrame:
-    """Carry the last value forward over nulls; rows before the first value go."""
-    filled = F.last(value, ignorenulls=True).over(so_far(series(keys)))
-    return df.withColumn(value, filled).where(F.col(value).isNotNull())
+def _filled(df: DataFrame, value: str, keys, seconds: float) -> DataFrame:
+    """The rows from the first value on, in blocks by time, with nulls filled, their number (`__at`) and the time of the row before (`__previous_us`). A block has to know of those before it their last value, their last time and how many of their rows stay."""
+    inside = blocks.within(keys)
+    local = blocks.by_time(df, seconds).withColumns({"__known": F.last(value, ignorenulls=True).over(so_far(inside)), "__us": F.lag(micros()).over(inside), "__row": F.row_number().over(inside)})
+    local = local.withColumn("__met", F.count("__known").over(so_far(inside)))
+    ends = local.groupBy(*keys, blocks.BLOCK).agg(F.count("*").alias("__n"), F.count("__known").alias("__kept"), F.max_by("__known", "__row").alias("__end"), F.max(micros()).alias("__end_us"))
+    ends = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(blocks.earlier(keys))).withColumn("__last_us", F.lag("__end_us").over(blocks.sequence(keys)))
+    stay = F.when(F.col("__before").isNotNull(), F.col("__n")).otherwise(F.col("__kept"))
+    carries = ends.select(*keys, blocks.BLOCK, "__before", "__last_us", F.coalesce(F.sum(stay).over(blocks.earlier(keys)), F.lit(0)).alias("__rows"))
+    carried = F.col("__before").isNotNull()
+    previous = F.when(carried, F.coalesce("__us", "__last_us")).when(F.col("__met") > 1, F.col("__us"))
+    at = F.col("__rows") + F.when(carried, F.col("__row")).otherwise(F.col("__met")) - 1
+    out = local.join(carries, [*keys, blocks.BLOCK]).withColumn(value, F.coalesce("__known", "__before")).where(F.col(value).isNotNull())
+    return out.select(*df.columns, blocks.BLOCK, at.alias("__at"), previous.alias("__previous_us"))
+
+
+def _segmented(df: DataFrame, multiplier: float, value: str, keys, seconds: float) -> DataFrame:
+    """_filled with is_gap, segment_id and facts of the whole series (mean, std, __first, __last), which are gathered at once."""
+    x = F.col(value).cast("double")
+    rows = _filled(df, value, keys, seconds).withColumn("__step", micros() - F.col("__previous_us"))
+    facts = rows.groupBy(*keys).agg(F.median("__step").alias("__median"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.min(micros()).alias("__first"), F.max(micros()).alias("__last"))
+    flagged = rows.join(facts, [*keys]).withColumn("is_gap", F.coalesce(F.col("__step") > F.col("__median") * multiplier, F.lit(False)))
+    return blocks.running(flagged, F.col("is_gap").cast("int"), "segment_id", keys).withColumn("segment_id", F.col("segment_id").cast("int"))
 
 
-def detect_gaps(df: DataFrame, multiplier: float = 3.0, keys=KEYS) -> DataFrame:
-    """Columns is_gap and segment_id: a gap is a step in time of more than so many exact medians of the series' steps; segments are numbered from 0."""
-    stepped = df.withColumn("step_us", micros() - F.lag(micros()).over(series(keys)))
-    medians = stepped.groupBy(*keys).agg(F.median("step_us").alias("median_us"))
-    flagged = stepped.join(medians, [*keys]).withColumn("is_gap", F.coalesce(F.col("step_us") > F.col("median_us") * multiplier, F.lit(False)))
-    return number_segments(flagged.drop("step_us", "median_us"), keys)
+def fill_nulls(df: DataFrame, value: str = "value", keys=KEYS, seconds: float = blocks.DAY) -> DataFrame:
+    """Carry the last value forward over nulls; rows before the first value go. The work is split into blocks of so many seconds."""
+    return _filled(df, value, keys, seconds).select(*df.columns)
 
 
-def number_segments(df: DataFrame, keys=KEYS) -> DataFrame:
-    return df.withColumn("segment_id", F.sum(F.col("is_gap").cast("int")).over(so_far(series(keys))).cast("int"))
+def detect_gaps(df: DataFrame, multiplier: float = 3.0, keys=KEYS, value: str = "value", seconds: float = blocks.DAY) -> DataFrame:
+    """fill_nulls with columns is_gap and segment_id: a gap is a step in time of more than so many exact medians of the series' steps; segments are numbered from 0."""
+    return _segmented(df, multiplier, value, keys, seconds).select(*df.columns, "is_gap", "segment_id")
 
 
-def split_at_outages(df: DataFrame, keys=KEYS) -> DataFrame:
+def split_at_outages(df: DataFrame, keys=KEYS, seconds: float = blocks.DAY) -> DataFrame:
     """Changes of is_los start segments too; before the first row there is no outage."""
-    window = series(keys)
-    change = (F.col("is_los") != F.lag("is_los", 1, False).over(window)).cast("int")
-    return df.withColumn("change", change).withColumn("segment_id", (F.col("segment_id") + F.sum("change").over(so_far(window))).cast("int")).drop("change")
+    inside = blocks.within(keys)
+    local = blocks.by_time(df, seconds).withColumn("__row", F.row_number().over(inside)).withColumn("__change", F.coalesce(F.col("is_los") != F.lag("is_los").over(inside), F.lit(False)).cast("int"))
+    ends = local.groupBy(*keys, blocks.BLOCK).agg(F.min_by("is_los", "__row").alias("__first"), F.max_by("is_los", "__row").alias("__end"), F.sum("__change").alias("__changes"))
+    ends = ends.withColumn("__start", (F.col("__first") != F.lag("__end", 1, False).over(blocks.sequence(keys))).cast("int"))
+    carry = F.coalesce(F.sum(F.col("__changes") + F.col("__start")).over(blocks.earlier(keys)), F.lit(0)) + F.col("__start")
+    joined = local.withColumn("__change", F.sum("__change").over(so_far(inside))).join(ends.select(*keys, blocks.BLOCK, carry.alias("__before")), [*keys, blocks.BLOCK])
+    return joined.withColumn("segment_id", (F.col("segment_id") + F.col("__change") + F.col("__before")).cast("int")).select(*df.columns)
 
 
 def normalization_params(df: DataFrame, value: str = "value", keys=KEYS, stats_scope: str = "full") -> DataFrame:
@@ -41,10 +63,14 @@ def normalization_params(df: DataFrame, value: str = "value", keys=KEYS, stats_s
     return rows.groupBy(*keys).agg(F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"))
 
 
+def _normalized(df: DataFrame, value: str = "value") -> DataFrame:
+    x = F.when(F.col("std") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col(value).cast("double") - F.col("mean"), F.col("std")))
+    return df.withColumn("value_normalized", x.cast("float")).drop("mean", "std")
+
+
 def apply_params(df: DataFrame, params: DataFrame, value: str = "value", keys=KEYS) -> DataFrame:
     """value_normalized by stored parameters; 0 for a constant series."""
-    x = F.when(F.col("std") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col(value).cast("double") - F.col("mean"), F.col("std")))
-    return df.join(params.select(*keys, "mean", "std"), [*keys]).withColumn("value_normalized", x.cast("float")).drop("mean", "std")
+    return _normalized(df.join(params.select(*keys, "mean", "std"), [*keys]), value)
 
 
 def normalize(df: DataFrame, value: str = "value", keys=KEYS, stats_scope: str = "full") -> DataFrame:
@@ -65,21 +91,29 @@ def label_timesteps(df: DataFrame, labels: DataFrame, keys=KEYS, bucket: str = "
     return joined.select(*[rows[c] for c in df.columns], cut["start_time"].isNotNull().alias("is_anomaly"))
 
 
-def split_by_time(df: DataFrame, fraction: float = 0.8, lookback_us: int | None = None, keys=KEYS) -> DataFrame:
-    """split: train up to the given fraction of the series' time span, test after it; with a lookback, training rows from before it go."""
-    first, last = F.min(micros()).over(whole(keys)), F.max(micros()).over(whole(keys))
-    out = df.withColumn("cutoff_us", first + F.lit(fraction) * (last - first)).withColumn("split", F.when(micros() <= F.col("cutoff_us"), "train").otherwise("test"))
+def _split(df: DataFrame, fraction: float, lookback_us: int | None) -> DataFrame:
+    cutoff = F.col("__first") + F.lit(fraction) * (F.col("__last") - F.col("__first"))
+    out = df.withColumn("split", F.when(micros() <= cutoff, "train").otherwise("test"))
     if lookback_us is not None:
-        out = out.where((F.col("split") == "test") | (micros() >= F.col("cutoff_us") - lookback_us))
-    return out.drop("cutoff_us")
+        out = out.where((F.col("split") == "test") | (micros() >= cutoff - lookback_us))
+    return out.drop("__first", "__last")
 
 
-def prepare(ticks: DataFrame, labels: DataFrame, multiplier: float = 3.0, fraction: float = 0.8, lookback_us: int | None = None, stats_scope: str = "full") -> DataFrame:
-    """Full preparation of all series in one job."""
-    out = detect_gaps(fill_nulls(ticks), multiplier)
-    if stats_scope == "full":
-        return split_by_time(label_timesteps(normalize(out), labels), fraction, lookback_us)
-    return label_timesteps(normalize(split_by_time(out, fraction, lookback_us), stats_scope=stats_scope), labels)
+def split_by_time(df: DataFrame, fraction: float = 0.8, lookback_us: int | None = None, keys=KEYS) -> DataFrame:
+    """split: train up to the given fraction of the series' time span, test after it; with a lookback, training rows from before it go."""
+    bounds = df.groupBy(*keys).agg(F.min(micros()).alias("__first"), F.max(micros()).alias("__last"))
+    return _split(df.join(bounds, [*keys]), fraction, lookback_us).select(*df.columns, "split")
+
+
+def prepare(ticks: DataFrame, labels: DataFrame, multiplier: float = 3.0, fraction: float = 0.8, lookback_us: int | None = None, stats_scope: str = "full", seconds: float = blocks.DAY) -> DataFrame:
+    """Full preparation of all series in one job, with each row's position in its filled series. The work is split into blocks of so many seconds."""
+    rows = _segmented(ticks, multiplier, "value", KEYS, seconds).withColumnRenamed("__at", "position")
+    if stats_scope != "full":
+        split = _split(rows.drop("mean", "std"), fraction, lookback_us)
+        done = normalize(split, stats_scope=stats_scope)
+    else:
+        done = _split(_normalized(rows), fraction, lookback_us)
+    return label_timesteps(done.select(*ticks.columns, "is_gap", "segment_id", "value_normalized", "split", "position"), labels)
 
 
 def resolve_channels(df: DataFrame, explicit: list[str] | None = None, listed: list[str] | None = None, subsystems: DataFrame | None = None, subsystem: str | None = None, some: bool = False) -> DataFrame:

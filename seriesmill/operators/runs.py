@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.series import KEYS, TIE, TIME, series, so_far
 
 
 def with_position(df: DataFrame, keys=KEYS, *order: str) -> DataFrame:
+    """position: the number of each row in its series, from 0; in order of time, if no other is given."""
+    if not order:
+        return blocks.numbered(df, keys)
     return df.withColumn("position", F.row_number().over(series(keys, *order)).cast("bigint") - 1)
 
 

@@ -8,32 +8,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.series import KEYS, f_score, ratio, series, so_far, whole
-from .runs import find_runs, mark_runs
+from .runs import find_runs, mark_runs, with_position
 
 BLOCK = 256
 
 
-def valid_windows(df: DataFrame, inputs: int, horizon: int = 1, skip_anomalous: bool = False, value: str = "value_normalized") -> DataFrame:
-    """The target rows of windows of so many inputs and a horizon that lie within one segment, with the value before the horizon (`previous`), the label of the span (`window_label`) and their number in the series (`position`)."""
-    window, span = series(), inputs + horizon
-    frame = window.rowsBetween(-(span - 1), 0)
-    marked = df.select(
-        "*",
-        F.lag("segment_id", span - 1).over(window).alias("first_segment"),
-        F.coalesce(F.max(F.col("is_anomaly").cast("int")).over(frame) == 1, F.lit(False)).alias("window_label"),
-        F.lag(F.col(value).cast("double"), horizon).over(window).alias("previous"),
-    ).where("first_segment = segment_id")
+def valid_windows(df: DataFrame, inputs: int, horizon: int = 1, skip_anomalous: bool = False, value: str = "value_normalized", pairs: bool = False, rows: int = blocks.ROWS) -> DataFrame:
+    """The target rows of windows of so many inputs and a horizon that lie within one segment, with the value before the horizon (`previous`), the label of the span (`window_label`) and their number in the series (`position`).
+
+    The rows' own positions are made if they are not there. Blocks of so many rows are tasks of their own. With `pairs`, the inputs (x) and the target (y) are there too.
+    """
+    span = inputs + horizon
+    placed = df if "position" in df.columns else with_position(df)
+    window = blocks.within(KEYS, "position")
+    now = F.col(value).cast("double")
+    made = {
+        "__segment": F.lag("segment_id", span - 1).over(window),
+        "window_label": F.coalesce(F.max(F.col("is_anomaly").cast("int")).over(window.rowsBetween(-(span - 1), 0)) == 1, F.lit(False)),
+        "previous": F.lag(now, horizon).over(window),
+    }
+    if pairs:
+        made |= {"x": F.collect_list(now).over(window.rowsBetween(-(span - 1), -horizon)), "y": now}
+    marked = blocks.by_position(placed, span - 1, rows=rows).withColumns(made).where(F.col(blocks.OWN) & (F.col("__segment") == F.col("segment_id")))
     if skip_anomalous:
         marked = marked.where(~F.col("window_label"))
-    return marked.drop("first_segment").withColumn("position", F.row_number().over(window).cast("bigint") - 1)
+    kept = marked.withColumnRenamed("position", "__at").drop(blocks.OWN, "__segment")
+    return blocks.running(kept, F.lit(1), "position", KEYS, "__at").withColumn("position", F.col("position") - 1).drop("__at", blocks.BLOCK)
 
 
 def window_pairs(df: DataFrame, inputs: int, horizon: int = 1, value: str = "value_normalized") -> DataFrame:
     """valid_windows with the array of inputs (x) and the target (y), for models that need them."""
-    window = series()
-    x = F.collect_list(F.col(value).cast("double")).over(window.rowsBetween(-(inputs + horizon - 1), -horizon))
-    return valid_windows(df.withColumn("x", x).withColumn("y", F.col(value).cast("double")), inputs, horizon)
+    return valid_windows(df, inputs, horizon, value=value, pairs=True)
 
 
 def validation_split(windows: DataFrame, fraction: float = 0.1) -> DataFrame:
@@ -143,23 +150,31 @@ def smooth_errors(df: DataFrame, span: int | Column, error: str = "residual", ke
     return joined.withColumn("smoothed", F.col("__local") + F.when(F.col("__q") > 0, F.col("__carry") * F.pow("__q", F.col("__k") + 1)).otherwise(0.0)).drop("__q", "__x", "__block", "__k", "__local", "__carry")
 
 
-def dynamic_threshold(df: DataFrame, window: int, z: float | Column, mode: str = "batch", keys=KEYS) -> DataFrame:
-    """threshold: mean and z population deviations of the previous smoothed errors; in strict mode only where there are as many as the window holds."""
-    order = series(keys, "position")
-    frame = order.rowsBetween(-window, -1)
+def dynamic_threshold(df: DataFrame, window: int, z: float | Column, mode: str = "batch", keys=KEYS, rows: int = blocks.ROWS) -> DataFrame:
+    """threshold: mean and z population deviations of the previous smoothed errors; in strict mode only where there are as many as the window holds. Positions count from 0 without gaps; blocks of so many are tasks of their own."""
+    frame = blocks.within(keys, "position").rowsBetween(-window, -1)
     made = F.avg("smoothed").over(frame) + (F.lit(z) if isinstance(z, float | int) else z) * F.stddev_pop("smoothed").over(frame)
     if mode == "strict":
         made = F.when(F.col("position") >= window, made)
-    return df.withColumn("threshold", made)
+    return blocks.by_position(df, window, rows=rows).withColumn("threshold", made).where(blocks.OWN).drop(blocks.BLOCK, blocks.OWN)
 
 
-def flag_anomalies(df: DataFrame, least_run: int | Column, keys=KEYS) -> DataFrame:
-    """above (the error exceeds its threshold) and predicted (in a run of at least so many of these)."""
-    least = F.lit(least_run) if isinstance(least_run, int) else least_run
+def flag_anomalies(df: DataFrame, least_run: int | Column, keys=KEYS, most_run: int = 64, rows: int = blocks.ROWS) -> DataFrame:
+    """above (the error exceeds its threshold) and predicted (in a run of at least so many of these).
+
+    A row only has to see so far back and ahead as the least run is long, so blocks of so many rows are tasks of their own. The least run may be a column, of values up to most_run; larger ones are an error.
+    """
+    if isinstance(least_run, int):
+        least, most_run = F.lit(least_run), max(1, least_run)
+    else:
+        least = F.when(least_run <= most_run, least_run).otherwise(F.raise_error(F.lit(f"a least run above most_run, {most_run}")))
     above = df.withColumn("above", F.coalesce(F.col("smoothed") > F.col("threshold"), F.lit(False)))
-    marked = mark_runs(above, "above", "run", keys, "position")
-    long_enough = F.count("*").over(Window.partitionBy(*keys, "above", "run")) >= least
-    return marked.withColumn("predicted", F.col("above") & long_enough).drop("run")
+    forward, backward = so_far(blocks.within(keys, "position")), so_far(blocks.within(keys, F.desc("position")))
+    at, below = F.col("position"), F.when(~F.col("above"), F.col("position"))
+    start = F.coalesce(F.max(below).over(forward), F.min(at).over(forward) - 1)
+    end = F.coalesce(F.min(below).over(backward), F.max(at).over(backward) + 1)
+    marked = blocks.by_position(above, most_run - 1, most_run - 1, rows).withColumns({"__start": start, "__end": end}).where(blocks.OWN)
+    return marked.withColumn("predicted", F.col("above") & (F.col("__end") - F.col("__start") - 1 >= least)).drop("__start", "__end", blocks.BLOCK, blocks.OWN)
 
 
 def trailing_flag(df: DataFrame, least_run: int, keys=KEYS) -> DataFrame:

@@ -407,12 +407,12 @@ def win_valid(spark, sf_dir):
 
 @register(f"WITH {WINDOWS} SELECT channel_id, count(*) AS n FROM w WHERE NOT window_label GROUP BY 1")
 def win_nominal_count(spark, sf_dir):
-    return scoring.valid_windows(tm.series(spark, sf_dir).drop("position"), 10, 1, skip_anomalous=True).groupBy("channel_id").agg(F.count("*").alias("n"))
+    return scoring.valid_windows(tm.series(spark, sf_dir), 10, 1, skip_anomalous=True).groupBy("channel_id").agg(F.count("*").alias("n"))
 
 
 @register(f"WITH {SERIES}, k AS (SELECT channel_id, us, segment_id, lag(segment_id, 10) OVER ({ORDER}) AS fs, list(vn::DOUBLE) OVER ({ORDER} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS x, vn::DOUBLE AS y FROM x) SELECT channel_id, us AS telemetry_timestamp, round(list_sum(x), 5) AS sum_x, len(x)::INT AS n_x, round(y, 5) AS y FROM k WHERE fs = segment_id")
 def win_pairs(spark, sf_dir):
-    pairs = scoring.window_pairs(tm.series(spark, sf_dir).drop("position"), 10, 1)
+    pairs = scoring.window_pairs(tm.series(spark, sf_dir), 10, 1)
     return pairs.select("channel_id", "telemetry_timestamp", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 5).alias("sum_x"), F.size("x").alias("n_x"), F.round("y", 5).alias("y"))
 
 
@@ -440,7 +440,7 @@ def fct_predictions(spark, sf_dir):
 
 @register()
 def fct_ar_ridge(spark, sf_dir):
-    return scoring.fit_ar(scoring.window_pairs(tm.series(spark, sf_dir).drop("position"), 10, 1), 3)
+    return scoring.fit_ar(scoring.window_pairs(tm.series(spark, sf_dir), 10, 1), 3)
 
 
 @register(f"WITH {VALIDATION}, ar AS (SELECT channel_id, regr_slope(vn, previous) AS slope, regr_intercept(vn, previous) AS intercept FROM va WHERE part = 'train' GROUP BY 1), c AS (SELECT channel_id, 'persistence' AS model, part, pow(previous - vn, 2) AS q FROM va WHERE nw >= 2 UNION ALL SELECT channel_id, 'ar1', part, pow(slope * previous + intercept - vn, 2) FROM va JOIN ar USING (channel_id) WHERE nw >= 2), lo AS (SELECT channel_id, model, avg(q) FILTER (part = 'train') AS train_mse, avg(q) FILTER (part = 'validation') AS validation_mse FROM c GROUP BY 1, 2) SELECT channel_id, model, round(train_mse, 5) AS train_mse, round(validation_mse, 5) AS validation_mse FROM lo QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY validation_mse, model) = 1")

@@ -5,30 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.series import KEYS
 from ..operators import drift, prepare, resample, runs, scoring
-from ..sources import views
+from ..sources import io, views
 
 #: Parameters for the test tables.
 MULTIPLIER, INPUTS, HORIZON, SPAN, WINDOW, Z, LEAST_RUN, DROP = 8.0, 10, 1, 5, 20, 3.0, 2, 0.13
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.detect_gaps(prepare.fill_nulls(views.ticks(spark, sf_dir)), MULTIPLIER)
+    return prepare.detect_gaps(views.ticks(spark, sf_dir), MULTIPLIER)
 
 
 def series(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
-    """Prepared rows with their position in the series."""
-    source = views.wide_ticks(spark, sf_dir) if wide else views.ticks(spark, sf_dir)
-    return runs.with_position(prepare.prepare(source, views.label_intervals(spark, sf_dir), MULTIPLIER))
+    """Prepared rows with their position in the series, written once for what follows. The wide table has a row in some days only, so its blocks are longer."""
+    source, days = (views.wide_ticks(spark, sf_dir), 90) if wide else (views.ticks(spark, sf_dir), 1)
+    return io.settled(prepare.prepare(source, views.label_intervals(spark, sf_dir), MULTIPLIER, seconds=days * blocks.DAY), "series")
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.valid_windows(series(spark, sf_dir).drop("position"), INPUTS, HORIZON)
+    return scoring.valid_windows(series(spark, sf_dir), INPUTS, HORIZON)
 
 
 def scored(spark: SparkSession, sf_dir: str, mode: str = "batch") -> DataFrame:
-    return scoring.score(scoring.predict_persistence(windows(spark, sf_dir)), SPAN, WINDOW, Z, LEAST_RUN, mode)
+    """Scored windows, written once for what follows."""
+    return io.settled(scoring.score(scoring.predict_persistence(windows(spark, sf_dir)), SPAN, WINDOW, Z, LEAST_RUN, mode), "scored")
 
 
 def anomaly_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +49,5 @@ def grid_series(ticks: DataFrame, seconds: int, mask_seconds: int, multiplier: f
     """Full preparation of ticks on a grid: resampled, outages marked, filled, segmented at gaps and outages, normalised, not labelled, split."""
     grid = resample.attach_mask(resample.resample_to_grid(ticks, seconds), resample.outage_mask(ticks, mask_seconds, False))
     rows = grid.withColumn("telemetry_timestamp", F.timestamp_micros("bucket_us")).withColumn("tick_id", F.lit(0).cast("bigint"))
-    segments = prepare.split_at_outages(prepare.detect_gaps(prepare.fill_nulls(rows), multiplier))
+    segments = prepare.split_at_outages(io.settled(prepare.detect_gaps(rows, multiplier), "grid"))
     return prepare.split_by_time(prepare.normalize(segments).withColumn("is_anomaly", F.lit(False)), fraction)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +76,19 @@ def read_series(spark: SparkSession, path: str, mission_id: str | None = None, c
     return df
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df, written to a new folder in spark.checkpoint.dir and read from there, so that what follows need not make it again and reads only the columns it uses. Where that is unset, one machine writes to its warehouse, and a cluster, which has no folder in common, makes df again each time."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            return df
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_profiles(df: DataFrame, path: str) -> None:
     """Reference profiles by mission and channel; those of the channels present are replaced, others stay."""
     df.repartition(*KEYS).write.partitionBy(*KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -41,6 +41,53 @@ def test_gap_of_twenty_minutes_makes_two_segments(spark):
     assert listed(out, "segment_id") == [0] * 50 + [1] * 50
 
 
+@pytest.mark.parametrize("seconds", [7, 60, 10_000])
+def test_blocks_of_any_length_prepare_alike(spark, seconds):
+    times = np.cumsum([1 + (k * 7919) % 5 + 60 * (k % 37 == 36) for k in range(300)])
+    values = [None if k < 11 or (k * 31) % 7 < 3 else float((k * 7919) % 101) for k in range(300)]
+    df = frame(spark, [(int(t), v) for t, v in zip(times, values, strict=True)], "value float")
+    kept, last = [], None
+    for t, v in zip(times, values, strict=True):
+        last = last if v is None else v
+        if last is not None:
+            kept.append((int(t), last))
+    steps = np.diff([t for t, _ in kept])
+    gaps = [False, *map(bool, steps > 3 * np.median(steps))]
+    labels = spark.createDataFrame([], "mission_id string, channel_id string, start_time timestamp, end_time timestamp")
+    cut = kept[0][0] + 0.8 * (kept[-1][0] - kept[0][0])
+    got = prepare.prepare(df, labels, seconds=seconds).orderBy("tick_id").select("value", "is_gap", "segment_id", "position", "split").collect()
+    want = [(v, g, n, k, "train" if t <= cut else "test") for k, ((t, v), g, n) in enumerate(zip(kept, gaps, np.cumsum(gaps).tolist(), strict=True))]
+    assert [tuple(r) for r in got] == want
+    assert listed(prepare.fill_nulls(df, seconds=seconds), "value") == [v for _, v in kept]
+    lost = [bool((k // 9) % 2) for k in range(300)]
+    outages = frame(spark, [(int(t), x, 0) for t, x in zip(times, lost, strict=True)], "is_los boolean, segment_id int")
+    assert listed(prepare.split_at_outages(outages, seconds=seconds), "segment_id") == [k // 9 for k in range(300)]
+
+
+@pytest.mark.parametrize("rows", [5, 17, 1000])
+def test_blocks_of_any_length_score_alike(spark, rows):
+    values = [((k * 7919) % 101) / 10 for k in range(240)]
+    df = positioned(spark, [(v, k // 50, k % 60 == 0) for k, v in enumerate(values)], "value_normalized float, segment_id int, is_anomaly boolean")
+    got = scoring.valid_windows(df, 10, 1, rows=rows).orderBy("tick_id").select("tick_id", "position", "window_label", F.round("previous", 3)).collect()
+    whole = [k for k in range(240) if k % 50 >= 10]
+    assert [tuple(r) for r in got] == [(k, n, any(j % 60 == 0 for j in range(k - 10, k + 1)), round(values[k - 1], 3)) for n, k in enumerate(whole)]
+    errors = positioned(spark, values)
+    want = [None if k == 0 else np.mean(values[max(0, k - 20) : k]) + 0.5 * np.std(values[max(0, k - 20) : k]) for k in range(240)]
+    assert listed(scoring.dynamic_threshold(errors, 20, 0.5, rows=rows), "threshold")[1:] == pytest.approx(want[1:])
+    above = [k % 23 < k // 23 for k in range(240)]
+    flags = positioned(spark, [(float(a), 0.5, 1 + k % 6) for k, a in enumerate(above)], "smoothed double, threshold double, least int")
+    length = {}
+    for k in range(240):
+        a, b = k, k
+        while above[k] and a > 0 and above[a - 1]:
+            a -= 1
+        while above[k] and b < 239 and above[b + 1]:
+            b += 1
+        length[k] = b - a + 1 if above[k] else 0
+    assert listed(scoring.flag_anomalies(flags, 5, rows=rows), "predicted") == [length[k] >= 5 for k in range(240)]
+    assert listed(scoring.flag_anomalies(flags, F.col("least"), most_run=6, rows=rows), "predicted") == [above[k] and length[k] >= 1 + k % 6 for k in range(240)]
+
+
 def test_constant_series_is_normalised_to_zero(spark):
     df = frame(spark, [(k, 5.0) for k in range(4)], "value float")
     assert listed(prepare.normalize(df), "value_normalized") == [0.0] * 4
