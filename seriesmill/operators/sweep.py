@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import KEYS, ratio, sent_if_small, series, so_far
+from ..functions import blocks
+from ..functions.series import KEYS, ratio, sent_if_small, so_far
+from ..sources.io import settled
 from .scoring import evaluation_slice, flag_anomalies, point_metrics, segment_metrics, smooth_errors
 
 #: Bounds of span, window, z and run; the upper ends of whole numbers are exclusive.
@@ -34,31 +36,34 @@ def with_default(configs: DataFrame, config: int, bounds: dict = BOUNDS, default
     return configs.unionByName(clamp_configs(row, bounds))
 
 
-def thresholds_by_row(df: DataFrame, keys) -> DataFrame:
-    """threshold with window and z from columns: from running sums about the series' mean, and those of `window` rows before."""
-    order = series(keys, "position")
-    centred = df.withColumn("__m", F.avg("smoothed").over(Window.partitionBy(*keys))).withColumn("__c", F.col("smoothed") - F.col("__m"))
-    sums = centred.withColumn("__s1", F.sum("__c").over(so_far(order)) - F.col("__c")).withColumn("__s2", F.sum(F.col("__c") * F.col("__c")).over(so_far(order)) - F.col("__c") * F.col("__c"))
-    # What stood before the window's first row; it is the same job's rows, joined on the position.
-    before = sums.select(*keys, F.col("position").alias("__at"), F.col("__s1").alias("__p1"), F.col("__s2").alias("__p2"))
-    start = F.greatest(F.col("position") - F.col("window"), F.lit(0))
-    joined = sums.withColumn("__at", start).join(before, [*keys, "__at"])
-    n = F.col("position") - F.col("__at")
-    mean = F.try_divide(F.col("__s1") - F.col("__p1"), n)
-    variance = F.greatest(F.try_divide(F.col("__s2") - F.col("__p2"), n) - mean * mean, F.lit(0.0))
-    made = F.when(n > 0, F.col("__m") + mean + F.col("z") * F.sqrt(variance))
-    return joined.withColumn("threshold", made).drop("__m", "__c", "__s1", "__s2", "__p1", "__p2", "__at")
+def thresholds_by_row(df: DataFrame, keys, most_window: int = 500, rows: int = 4096) -> DataFrame:
+    """threshold with window and z from columns: the running sums of a block of so many rows, about the block's mean, are gathered in one array, in which each row looks up those of `window` rows before. Windows are at most most_window long; longer ones are an error."""
+    inside = so_far(blocks.within(keys, "position"))
+    window = F.when(F.col("window") <= most_window, F.col("window")).otherwise(F.raise_error(F.lit(f"a window above most_window, {most_window}")))
+    spread = blocks.by_position(df.withColumn("window", window), most_window, rows=rows)
+    centred = spread.withColumn("__m", F.avg("smoothed").over(Window.partitionBy(*keys, blocks.BLOCK))).withColumn("__c", F.col("smoothed") - F.col("__m"))
+    sums = centred.withColumn("__s1", F.sum("__c").over(inside) - F.col("__c")).withColumn("__s2", F.sum(F.col("__c") * F.col("__c")).over(inside) - F.col("__c") * F.col("__c"))
+    values = [c for c in df.columns if c not in (*keys, "position")]
+    row = F.struct("position", *values, blocks.OWN, "__m", "__s1", "__s2")
+    blocked = sums.groupBy(*keys, blocks.BLOCK).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    placed = F.transform("__rows", lambda r, k: F.struct(r.alias("r"), F.get("__rows", F.greatest(k - r["window"], F.lit(0))).alias("p"), F.least(k, r["window"]).alias("n")))
+    out = blocked.select(*keys, F.inline(placed)).where(F.col("r")[blocks.OWN])
+    mean = F.try_divide(F.col("r.__s1") - F.col("p.__s1"), F.col("n"))
+    variance = F.greatest(F.try_divide(F.col("r.__s2") - F.col("p.__s2"), F.col("n")) - mean * mean, F.lit(0.0))
+    made = F.when(F.col("n") > 0, F.col("r.__m") + mean + F.col("r.z") * F.sqrt(variance))
+    return out.select(*keys, "r.position", *(F.col(f"r.{c}") for c in values), made.alias("threshold"))
 
 
 def trials(errors: DataFrame, configs: DataFrame, subsystems: DataFrame, penalty: float = 5.0, fraction: float = 0.6) -> DataFrame:
     """(mission_id, subsystem, config, f05, seg_f05, false_rate, objective) over the first windows of each series.
 
-    errors: keys, position, residual, window_label. Configurations are a bounded table (a sweep's list), sent to every task; all series and configurations are scored in one job.
+    errors: keys, position, residual, window_label. Configurations are a bounded table (a sweep's list), sent to every task; all series and configurations are scored in one job, whose flags are written once for both kinds of metrics.
     """
     keys = (*KEYS, "config")
     first = evaluation_slice(errors.select(*KEYS, "position", "residual", "window_label"), "first", fraction)
     rows = first.join(sent_if_small(configs))
-    flagged = flag_anomalies(thresholds_by_row(smooth_errors(rows, F.col("span"), keys=keys), keys), F.col("least_run"), keys)
+    flagged = flag_anomalies(thresholds_by_row(smooth_errors(rows, F.col("span"), keys=keys), keys), F.col("least_run"), keys, most_run=BOUNDS["least_run"][1])
+    flagged = settled(flagged.select(*keys, "position", "window_label", "predicted"), "trials")
     points = point_metrics(flagged, keys=keys).select(*keys, "f05", "fp", "n_true", "n")
     each = points.join(segment_metrics(flagged, keys=keys).select(*keys, "seg_f05"), [*keys])
     each = each.withColumn("false_rate", ratio(F.col("fp"), F.col("n") - F.col("n_true"))).join(subsystems, [*KEYS])

@@ -286,8 +286,9 @@ def test_sweep_thresholds_equal_the_plain_frame(spark):
     values = [abs((k * 7919) % 101) / 10 for k in range(300)]
     df = positioned(spark, values)
     plain = listed(scoring.dynamic_threshold(df, 20, 3.0), "threshold")
-    got = listed(sweep.thresholds_by_row(df.withColumn("window", F.lit(20)).withColumn("z", F.lit(3.0)), ("mission_id", "channel_id")), "threshold")
-    assert got[0] is None and got[1:] == pytest.approx(plain[1:], abs=1e-9)
+    for rows in (7, 64, 4096):
+        got = listed(sweep.thresholds_by_row(df.withColumn("window", F.lit(20)).withColumn("z", F.lit(3.0)), ("mission_id", "channel_id"), rows=rows), "threshold")
+        assert got[0] is None and got[1:] == pytest.approx(plain[1:], abs=1e-9)
     configs = sweep.clamp_configs(sweep.sample_configs(spark, 50)).collect()
     assert all(5 <= c.span < 100 and 50 <= c.window < 500 and 2.5 <= c.z <= 5 and 1 <= c.least_run < 10 for c in configs)
 
