@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, url_filters
+from . import decontaminate, hard_negatives, url_filters, vector_codes
 from .common import fresh_path, read
 
 
@@ -87,6 +87,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import described, encode_vectors
+
+    return described(*encode_vectors(read(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return mine(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label_column=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_url_filters": op2_url_filters,
@@ -98,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Cosines of all pairs; equal to op1's links as far as hashing finds them, which it does for all but pairs close to the threshold.
@@ -115,4 +130,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": EMBEDDING_LINKS_SQL,
     "op2_url_filters": url_filters.ORACLE_SQL,
     "op7_decontamination": decontaminate.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.oracle_sql(),
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
