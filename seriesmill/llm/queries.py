@@ -87,6 +87,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .languages import fit, predict
+
+    docs = read(spark, sf_dir, "documents")
+    return predict(docs, fit(docs, public_tokenizers.path("piece_bpe_32k.model"))).withColumnRenamed("id", "doc_id")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import described, encode_vectors
 
@@ -111,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_language_id": op11_language_id,
     "op12_vector_codes": op12_vector_codes,
     "op13_hard_negatives": op13_hard_negatives,
 }
