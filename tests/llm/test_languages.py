@@ -87,16 +87,16 @@ def test_held_out_accuracy_and_what_is_learnt_from(spark):
 
 
 def test_model_equals_plain_expectation_and_maximisation(spark):
-    data = rows(15)
+    data = rows(24)
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
     model, trie = fit(docs, VOCABULARY), pieces(VOCABULARY)
-    logs = np.full((trie.size, 3), -np.log(trie.size))
+    logs = np.full((trie.size, len(model.languages)), -np.log(trie.size))
     counts = [Counter(w for k, t, x in data if x == lang and zlib.crc32(str(k).encode()) % 3 != 1 for w in t.split()) for lang in model.languages]
     for _ in range(4):
         sums = np.full_like(logs, 0.01)
         for k, count in enumerate(counts):
             for w, n in count.items():
-                times = np.zeros((1, 3))
+                times = np.zeros((1, len(model.languages)))
                 times[0, k] = n
                 sums += Lattice([w], trie).expected(logs, times)
         logs = np.log(sums / sums.sum(axis=0))
