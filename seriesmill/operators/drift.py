@@ -122,6 +122,15 @@ def rolling_drift(df: DataFrame, reference: DataFrame, size: int = 256, every: i
     return parts.groupBy(*keys, "block").applyInArrow(_rolling_scores(size, rows), f"{kinds}, position bigint, feature string, score double")
 
 
+def areas(x: np.ndarray, below: np.ndarray, sums: np.ndarray, total: float, curve: np.ndarray) -> np.ndarray:
+    """The area between a window's inverse distribution and the reference's on each of its n levels. x: the n values in order, with how much of the reference lies at or below each, and the sum of that; curve: the integral of the reference's inverse at the n + 1 levels."""
+    n = x.shape[-1]
+    a, b = np.arange(n) / n, np.arange(1, n + 1) / n
+    share = below / total
+    until = np.where(share <= a, curve[:-1], np.where(share >= b, curve[1:], sums / total))
+    return x * (2 * np.clip(share, a, b) - a - b) + curve[:-1] + curve[1:] - 2 * until
+
+
 def _rolling_scores(size: int, rows: int):
     """The scores of one block of a series' feature from its located rows and its reference curves (rows without a position)."""
 
@@ -142,11 +151,8 @@ def _rolling_scores(size: int, rows: int):
             x, below, area = dense[:, (at[these] - low - width + 1)[:, None] + np.arange(width)]
             order = np.argsort(x, axis=1)[:, :k]  # nan is last
             x, below, area = (np.take_along_axis(v, order, 1) for v in (x, below, area))
-            a, b, curve = np.arange(k) / k, np.arange(1, k + 1) / k, np.array([0.0, *curves[k]["curve"]])
-            share = below / curves[k]["total"]
-            until = np.where(share <= a, curve[:-1], np.where(share >= b, curve[1:], area / curves[k]["total"]))
-            areas = x * (2 * np.clip(share, a, b) - a - b) + curve[:-1] + curve[1:] - 2 * until
-            scores[these] = areas.sum(axis=1) / max(curves[k]["spread"], FLOOR)
+            made = areas(x, below, area, curves[k]["total"], np.array([0.0, *curves[k]["curve"]]))
+            scores[these] = made.sum(axis=1) / max(curves[k]["spread"], FLOOR)
         columns = [pa.array([k.as_py()] * len(at), k.type) for k in key[:-2]]
         return pa.table([*columns, pa.array(at, pa.int64()), pa.array([feature] * len(at), pa.string()), pa.array(scores)], [*KEYS, "position", "feature", "score"])
 
