@@ -4,13 +4,14 @@ A page is cut into leaf blocks, the stretches of text between block-level tags.
 
 The labeller is trained here on a bounded sample of pages (`SAMPLE`, those with the smallest hashes of their ids). Its labels come from what pages say of themselves: text in an article or main element is main text, unless an element on its path is a menu, header, footer, sidebar, form, notice, advert or comment by its name, class or id; pages that say nothing of the kind are not learnt from. So that the labeller does not depend on one way of naming things, each page is also learnt from in changed forms: main elements renamed to divisions with usual classes, path names left out at random, and blocks of the kinds that do not belong put in between, made of the page's own words.
 
-Scripts, styles, comments, head and the like are never text. Character references are decoded, white space inside a block becomes one space, and blocks are joined in page order by a line feed. Null html counts as empty. A page without blocks has an empty text. All words of a block count, and pages of any length are read whole, each as one sequence, so every block has the whole page as context. For training only, a page is cut to its first `TRAIN_CHARS` characters and `TRAIN_BLOCKS` blocks and learnt from in pieces of `TRAIN_STEPS` blocks. Repeated rows give repeated results. An empty table gives an empty result; without pages to learn from, all blocks that no name on their path rules out are main text. Only the named columns are read, so further columns may have any name.
+Tags are read as HTML has them, in time linear in the page: quotes count only where a value begins, what a head cannot hold ends it, a block ends a select, and what is left open ends with what it lies in. Scripts, styles, comments, head, templates and controls of forms are never text; all else is, formulas and fallback contents included. Character references are decoded, white space inside a block becomes one space, and blocks are joined in page order by a line feed. Null html counts as empty. A page without blocks has an empty text. All words of a block count, and pages of any length are read whole, each as one sequence, so every block has the whole page as context. In training a page is learnt from whole, in pieces of `TRAIN_STEPS` blocks. Repeated rows give repeated results. An empty table gives an empty result; without pages to learn from, all blocks that no name on their path rules out are main text. Only the named columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,38 +25,88 @@ SAMPLE = 160
 PATH_SIZE, WORD_SIZE, FORM_SIZE, HIDDEN = 48, 24, 8, 16
 INPUT = PATH_SIZE + WORD_SIZE + FORM_SIZE
 ROUNDS, BATCH, RATE, SEED = 5, 32, 0.02, 7
-#: What is read of a page in training, and the blocks of a sequence there; extraction has no such bounds.
-TRAIN_CHARS, TRAIN_BLOCKS, TRAIN_STEPS = 200_000, 512, 64
+#: Blocks of a sequence in training; a page is learnt from whole, in as many sequences as it takes.
+TRAIN_STEPS = 64
 #: Pages and steps times pages of one pass; a page of more steps goes alone.
 PASS_PAGES, PASS_CELLS = 128, 65_536
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.DOTALL)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: A comment, declaration or tag. As HTML has it, quotes matter only where a value begins, so one inside an unquoted value or a name ends nothing and hides nothing.
+TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]++)?)?+)*+)(?:>|\Z))""", re.DOTALL)
+NAMED = re.compile(r"""(?:^|[\s/"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 #: Elements whose content is not text of the page.
-OPAQUE = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "canvas", "audio", "video", "head"}
-RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
+OPAQUE = {"script", "style", "template", "textarea", "title", "iframe", "select", "head"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+#: What a head can hold; anything else ends one that is open. So does any block in a select.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+IN_SELECT = {"option", "optgroup", "hr", "script", "template"}
+#: Elements within which all others are inline.
+FOREIGN = {"math", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that do not end a block.
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "object", "q", "rp", "rt", "ruby", "s", "samp", "select", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tt", "u", "var", "wbr"}
 #: Elements that the start of some others closes.
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "section", "article", "aside", "header", "footer", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "main", "figure", "dl", "hr"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 OUTSIDE = re.compile(r"\b(nav|navbar|navigation|menu|header|masthead|banner|footer|aside|sidebar|widget|form|button|dialog|advert|advertisement|ads?|sponsored|promo|promotion|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|breadcrumbs?|pagination|pager|share|social|related|recommended|comments?|comment-list|replies|reply|respond|disqus|copyright|toolbar|search|login|signup|legal|skip|tags|meta|byline)\b|^(ad|advert|comment|sidebar|menu|nav|footer|header|cookie|promo|sponsor|related|share|social|widget)[-_]|[-_](ad|ads|nav|menu|sidebar|footer|comments?|notice|banner|widget|promo)$", re.IGNORECASE)
 INSIDE = re.compile(r"^(article|main)$|\b(article|main|content|post|entry|story|body-text|article-body|post-content|entry-content)\b", re.IGNORECASE)
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of linked text) of each block with text; the path has each open element as name, classes, ids and role."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    path: list[tuple[str, str]] = []
+class Path:
+    """The open elements about a block, each as name, classes, ids and role; equal ones under one parent are one, and each knows what holds of all above it."""
+
+    __slots__ = ("label", "parent", "within", "outside", "inside", "own", "total")
+
+    def __init__(self, label: str | None = None, parent: Path | None = None):
+        self.label, self.parent, self.within, self.own, self.total = label, parent, {}, None, None
+        self.outside = parent is not None and (parent.outside or any(map(OUTSIDE.search, label.split(" "))))
+        self.inside = parent is not None and (parent.inside or bool(INSIDE.search(label)))
+
+    def under(self, label: str) -> Path:
+        made = self.within.get(label)
+        if made is None:
+            made = self.within[label] = Path(label, self)
+        return made
+
+    @classmethod
+    def of(cls, labels) -> Path:
+        path = cls()
+        for label in labels:
+            path = path.under(label)
+        return path
+
+    def __iter__(self) -> Iterator[str]:
+        found, at = [], self
+        while at.parent is not None:
+            found.append(at.label)
+            at = at.parent
+        return reversed(found)
+
+
+def blocks(page: str) -> list[tuple[Path, str, float]]:
+    """(path, text, share of linked text) of each block with text. Every tag is read once, and takes as long however deep it lies."""
+    out: list[tuple[Path, str, float]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: Counter = Counter()
+    root = Path()
     parts: list[str] = []
-    linked = opaque = 0
-    at = 0
+    linked = opaque = at = 0
+
+    def leave(name: str) -> None:
+        """Close elements up to the innermost one of that name, which is open."""
+        nonlocal opaque
+        while True:
+            gone, _ = stack.pop()
+            opened[gone] -= 1
+            opaque -= gone in OPAQUE
+            if gone == name:
+                return
 
     def text(piece: str) -> None:
         nonlocal linked
+        if opaque and stack[-1][0] == "head" and piece.strip():
+            leave("head")
         if not opaque and piece:
             parts.append(piece)
-            if any(name == "a" for name, _ in path):
+            if opened["a"]:
                 linked += len(piece)
 
     def close() -> None:
@@ -63,7 +114,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if parts:
             whole = " ".join(html.unescape("".join(parts)).split())
             if whole:
-                out.append((tuple(label for name, label in path if name not in INLINE), whole, min(1.0, linked / len(whole))))
+                out.append((stack[-1][1] if stack else root, whole, min(1.0, linked / len(whole))))
         parts.clear()
         linked = 0
 
@@ -73,50 +124,49 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if m[2] is None:
             continue
         name = m[2].lower()
+        foreign = any(opened[x] for x in FOREIGN)
+        inline = name in INLINE or foreign
         if m[1]:
-            if any(open_name == name for open_name, _ in path):
-                if name not in INLINE:
-                    close()
-                while path:
-                    gone, _ = path.pop()
-                    opaque -= gone in OPAQUE
-                    if gone == name:
-                        break
-            elif name == "p" or name not in INLINE:
+            if not inline:
                 close()
+            if opened[name]:
+                leave(name)
             continue
+        if opened["head"] and name not in IN_HEAD and not opened["template"] and not opened["noscript"]:
+            leave("head")
         if name == "br":
             text(" ")
             continue
-        if name not in INLINE:
+        if not inline:
+            if opened["select"] and name not in IN_SELECT:
+                leave("select")
             close()
-            while path and name in CLOSED_BY.get(path[-1][0], ()):
-                path.pop()
-        if name in VOID or m[3].endswith("/"):
+            while stack and name in CLOSED_BY.get(stack[-1][0], ()):
+                leave(stack[-1][0])
+        if name in VOID or (foreign and m[3].endswith("/")) or (name == "body" and opened["body"]):
             continue
-        label = " ".join([name, *(x[0] or x[1] or x[2] for x in NAMED.findall(m[3]))]) if m[3] else name
-        path.append((name, label))
+        above = stack[-1][1] if stack else root
+        if not inline:
+            above = above.under(" ".join([name, *(x[0] or x[1] or x[2] for x in NAMED.findall(m[3]))]) if m[3] else name)
+        stack.append((name, above))
+        opened[name] += 1
         opaque += name in OPAQUE
-        if name == "body":  # an unclosed head ends here
-            opaque, path = 0, [x for x in path if x[0] not in OPAQUE]
-        if name in RAW and (raw_end := re.compile(f"</{name}\\b", re.IGNORECASE).search(page, at)) is not None:
-            at = raw_end.start()
-        elif name in RAW:
-            at = len(page)
+        if name in RAW:
+            end = RAW_END[name].search(page, at)
+            at = len(page) if end is None else end.start()
     text(page[at:])
     close()
     return out
 
 
-def outside(path: tuple[str, ...]) -> bool:
-    return any(OUTSIDE.search(word) for label in path for word in label.split(" "))
+RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE) for name in RAW}
 
 
-def own_labels(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray | None:
+def own_labels(found: list[tuple[Path, str, float]]) -> np.ndarray | None:
     """What a page says of its blocks; None if it names no main element."""
-    if not any(INSIDE.search(label) for path, _, _ in found for label in path):
+    if not any(path.inside for path, _, _ in found):
         return None
-    return np.array([any(INSIDE.search(label) for label in path) and not outside(path) for path, _, _ in found], np.float32)
+    return np.array([path.inside and not path.outside for path, _, _ in found], np.float32)
 
 
 def _slot(word: str, size: int) -> tuple[int, float]:
@@ -132,27 +182,47 @@ def _word_slot(word: str) -> int:
     return slot if sign > 0 else slot + WORD_SIZE
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _label_vector(label: str) -> np.ndarray:
     out = np.zeros(PATH_SIZE, np.float32)
-    for depth, label in enumerate(reversed(path)):
-        for word in {label.lower(), *re.split(r"[^a-z0-9]+", label.lower())}:
-            if word:
-                k, sign = _slot(word, PATH_SIZE - 2)
-                out[k] += sign * max(0.4, 1 - 0.15 * depth)
-    out[-2] = any(OUTSIDE.search(word) for label in path for word in label.split(" "))
-    out[-1] = any(INSIDE.search(label) for label in path)
+    for word in {label.lower(), *re.split(r"[^a-z0-9]+", label.lower())}:
+        if word:
+            k, sign = _slot(word, PATH_SIZE)
+            out[k] += sign
     return out
 
 
+#: Weights of the innermost elements; all further ones have the last.
+NEAR, FAR = (1.0, 0.85, 0.7, 0.55), 0.4
+
+
 class Vectors:
     def __init__(self):
-        self.paths = Memo(_path_vector, 20_000)
+        self.labels = Memo(_label_vector, 20_000)
         self.slots = Memo(_word_slot, 100_000)
 
-    def of(self, found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+    def path(self, path: Path) -> np.ndarray:
+        """The elements' vectors, weighted by their distance from the block. Sums over all elements above are kept, so each element is added once."""
+        above = []
+        while path.total is None and path.parent is not None:
+            above.append(path)
+            path = path.parent
+        if path.total is None:
+            path.own = path.total = np.zeros(PATH_SIZE, np.float32)
+        for path in reversed(above):
+            path.own = self.labels[path.label]
+            path.total = path.parent.total + path.own
+        out, at = FAR * path.total, path
+        for weight in NEAR:
+            out = out + (weight - FAR) * at.own
+            at = at.parent or at
+            if at.parent is None:
+                break
+        return out
+
+    def of(self, found: list) -> np.ndarray:
         out = np.zeros((len(found), INPUT), np.float32)
         for k, (path, text, linked) in enumerate(found):
-            out[k, :PATH_SIZE] = self.paths[path]
+            out[k, :PATH_SIZE] = self.path(path if isinstance(path, Path) else Path.of(path))
             words = text.lower().split(" ")
             counts = np.bincount([self.slots[word] for word in words], minlength=2 * WORD_SIZE)
             out[k, PATH_SIZE : PATH_SIZE + WORD_SIZE] = (counts[:WORD_SIZE] - counts[WORD_SIZE:]) / len(words)
@@ -277,23 +347,39 @@ def changed(found: list, labels: np.ndarray, rng: np.random.Generator) -> tuple[
     """A page's blocks with its main element renamed, path names left out, and other blocks put in."""
     name = MAIN_NAMES[rng.integers(len(MAIN_NAMES))]
     words = " ".join(text for _, text, _ in found).split()
-    out, marks = [], []
+    out, marks, root, renamed = [], [], Path(), {}
+
+    def rename(path: Path) -> Path:
+        above = []
+        while path.parent is not None and path not in renamed:
+            above.append(path)
+            path = path.parent
+        made = renamed.get(path, root)
+        for path in reversed(above):
+            main = MAIN.match(path.label)
+            if main or rng.random() > 0.05:
+                made = made.under(name if main else path.label)
+            renamed[path] = made
+        return made
 
     def other() -> None:
         start = int(rng.integers(len(words)))
         text = " ".join(words[start : start + int(rng.integers(1, 40))])
-        around = tuple(x for x in (("html", "body", name) if rng.random() < 0.4 else ("html", "body")))
+        around = root.under("html").under("body")
+        around = around.under(name) if rng.random() < 0.4 else around
         kind = OTHER_NAMES[rng.integers(len(OTHER_NAMES))]
         inner = [(), ("p",), ("ul", "li"), ("div",), ("h3",), ("div", "p")][rng.integers(6)]
         for _ in range(int(rng.integers(1, 5))):
-            out.append(((*around, kind, *inner), text, float(rng.random() < 0.3)))
+            path = around.under(kind)
+            for label in inner:
+                path = path.under(label)
+            out.append((path, text, float(rng.random() < 0.3)))
             marks.append(0.0)
 
     for (path, text, linked), mark in zip(found, labels, strict=True):
         if rng.random() < 0.15:
             other()
-        path = tuple(name if MAIN.match(label) else label for label in path if rng.random() > 0.05 or MAIN.match(label))
-        out.append((path, text, linked))
+        out.append((rename(path), text, linked))
         marks.append(mark)
     if rng.random() < 0.5:
         other()
@@ -303,13 +389,14 @@ def changed(found: list, labels: np.ndarray, rng: np.random.Generator) -> tuple[
 def train(pages: list[str]) -> Labeller | None:
     rng, vectors, sequences, labels = np.random.default_rng(SEED), Vectors(), [], []
     for page in pages:
-        found = blocks(page)[:TRAIN_BLOCKS]
+        found = blocks(page)
         own = own_labels(found)
         if own is None:
             continue
         for form in [(found, own), changed(found, own, rng), changed(found, own, rng)]:
-            for start in range(0, len(form[0]), TRAIN_STEPS):
-                sequences.append(vectors.of(form[0])[start : start + TRAIN_STEPS])
+            made = vectors.of(form[0])
+            for start in range(0, len(made), TRAIN_STEPS):
+                sequences.append(made[start : start + TRAIN_STEPS])
                 labels.append(form[1][start : start + TRAIN_STEPS])
     if not sequences:
         return None
@@ -321,8 +408,7 @@ def train(pages: list[str]) -> Labeller | None:
 def fit(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> Labeller | None:
     """A labeller trained on a bounded sample of pages."""
     sample = pages.where(F.col(html_column).isNotNull()).select(F.col(html_column).alias("html"), F.xxhash64(F.col(id_column)).alias("h"))
-    # Long pages are cut for training only, so that the sample is bounded in bytes too.
-    rows = sample.select("h", F.substring("html", 1, TRAIN_CHARS).alias("html")).orderBy("h", F.xxhash64("html")).limit(SAMPLE).collect()
+    rows = sample.orderBy("h", F.xxhash64("html")).limit(SAMPLE).collect()
     return train([r.html for r in rows])
 
 
@@ -332,7 +418,7 @@ def extract(page: str, labeller: Labeller | None, vectors: Vectors) -> str:
 
 def extract_all(pages: list[str], labeller: Labeller | None, vectors: Vectors) -> list[str]:
     found = [blocks(page) for page in pages]
-    kept = [np.array([not outside(path) for path, _, _ in f], bool) for f in found] if labeller is None else labeller.main_text(found, vectors)
+    kept = [np.array([not path.outside for path, _, _ in f], bool) for f in found] if labeller is None else labeller.main_text(found, vectors)
     return ["\n".join(text for (_, text, _), keep in zip(f, k, strict=True) if keep) for f, k in zip(found, kept, strict=True)]
 
 

@@ -106,3 +106,63 @@ def test_a_block_sees_the_whole_page():
         assert len(found) == len(marks)
     x, mask = padded([vectors.of(pages[2])])
     assert ((scores(x, mask)[:, 0] >= 0) == got[2]).all()
+
+
+def texts(html):
+    return [t for _, t, _ in blocks(html)]
+
+
+def test_quotes_count_only_where_a_value_begins():
+    assert texts("<article><a href=/o'brien>O</a> text one<p>two</p></article>") == ["O text one", "two"]
+    assert texts("<p title=don't>Hello one</p><p>World two</p>") == ["Hello one", "World two"]
+    assert texts('<p ">quoted</p><p>next</p>') == ["quoted", "next"]
+    assert texts("""<p a = 'x>y' b="1 > 0">z</p><a href=x/>link</a> on<p/>para""") == ["z", "link on", "para"]
+    (path, _, _), = blocks("""<p id=a'b class="c d" title='e'>q""")
+    assert [*path] == ["p a'b c d"]
+
+
+def test_omitted_tags_and_contents_that_stay():
+    assert texts("<html><head><title>t</title><article><p>body text</p></article></html>") == ["body text"]
+    assert texts("<head><title>t</title>Hello <p>x") == ["Hello", "x"] and texts("<head><noscript><style>y</style></noscript></head>z") == ["z"]
+    assert texts("<p>a <select><option>x<option>y<p>rest</p><p>more") == ["a", "rest", "more"]
+    assert texts("<article>a <math><mi>x</mi><mo>=</mo></math> b<noscript>n</noscript><object>o</object><svg><path d='m'/><text>s</text></svg></article>") == ["a x= b", "n", "os"]
+    assert texts("<template><p>a</p></template><textarea><p>b</textarea><iframe><p>c</iframe>d") == ["d"]
+    assert texts("<body>a<body>b</p>c</div>d") == ["ab", "c", "d"]
+
+
+def test_time_is_linear_in_depth_and_in_odd_tags():
+    import time
+
+    start = time.perf_counter()
+    found = blocks("".join(f"<div class=c>t{k}" for k in range(20_000)))
+    vectors = Vectors().of(found)
+    for odd in ("<div>" * 20_000 + "</x>" * 20_000 + "<body>" * 20_000, "<p " + "= " * 200_000 + ">x", '<p a="' * 100_000, "<" * 200_000, "<p" * 100_000, "<a b='" * 50_000):
+        blocks(odd)
+    assert len(found) == len(vectors) == 20_000 and time.perf_counter() - start < 20
+
+
+def test_path_vectors_equal_plain_sums():
+    labels, vectors = [f"{n} c{k % 3}" for k, n in enumerate("html body div main section p".split())], Vectors()
+    for n in range(len(labels) + 1):
+        got = Vectors().of([(tuple(labels[:n]), "word", 0.0)])[0, :48]
+        want = sum((max(0.4, 1 - 0.15 * depth) * vectors.labels[label] for depth, label in enumerate(reversed(labels[:n]))), np.zeros(48))
+        assert np.allclose(got, want, atol=1e-5)
+
+
+#: Hand-labelled pages whose names mislead: blocks of main text are marked with 1.
+MISLEADING = [
+    [(1, "<div class=widget><h1>Orbits in winter</h1>"), (1, "<p>The array turns with the season, and the relay keeps the charge of the station even, as engineers found last year.</p></div>"), (0, "<div class=post><a href=/>Home</a></div>")],
+    [(0, "<div class='main-content'><a href=/a>Start</a></div>"), (1, "<div class=c2><p>Power fell by a third during the pass, which the crew had expected, and rose again before the window closed.</p></div>"), (0, "<div class=c3><a href=/x>Imprint</a></div>")],
+    [(1, "<section class=comments-off><p>A second sensor was placed on the outer panel, so that both frames could be compared for a week.</p></section>"), (0, "<div class=story><a href=/1>More stories</a></div>")],
+    [(1, "<div id=banner-story><p>Thermal noise was lower than in the model, and nobody could say why until the relay was opened.</p></div>"), (0, "<div class=entry><a href=/login>Sign in</a></div>")],
+    [(0, "<div class=article-list><a href=/1>One</a></div>"), (1, "<div class=z><p>Signals from the far side reach the station late, since the window is short and the array looks away.</p></div>")],
+    [(1, "<div class=social-history><p>The first crews slept in shifts, as the frame had room for two, and wrote letters that came home months later.</p></div>"), (0, "<div class=body-text><a href=/s>Share</a></div>")],
+]
+
+
+def test_misleading_names(spark):
+    """What the network does where names mislead it: the share of blocks labelled as by hand."""
+    labeller = train([page(k, 3 + k % 5)[0] for k in range(60)])
+    hits = [keep == bool(mark) for case in MISLEADING for keep, (mark, _) in zip(labeller.main_text([blocks("<body>" + "".join(h for _, h in case))], Vectors())[0], case, strict=True)]
+    print("labelled as by hand:", sum(hits), "of", len(hits))
+    assert len(hits) == sum(map(len, MISLEADING)) and sum(hits) >= len(hits) // 2
