@@ -136,6 +136,7 @@ def blocks(page: str) -> list[tuple[Path, str, float]]:
             leave("head")
         if name == "br":
             text(" ")
+        if name == "br" or (name == "body" and opened["body"]):
             continue
         if not inline:
             if opened["select"] and name not in IN_SELECT:
@@ -143,7 +144,7 @@ def blocks(page: str) -> list[tuple[Path, str, float]]:
             close()
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 leave(stack[-1][0])
-        if name in VOID or (foreign and m[3].endswith("/")) or (name == "body" and opened["body"]):
+        if name in VOID or (foreign and m[3].endswith("/")):
             continue
         above = stack[-1][1] if stack else root
         if not inline:
