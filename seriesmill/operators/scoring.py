@@ -210,7 +210,7 @@ def point_metrics(df: DataFrame, truth: str = "window_label", predicted: str = "
 def segment_metrics(df: DataFrame, truth: str = "window_label", predicted: str = "predicted", keys=KEYS) -> DataFrame:
     """Shares of true runs that any predicted run overlaps, and the converse. Two runs overlap where a row has both flags, so each run only has to know whether one of its rows has the other."""
     flags = df.select(*keys, "position", F.coalesce(truth, F.lit(False)).alias("t"), F.coalesce(predicted, F.lit(False)).alias("p"))
-    marked = mark_runs(mark_runs(flags, "t", "t_run", keys, "position"), "p", "p_run", keys, "position")
+    marked = mark_runs(flags, {"t": "t_run", "p": "p_run"}, None, keys, "position")
     true_row = F.when(F.col("t"), F.struct(F.lit(True).alias("true_run"), F.col("t_run").alias("run"), F.col("p").alias("hit")))
     predicted_row = F.when(F.col("p"), F.struct(F.lit(False).alias("true_run"), F.col("p_run").alias("run"), F.col("t").alias("hit")))
     rows = marked.select(*keys, F.explode_outer(F.array_compact(F.array(true_row, predicted_row))).alias("r")).select(*keys, "r.*")

@@ -1,5 +1,6 @@
 """Operators on tiny frames with known results."""
 
+import itertools
 import os
 from datetime import datetime, timedelta
 
@@ -379,3 +380,35 @@ def test_files(spark, tmp_path):
     (tmp_path / "labels.csv").write_text("ID,Channel,StartTime,EndTime\na1,c,2000-01-01T00:15:00.123Z,2000-01-01T00:21:00Z\n")
     got = io.read_labels(spark, f"file://{tmp_path}/labels.csv").first()
     assert (got.start_time, got.end_time) == (START + timedelta(minutes=15), START + timedelta(minutes=21))
+
+
+@pytest.mark.parametrize("rows", [1, 7, 4096])
+def test_runs_in_blocks_equal_brute_force(spark, rows):
+    rng = np.random.default_rng(rows)
+    data = []
+    for c, n, p in (("a", 60, 0.5), ("b", 40, 0.03), ("c", 25, 1.0), ("d", 25, 0.0), ("e", 1, 1.0)):
+        at = np.cumsum(rng.integers(1, 5000, n))
+        flags = np.cumsum(rng.random(n) < p) % 2 == 1 if 0 < p < 1 else np.full(n, p == 1.0)
+        data += [("m", c, k, START + timedelta(seconds=int(at[k])), k, bool(f) if k % 11 else (None if not f else True), bool(rng.random() < 0.3), float(f)) for k, f in enumerate(flags)]
+    df = spark.createDataFrame(data, "mission_id string, channel_id string, position long, telemetry_timestamp timestamp, tick_id long, flag boolean, hit boolean, x double")
+    want, longest, spans = {}, {}, set()
+    for c in "abcde":
+        own = [r for r in data if r[1] == c]
+        start = 0
+        longest[c] = 0
+        for k in range(1, len(own) + 1):
+            if k == len(own) or bool(own[k][5]) != bool(own[start][5]):
+                want |= {(c, j): start for j in range(start, k)}
+                if own[start][5]:
+                    longest[c] = max(longest[c], k - start)
+                    spans.add((c, own[start][3], own[min(k, len(own) - 1)][3], any(r[6] for r in own[start:k])))
+                start = k
+    marked = runs.mark_runs(df, "flag", "run", runs_keys := ("mission_id", "channel_id"), "position", rows=rows)
+    assert {(r.channel_id, r.position): r.run for r in marked.collect()} == want and marked.columns == [*df.columns, "run"]
+    both = runs.mark_runs(df, {"flag": "a", "hit": "b"}, None, runs_keys, "position", rows=rows)
+    alone = runs.mark_runs(df, "hit", "run", runs_keys, "position", rows=rows)
+    assert {(r.channel_id, r.position): (r.a, r.b) for r in both.collect()} == {(r.channel_id, r.position): (want[r.channel_id, r.position], r.run) for r in alone.collect()}
+    assert sorted((r.channel_id, r.start, r.end) for r in runs.find_runs(df, "flag", rows=rows).collect()) == sorted((c, s, max(j for (d, j), t in want.items() if d == c and t == s) + 1) for c, s in {(c, s) for (c, j), s in want.items() if bool(next(r for r in data if r[1] == c and r[2] == j)[5])})
+    seconds = rows * 900.0
+    assert {(r.channel_id, r.start_time, r.end_time, r.detected) for r in runs.flag_intervals(df, "flag", "hit", seconds=seconds).collect()} == spans
+    assert {r.channel_id: r.longest for r in runs.longest_above(df, "x", 0.5, seconds=seconds).collect()} == {c: longest[c] if c not in "ab" else max(len(list(g)) if v else 0 for v, g in itertools.groupby(r[7] > 0.5 for r in data if r[1] == c)) for c in "abcde"}
