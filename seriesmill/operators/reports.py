@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.series import KEYS, TIE, TIME, micros, ratio, series, so_far, whole
 from .scoring import flag_anomalies, segment_metrics
 
@@ -75,10 +76,18 @@ def warm_statistics(scored: DataFrame) -> DataFrame:
     return warm.groupBy(*KEYS).agg(F.min(t).alias("threshold_min"), F.median(t).alias("threshold_median"), F.max(t).alias("threshold_max"), F.median(e).alias("error_median"), F.percentile(e, 0.99).alias("error_p99"), F.max(e).alias("error_max"))
 
 
-def near_misses(scored: DataFrame) -> DataFrame:
-    """(keys, labelled_most, most): the largest error over threshold at labelled windows and anywhere."""
-    r = scored.where("threshold > 0").withColumn("r", F.col("smoothed") / F.col("threshold"))
-    return r.groupBy(*KEYS).agg(F.max(F.when(F.col("window_label"), F.col("r"))).alias("labelled_most"), F.max("r").alias("most"))
+def near_misses(scored: DataFrame, arrival: str | None = None, rows: int = blocks.ROWS) -> DataFrame:
+    """(keys, labelled_most, most): the largest error over threshold at labelled windows and anywhere. With the number of a row's arrival, also `restarts`: how often time has gone backwards, as a replay that begins again makes it; counted in blocks of so many numbers, each of which tells the next one its last time."""
+    r = F.when(F.col("threshold") > 0, F.col("smoothed") / F.col("threshold"))
+    found = scored.groupBy(*KEYS).agg(F.max(F.when(F.col("window_label"), r)).alias("labelled_most"), F.max(r).alias("most"))
+    if arrival is None:
+        return found.where("most is not null")
+    placed = scored.select(*KEYS, arrival, TIME, F.floor(F.col(arrival) / rows).alias(blocks.BLOCK))
+    back = F.lag(TIME).over(blocks.within(KEYS, arrival)) > F.col(TIME)
+    ends = placed.withColumn("back", back).groupBy(*KEYS, blocks.BLOCK).agg(F.count_if("back").alias("back"), F.min_by(TIME, arrival).alias("first"), F.max_by(TIME, arrival).alias("last"))
+    across = F.coalesce((F.lag("last").over(blocks.sequence()) > F.col("first")).cast("int"), F.lit(0))
+    restarts = ends.withColumn("back", F.col("back") + across).groupBy(*KEYS).agg(F.sum("back").alias("restarts"))
+    return found.join(restarts, [*KEYS], "left").where("most is not null")
 
 
 def sensitivity(smoothed: DataFrame, window: int, zs: list[float], least_run: int) -> DataFrame:

@@ -119,6 +119,48 @@ def select_model(windows: DataFrame, models: dict[str, DataFrame]) -> DataFrame:
     return best.select(*KEYS, "b.*")
 
 
+def ar_losses(windows: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 5), ridges: tuple[float, ...] = (1e-3, 0.1, 10.0)) -> DataFrame:
+    """(keys, order, ridge, train_mse, validation_mse) of every candidate, a ridge regression of y on the last inputs of x fitted to the part `train`; windows need `part`.
+
+    One pass makes the sums of products of all lags for each part. A candidate's weights come from the sums of training, and its loss on either part is the quadratic form of its weights and that part's sums, so no candidate looks at the windows again.
+    """
+    import numpy as np
+
+    most = max(orders)
+    rows = windows.select(*KEYS, "part", "y", *(F.element_at("x", -(k + 1)).alias(f"x{k}") for k in range(most)))
+    terms = ["1.0", *(f"x{k}" for k in range(most)), "y"]
+    products = F.array(*[F.sum(F.expr(f"{a} * {b}")) for i, a in enumerate(terms) for b in terms[i:]])
+    sums = rows.groupBy(*KEYS, "part").agg(products.alias("sums")).groupBy(*KEYS).agg(*(F.max(F.when(F.col("part") == part, F.col("sums"))).alias(part) for part in ("train", "validation")))
+
+    def whole(listed) -> np.ndarray:
+        m = np.zeros((most + 2, most + 2))
+        m[np.triu_indices(most + 2)] = listed
+        return m + m.T - np.diag(np.diag(m))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                parts = [None if x is None else whole(x) for x in (row.train, row.validation)]
+                for order in orders if parts[0] is not None else ():
+                    at = [*range(order + 1), most + 1]
+                    train = parts[0][np.ix_(at, at)]
+                    for ridge in ridges:
+                        penalty = np.diag([0.0] + [ridge * train[0, 0]] * order)
+                        w = np.append(np.linalg.lstsq(train[:-1, :-1] + penalty, train[:-1, -1], rcond=None)[0], -1.0)
+                        losses = [None if m is None else max(0.0, float(w @ m[np.ix_(at, at)] @ w) / m[0, 0]) for m in parts]
+                        out.append((*(getattr(row, k) for k in KEYS), order, ridge, *losses))
+            yield pd.DataFrame(out, columns=[*KEYS, "order", "ridge", "train_mse", "validation_mse"])
+
+    return sums.mapInPandas(judge, "mission_id string, channel_id string, order int, ridge double, train_mse double, validation_mse double")
+
+
+def best_ar(losses: DataFrame) -> DataFrame:
+    """(keys, order, ridge, train_mse, validation_mse): the candidate with the least validation loss of each series, of equal ones the simplest."""
+    best = losses.groupBy(*KEYS).agg(F.min_by(F.struct("order", "ridge", "train_mse", "validation_mse"), F.struct("validation_mse", "order", -F.col("ridge"))).alias("b"))
+    return best.select(*KEYS, "b.*")
+
+
 def residuals(predicted: DataFrame, value: str = "value_normalized") -> DataFrame:
     return predicted.withColumn("residual", F.col("prediction") - F.col(value).cast("double"))
 

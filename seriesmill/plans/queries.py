@@ -451,6 +451,30 @@ def fct_model_selection(spark, sf_dir):
     return best.select("channel_id", "model", F.round("train_mse", 5).alias("train_mse"), F.round("validation_mse", 5).alias("validation_mse"))
 
 
+ORDERS, RIDGES = (1, 2), (1e-4, 1e-2, 0.1, 1.0, 10.0, 100.0)
+#: Ridge regressions on one and two lags in closed form, from centred sums.
+CANDIDATES = f"""{VALIDATION}, p2 AS (SELECT channel_id, us, tick_id, lag(vn::DOUBLE, 2) OVER ({ORDER}) AS before FROM x), vb AS (SELECT va.*, before FROM va JOIN p2 USING (channel_id, us, tick_id) WHERE nw >= 2),
+cs AS (SELECT channel_id, count(*) AS n, avg(previous) AS mx, avg(before) AS mz, avg(vn) AS my, var_pop(previous) AS xx, var_pop(before) AS zz, covar_pop(previous, before) AS xz, covar_pop(previous, vn) AS xy, covar_pop(before, vn) AS zy FROM vb WHERE part = 'train' GROUP BY 1),
+cw AS (SELECT channel_id, 1 AS "order", ridge, xy / (xx + ridge) AS b1, 0.0::DOUBLE AS b2, mx, mz, my FROM cs, (SELECT unnest({[*RIDGES]}::DOUBLE[]) AS ridge)
+  UNION ALL SELECT channel_id, 2, ridge, ((zz + ridge) * xy - xz * zy) / ((xx + ridge) * (zz + ridge) - xz * xz), ((xx + ridge) * zy - xz * xy) / ((xx + ridge) * (zz + ridge) - xz * xz), mx, mz, my FROM cs, (SELECT unnest({[*RIDGES]}::DOUBLE[]) AS ridge)),
+cl AS (SELECT channel_id, "order", ridge, avg(q) FILTER (part = 'train') AS train_mse, avg(q) FILTER (part = 'validation') AS validation_mse FROM (SELECT channel_id, "order", ridge, part, pow(my + b1 * (previous - mx) + b2 * (before - mz) - vn, 2) AS q FROM vb JOIN cw USING (channel_id)) GROUP BY 1, 2, 3)"""
+
+
+def _candidates(spark, sf_dir):
+    windows = scoring.validation_split(scoring.window_pairs(tm.series(spark, sf_dir), tm.INPUTS, tm.HORIZON))
+    return scoring.ar_losses(windows, ORDERS, RIDGES)
+
+
+@register(f'WITH {CANDIDATES} SELECT channel_id, "order"::INT AS "order", ridge, round(train_mse, 6) AS train_mse, round(validation_mse, 6) AS validation_mse FROM cl')
+def fct_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("channel_id", "order", "ridge", F.round("train_mse", 6).alias("train_mse"), F.round("validation_mse", 6).alias("validation_mse"))
+
+
+@register(f'WITH {CANDIDATES} SELECT channel_id, "order"::INT AS "order", ridge FROM cl QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY validation_mse, "order", ridge DESC) = 1')
+def fct_best_candidate(spark, sf_dir):
+    return scoring.best_ar(_candidates(spark, sf_dir)).select("channel_id", "order", "ridge")
+
+
 @register(f"WITH RECURSIVE {SMOOTHED} SELECT channel_id, position, round(smoothed, 5) AS smoothed FROM sm")
 def sco_smoothed(spark, sf_dir):
     out = scoring.smooth_errors(scoring.residuals(scoring.predict_persistence(tm.windows(spark, sf_dir))), tm.SPAN)
@@ -664,6 +688,32 @@ def swp_trials(spark, sf_dir):
     return _sweep(spark, sf_dir)[1]
 
 
+LISTED = [(0, 7, 60, 2.5, 1), (1, 30, 250, 3.0, 3), (2, 90, 480, 4.0, 2)]
+
+
+def _listed_sql() -> str:
+    parts, judged = [], []
+    for k, span, window, z, least in LISTED:
+        a = f"(2.0::DOUBLE / {span + 1})"
+        frame = f"({POS} ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
+        parts.append(f"s{k} AS (SELECT channel_id, position, abs(residual) AS smoothed FROM lf WHERE position = 0 UNION ALL SELECT lf.channel_id, lf.position, abs(residual) * {a} + s.smoothed * (1 - {a}) FROM s{k} s JOIN lf ON lf.channel_id = s.channel_id AND lf.position = s.position + 1)")
+        parts.append(f"a{k} AS (SELECT channel_id, position, window_label, coalesce(smoothed > avg(smoothed) OVER {frame} + {z}::DOUBLE * stddev_pop(smoothed) OVER {frame}, false) AS above FROM lf JOIN s{k} USING (channel_id, position))")
+        parts.append(f"r{k} AS (SELECT *, row_number() OVER ({POS}) - row_number() OVER (PARTITION BY channel_id, above ORDER BY position) AS run FROM a{k})")
+        judged.append(f"SELECT channel_id || ':{k}' AS channel_id, position, window_label AS t1, above AND count(*) OVER (PARTITION BY channel_id, above, run) >= {least} AS p1 FROM r{k}")
+    first = f"{WINDOWS}, lf AS (SELECT channel_id, position, window_label, previous - vn AS residual FROM w QUALIFY position < floor(count(*) OVER (PARTITION BY channel_id) * 0.6::DOUBLE))"
+    each = "ea AS (SELECT pm.channel_id[:-3] AS channel_id, pm.channel_id[-1:]::INT AS config, f05, seg_f05, coalesce(fp::DOUBLE / nullif(n - n_true, 0), 0) AS false_rate FROM pm JOIN sg USING (channel_id) JOIN (SELECT channel_id, count(*) AS n FROM judged GROUP BY 1) USING (channel_id))"
+    return f"WITH RECURSIVE {first}, {', '.join(parts)}, judged AS ({' UNION ALL '.join(judged)}), {POINTS}, {SEGMENTS}, {SUBSYSTEMS}, {each} SELECT subsystem, config, round(avg(f05), 6) AS f05, round(avg(seg_f05), 6) AS seg_f05, round(avg(false_rate), 6) AS false_rate, round(avg(seg_f05) - avg(false_rate) * 5, 6) AS objective FROM ea JOIN sub USING (channel_id) GROUP BY 1, 2"
+
+
+@register(_listed_sql())
+def swp_listed_trials(spark, sf_dir):
+    """Trials of three listed configurations over all series."""
+    configs = spark.createDataFrame(LISTED, "config int, span int, window int, z double, least_run int")
+    errors = scoring.residuals(scoring.predict_persistence(tm.windows(spark, sf_dir)))
+    found = sweep.trials(errors, configs, views.subsystems(spark, sf_dir))
+    return found.select("subsystem", "config", *(F.round(c, 6).alias(c) for c in ("f05", "seg_f05", "false_rate", "objective")))
+
+
 @register()
 def swp_best(spark, sf_dir):
     configs, results, default = _sweep(spark, sf_dir)
@@ -881,9 +931,9 @@ def rpt_warm_statistics(spark, sf_dir):
     return out.select("channel_id", *(F.round(c, 4 if c.startswith("threshold") else 5).alias(c) for c in out.columns[2:]))
 
 
-@register(f"WITH RECURSIVE {RATIOS} SELECT channel_id, round(max(r) FILTER (window_label), 4) AS labelled_most, round(max(r), 4) AS most FROM rt WHERE position > 3 GROUP BY 1")
+@register(f"WITH RECURSIVE {RATIOS}, rs AS (SELECT channel_id, count(*) FILTER (back) AS restarts FROM (SELECT channel_id, lag(us) OVER (PARTITION BY channel_id ORDER BY tick_id) > us AS back FROM sc) GROUP BY 1) SELECT channel_id, round(max(r) FILTER (window_label), 4) AS labelled_most, round(max(r), 4) AS most, any_value(restarts) AS restarts FROM rt JOIN rs USING (channel_id) GROUP BY 1")
 def rpt_near_misses(spark, sf_dir):
-    return reports.near_misses(tm.scored(spark, sf_dir).where("position > 3")).select("channel_id", F.round("labelled_most", 4).alias("labelled_most"), F.round("most", 4).alias("most"))
+    return reports.near_misses(tm.scored(spark, sf_dir), "tick_id").select("channel_id", F.round("labelled_most", 4).alias("labelled_most"), F.round("most", 4).alias("most"), "restarts")
 
 
 SENSITIVE = f"""{SMOOTHED}, ze AS (SELECT e.channel_id || ':' || z AS channel_id, e.channel_id AS c, z, position, window_label, smoothed, avg(smoothed) OVER fr + z * stddev_pop(smoothed) OVER fr AS threshold FROM e JOIN sm USING (channel_id, position) CROSS JOIN (VALUES (3.0::DOUBLE), (2.0), (1.0), (0.75)) v(z) WINDOW fr AS (PARTITION BY e.channel_id, z ORDER BY position ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
