@@ -157,6 +157,14 @@ def channel_characteristics(df: DataFrame, value: str = "value_normalized", leas
     return grouped.where(F.col("n") >= least).drop("n")
 
 
+def channel_profiles(df: DataFrame, value: str = "value_normalized", least: int = 50, keys=KEYS) -> DataFrame:
+    """channel_characteristics with what the labelled runs of each series are like: their number, percentiles of their lengths and magnitudes, and the shares of their shapes. Series without a labelled run are left out."""
+    percentiles = [F.percentile(c, p / 100).alias(f"{name}_p{p}") for name, c in (("duration", "n"), ("magnitude", "magnitude")) for p in (10, 50, 90)]
+    shares = [F.avg((F.col("shape") == shape).cast("double")).alias(f"share_{shape}") for shape in ("spike", "flatline", "drift_ramp", "level_shift")]
+    own = anomaly_shapes(df, value, least, keys).groupBy(*keys).agg(F.count("*").alias("n_runs"), *percentiles, *shares)
+    return channel_characteristics(df, value, least, keys).join(own, [*keys])
+
+
 def ratio_of(a, b):
     return F.try_divide(a.cast("double"), b.cast("double"))
 

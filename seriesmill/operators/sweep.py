@@ -54,6 +54,27 @@ def thresholds_by_row(df: DataFrame, keys, most_window: int = 500, rows: int = 4
     return out.select(*keys, "r.position", *(F.col(f"r.{c}") for c in values), made.alias("threshold"))
 
 
+def labelled_errors(errors: DataFrame, labels: DataFrame) -> DataFrame:
+    """Errors (keys, position, residual) with the labels (keys, position, window_label) of their windows. Series without either are left out; where a series has more of one than of the other, or at other positions, the job ends with an error that names it, as the two come from different windows."""
+    flags = labels.select(*KEYS, "position", "window_label", F.lit(True).alias("__label"))
+    both = errors.withColumn("__error", F.lit(True)).join(flags, [*KEYS, "position"], "full_outer")
+    counts = both.groupBy(*KEYS).agg(F.count("__error").alias("e"), F.count("__label").alias("l"), F.count_if(F.col("__error") & F.col("__label")).alias("both"))
+    told = F.concat(F.lit("the labels do not fit the errors of "), F.concat_ws("/", *KEYS), F.lit(": "), F.col("l"), F.lit(" against "), F.col("e"))
+    fits = F.when((F.col("e") == F.col("both")) & (F.col("l") == F.col("both")), F.lit(True)).otherwise(F.raise_error(told))
+    usable = counts.where("e > 0 and l > 0").withColumn("__fits", fits).where("__fits").select(*KEYS)
+    return both.where("__error and __label").drop("__error", "__label").join(usable, [*KEYS], "left_semi")
+
+
+def sweep_parts(errors: DataFrame, subsystems: DataFrame, fraction: float = 0.6) -> DataFrame:
+    """(mission_id, subsystem, n, labelled_first, labelled_rest, warning): labelled windows of the part that a sweep tries on and of the rest, over all series of a subsystem; a warning where a part has none, as scores there are then 0 whatever the configuration."""
+    size = errors.groupBy(*KEYS).agg(F.count("*").alias("size"))
+    first = F.col("position") < F.floor(F.col("size") * F.lit(fraction))
+    counted = errors.join(size, [*KEYS]).groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if(first & F.col("window_label")).alias("a"), F.count_if(~first & F.col("window_label")).alias("b"))
+    found = counted.join(subsystems, [*KEYS]).groupBy("mission_id", "subsystem").agg(F.sum("n").alias("n"), F.sum("a").alias("labelled_first"), F.sum("b").alias("labelled_rest"))
+    told = F.concat_ws("; ", F.when(F.col("labelled_first") == 0, "no labelled window to try on"), F.when(F.col("labelled_rest") == 0, "no labelled window in the rest"))
+    return found.withColumn("warning", F.nullif(told, F.lit("")))
+
+
 def trials(errors: DataFrame, configs: DataFrame, subsystems: DataFrame, penalty: float = 5.0, fraction: float = 0.6) -> DataFrame:
     """(mission_id, subsystem, config, f05, seg_f05, false_rate, objective) over the first windows of each series.
 

@@ -654,6 +654,17 @@ def inj_characteristics(spark, sf_dir):
     return _classes(spark, sf_dir).select("channel_id", *(F.round(c, 5).alias(c) for c in ("flat", "noise", "autocorrelation")), F.round("range", 4).alias("range"), "signal_class")
 
 
+RUN_PROFILES = f"""{CHARACTER}, {SHAPES.removeprefix(SERIES + ", ")},
+rp AS (SELECT channel_id, count(*) AS n_runs, {", ".join(f"round(quantile_cont({c}, 0.{p}), 5)::DOUBLE AS {name}_p{p}0" for name, c in (("duration", "n::DOUBLE"), ("magnitude", "magnitude")) for p in (1, 5, 9))}, {", ".join(f"round(avg((shape = '{x}')::INT::DOUBLE), 6) AS share_{x}" for x in ("spike", "flatline", "drift_ramp", "level_shift"))} FROM ss GROUP BY 1)"""
+
+
+@register(f"WITH {RUN_PROFILES} SELECT cl.channel_id, round(flat, 5) AS flat, round(noise, 5) AS noise, round(autocorrelation, 5) AS autocorrelation, round(range, 4) AS range, rp.* EXCLUDE (channel_id) FROM cl JOIN rp USING (channel_id)")
+def inj_channel_profiles(spark, sf_dir):
+    out = inject.channel_profiles(tm.series(spark, sf_dir))
+    five = [c for c in out.columns if c in ("flat", "noise", "autocorrelation") or "_p" in c]
+    return out.withColumns({c: F.round(c, 5) for c in five}).withColumn("range", F.round("range", 4))
+
+
 CLASSES = f"""{CHARACTER}, {SHAPES.removeprefix(SERIES + ", ")},
 ea AS (SELECT channel_id, median(magnitude) AS mag, median(n) AS dur, avg((shape = 'spike')::INT::DOUBLE) AS sp, avg((shape = 'flatline')::INT::DOUBLE) AS fl, avg((shape = 'drift_ramp')::INT::DOUBLE) AS dr, avg((shape = 'level_shift')::INT::DOUBLE) AS lv FROM ss GROUP BY 1),
 cg AS (SELECT signal_class, count(*) AS n_channels, quantile_cont(mag, 0.1) AS m10, quantile_cont(mag, 0.9) AS m90, quantile_cont(dur, 0.1) AS d10, quantile_cont(dur, 0.9) AS d90, round(avg(sp), 2) AS ws, round(avg(fl) + avg(lv) * 0.6::DOUBLE, 2) AS wf, round(avg(dr) + avg(lv) * 0.4::DOUBLE, 2) AS wd FROM cl JOIN ea USING (channel_id) GROUP BY 1),
@@ -714,6 +725,13 @@ def swp_listed_trials(spark, sf_dir):
     return found.select("subsystem", "config", *(F.round(c, 6).alias(c) for c in ("f05", "seg_f05", "false_rate", "objective")))
 
 
+@register(f"""WITH {WINDOWS}, {SUBSYSTEMS}, pa AS (SELECT *, position < floor(count(*) OVER (PARTITION BY channel_id) * 0.6::DOUBLE) AS first FROM w),
+pb AS (SELECT subsystem, count(*) AS n, count(*) FILTER (first AND window_label) AS labelled_first, count(*) FILTER (NOT first AND window_label) AS labelled_rest FROM pa JOIN sub USING (channel_id) GROUP BY 1)
+SELECT *, nullif(concat_ws('; ', CASE WHEN labelled_first = 0 THEN 'no labelled window to try on' END, CASE WHEN labelled_rest = 0 THEN 'no labelled window in the rest' END), '') AS warning FROM pb""")
+def swp_parts(spark, sf_dir):
+    return sweep.sweep_parts(tm.windows(spark, sf_dir), views.subsystems(spark, sf_dir))
+
+
 @register()
 def swp_best(spark, sf_dir):
     configs, results, default = _sweep(spark, sf_dir)
@@ -761,7 +779,21 @@ def drf_reference_profile(spark, sf_dir):
     return _five(tm.profiles(spark, sf_dir)[0], "channel_id", "telemetry_timestamp")
 
 
-@register()
+_PROFILES = PROFILE.removeprefix(SERIES + ", ")
+_LISTED_FEATURES = ["value_normalized", *features.names()]
+_LONG = f"unnest([{', '.join(f"'{n}'" for n in _LISTED_FEATURES)}]) AS feature, unnest([{', '.join(_LISTED_FEATURES)}]) AS v"
+#: The profiles of both splits, and the distance of their distributions for each feature.
+SWEPT = f"""{SERIES}, {_PROFILES.replace("ft AS", "fa AS").replace("FROM ft", "FROM fa").replace("rp AS", "ra AS")},
+{_PROFILES.replace("ft AS", "fb AS").replace("FROM ft", "FROM fb").replace("rp AS", "rb AS").replace("split = 'train' AND NOT is_anomaly", "split = 'test'")},
+ul AS (SELECT channel_id, {_LONG}, 1 AS r, 0 AS c FROM ra WHERE rank <= 500 UNION ALL SELECT channel_id, {_LONG}, 0, 1 FROM rb WHERE rank <= 500),
+uc AS (SELECT channel_id, feature, v, sum(r)::DOUBLE AS r, sum(c)::DOUBLE AS c FROM ul GROUP BY 1, 2, 3),
+ug AS (SELECT channel_id, feature, abs(sum(r) OVER o / sum(r) OVER e - sum(c) OVER o / sum(c) OVER e) * (lead(v) OVER o - v) AS area FROM uc WINDOW o AS (PARTITION BY channel_id, feature ORDER BY v), e AS (PARTITION BY channel_id, feature)),
+us AS (SELECT channel_id, feature, sum(area) / any_value(spread) AS score FROM ug JOIN (SELECT channel_id, feature, greatest(stddev_pop(v), 0.001) AS spread FROM ul WHERE r = 1 GROUP BY 1, 2) USING (channel_id, feature) GROUP BY 1, 2),
+ua AS (SELECT channel_id, count(*) FILTER (score >= 0.1) AS n_drifted, avg((score >= 0.1)::INT::DOUBLE) AS share FROM us GROUP BY 1),
+uk AS (SELECT channel_id, max(r) = 1 AND max(c) = 1 AS ok FROM ul GROUP BY 1)"""
+
+
+@register(f"WITH {SWEPT}, uf AS (SELECT channel_id, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status, CASE WHEN ok THEN n_drifted END AS n_drifted, CASE WHEN ok THEN round(share, 6) END AS share, CASE WHEN ok THEN share > 0.3 END AS alert FROM uk LEFT JOIN ua USING (channel_id)) SELECT *, (SELECT count(*) FILTER (alert) FROM uf) AS drifted_total FROM uf")
 def drf_mission_sweep(spark, sf_dir):
     return drift.mission_sweep(*tm.profiles(spark, sf_dir))
 
@@ -780,13 +812,26 @@ def _rolling(spark, sf_dir):
     return drift.rolling_snapshots(drift.rolling_drift(df, reference), 0.12)
 
 
-@register()
+#: Both distribution functions of every evaluation, one row for each value in either.
+ROLLING = f"""{SERIES}, rb AS (SELECT channel_id, position, vn::DOUBLE AS value, vn::DOUBLE - lag(vn::DOUBLE) OVER ({POS}) AS change FROM x),
+rl AS (SELECT channel_id, position, 'value' AS feature, value AS v FROM rb UNION ALL SELECT channel_id, position, 'change', change FROM rb WHERE change IS NOT NULL),
+r0 AS (SELECT channel_id, vn::DOUBLE AS value, vn::DOUBLE - lag(vn::DOUBLE) OVER ({POS}) AS change FROM x WHERE split = 'train' AND NOT is_anomaly),
+rr AS (SELECT channel_id, 'value' AS feature, value AS v FROM r0 UNION ALL SELECT channel_id, 'change', change FROM r0 WHERE change IS NOT NULL),
+ev AS (SELECT channel_id, position AS pos FROM rb WHERE position >= 255 AND (position - 255) % 10 = 0),
+un AS (SELECT ev.channel_id, pos, feature, v, 0 AS r, 1 AS c FROM ev JOIN rl ON rl.channel_id = ev.channel_id AND rl.position <= pos AND rl.position > pos - CASE feature WHEN 'value' THEN 256 ELSE 255 END UNION ALL SELECT ev.channel_id, pos, feature, v, 1, 0 FROM ev JOIN rr USING (channel_id)),
+uc AS (SELECT channel_id, pos, feature, v, sum(r)::DOUBLE AS r, sum(c)::DOUBLE AS c FROM un GROUP BY 1, 2, 3, 4),
+ug AS (SELECT channel_id, pos, feature, abs(sum(r) OVER o / sum(r) OVER e - sum(c) OVER o / sum(c) OVER e) * (lead(v) OVER o - v) AS area FROM uc WINDOW o AS (PARTITION BY channel_id, pos, feature ORDER BY v), e AS (PARTITION BY channel_id, pos, feature)),
+us AS (SELECT channel_id, pos AS position, feature, sum(area) / any_value(spread) AS score FROM ug JOIN (SELECT channel_id, feature, greatest(stddev_pop(v), 0.001) AS spread FROM rr GROUP BY 1, 2) USING (channel_id, feature) GROUP BY 1, 2, 3),
+sn AS (SELECT channel_id, position, avg((score >= 0.12)::INT::DOUBLE) AS share FROM us GROUP BY 1, 2)"""
+
+
+@register(f"WITH {ROLLING}, cf AS (SELECT *, share >= 0.3 AS alert, count(*) FILTER (share >= 0.3) OVER ({POS} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 2 AS confirmed FROM sn) SELECT channel_id, position, feature, round(score, 6) AS score, score >= 0.12 AS drifted, share, alert, confirmed FROM us JOIN cf USING (channel_id, position)")
 def drf_rolling(spark, sf_dir):
     found = drift.confirm(_rolling(spark, sf_dir), 2)
     return found.select(*KEYS, "position", F.inline("features"), "share", "alert", "confirmed")
 
 
-@register()
+@register(f"WITH {ROLLING}, {SUBSYSTEMS}, nw AS (SELECT channel_id, arg_max(share >= 0.3, position) AS drifted FROM sn GROUP BY 1) SELECT subsystem, round(avg(drifted::INT::DOUBLE), 6) AS share, avg(drifted::INT::DOUBLE) >= 0.3 AS alert FROM nw JOIN sub USING (channel_id) GROUP BY 1")
 def drf_subsystem_alerts(spark, sf_dir):
     return drift.subsystem_alerts(drift.confirm(_rolling(spark, sf_dir), 1), views.subsystems(spark, sf_dir))
 

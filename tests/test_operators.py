@@ -412,3 +412,43 @@ def test_runs_in_blocks_equal_brute_force(spark, rows):
     seconds = rows * 900.0
     assert {(r.channel_id, r.start_time, r.end_time, r.detected) for r in runs.flag_intervals(df, "flag", "hit", seconds=seconds).collect()} == spans
     assert {r.channel_id: r.longest for r in runs.longest_above(df, "x", 0.5, seconds=seconds).collect()} == {c: longest[c] if c not in "ab" else max(len(list(g)) if v else 0 for v, g in itertools.groupby(r[7] > 0.5 for r in data if r[1] == c)) for c in "abcde"}
+
+
+def test_candidate_losses_equal_fitting_each(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 5)).round(2)
+    y = x @ [0.1, 0, -0.3, 0.2, 0.6] + 1.5 + rng.normal(size=80) * 0.1
+    rows = [("m", "a", x[k].tolist(), float(y[k]), "train" if k < 60 else "validation") for k in range(80)] + [("m", "b", x[k].tolist(), 2.0, "train") for k in range(5)]
+    df = spark.createDataFrame(rows, "mission_id string, channel_id string, x array<double>, y double, part string")
+    got = {(r.channel_id, r.order, r.ridge): (r.train_mse, r.validation_mse) for r in scoring.ar_losses(df, (1, 3, 5), (1e-3, 0.1, 10.0)).collect()}
+    for order in (1, 3, 5):
+        for ridge in (1e-3, 0.1, 10.0):
+            a = np.column_stack([np.ones(80), x[:, ::-1][:, :order]])
+            w = np.linalg.solve(a[:60].T @ a[:60] + np.diag([0.0] + [60 * ridge] * order), a[:60].T @ y[:60])
+            square = (a @ w - y) ** 2
+            assert got["a", order, ridge] == pytest.approx((square[:60].mean(), square[60:].mean()), abs=1e-9)
+            assert got["b", order, ridge][0] == pytest.approx(0, abs=1e-9) and got["b", order, ridge][1] is None
+    best = {r.channel_id: (r.order, r.ridge) for r in scoring.best_ar(scoring.ar_losses(df, (1, 3, 5), (1e-3, 0.1, 10.0)).where("channel_id = 'a'")).collect()}
+    assert best["a"] == min((v[1], k[1], k[2]) for k, v in got.items() if k[0] == "a")[1:]
+
+
+def test_sweep_labels_and_parts(spark):
+    errors = spark.createDataFrame([("m", c, k, 0.5) for c in "abc" for k in range(10)], "mission_id string, channel_id string, position long, residual double")
+    labels = spark.createDataFrame([("m", c, k, c == "a" and k < 2) for c in "abx" for k in range(10)], "mission_id string, channel_id string, position long, window_label boolean")
+    both = sweep.labelled_errors(errors, labels)
+    assert sorted({r.channel_id for r in both.collect()}) == ["a", "b"] and both.count() == 20
+    with pytest.raises(Exception, match="do not fit the errors of m/a: 9 against 10"):
+        sweep.labelled_errors(errors, labels.where("channel_id != 'a' or position > 0")).collect()
+    subsystems = spark.createDataFrame([("m", "a", "s"), ("m", "b", "t")], "mission_id string, channel_id string, subsystem string")
+    found = {r.subsystem: (r.n, r.labelled_first, r.labelled_rest, r.warning) for r in sweep.sweep_parts(both, subsystems).collect()}
+    assert found == {"s": (10, 2, 0, "no labelled window in the rest"), "t": (10, 0, 0, "no labelled window to try on; no labelled window in the rest")}
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_restarts_of_a_replay(spark, rows):
+    at = [0, 10, 20, 5, 15, 25, 25, 0, 30]
+    data = [("m", c, k, START + timedelta(seconds=s if c == "a" else k), k % 2 == 0, float(k), 2.0 if k else None) for c in "ab" for k, s in enumerate(at)]
+    df = spark.createDataFrame(data, "mission_id string, channel_id string, arrival long, telemetry_timestamp timestamp, window_label boolean, smoothed double, threshold double")
+    got = {r.channel_id: (r.labelled_most, r.most, r.restarts) for r in reports.near_misses(df, "arrival", rows).collect()}
+    assert got == {"a": (4.0, 4.0, 2), "b": (4.0, 4.0, 0)}
+    assert reports.near_misses(df).columns == ["mission_id", "channel_id", "labelled_most", "most"]
