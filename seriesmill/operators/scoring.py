@@ -245,6 +245,10 @@ def prune(df: DataFrame, least_drop: float, keys=KEYS) -> DataFrame:
 def point_metrics(df: DataFrame, truth: str = "window_label", predicted: str = "predicted", keys=KEYS) -> DataFrame:
     t, p = F.col(truth), F.col(predicted)
     counts = df.groupBy(*keys).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(t).alias("n_true"), F.count_if(p).alias("n_predicted"), F.count("*").alias("n"))
+    return point_scores(counts)
+
+
+def point_scores(counts: DataFrame) -> DataFrame:
     scored = counts.withColumn("precision", ratio(F.col("tp"), F.col("n_predicted"))).withColumn("recall", ratio(F.col("tp"), F.col("n_true")))
     return scored.withColumn("f1", f_score(F.col("precision"), F.col("recall"), 1.0)).withColumn("f05", f_score(F.col("precision"), F.col("recall"), 0.5))
 
@@ -259,6 +263,10 @@ def segment_metrics(df: DataFrame, truth: str = "window_label", predicted: str =
     met = rows.groupBy(*keys, "true_run", "run").agg(F.bool_or("hit").alias("hit"))
     is_true, hit = F.col("true_run"), F.col("hit")
     both = met.groupBy(*keys).agg(F.count_if(is_true).alias("seg_true"), F.count_if(is_true & hit).alias("hit_true"), F.count_if(~is_true).alias("seg_predicted"), F.count_if(~is_true & hit).alias("hit_predicted"))
+    return segment_scores(both)
+
+
+def segment_scores(both: DataFrame) -> DataFrame:
     scored = both.withColumn("seg_recall", ratio(F.col("hit_true"), F.col("seg_true"))).withColumn("seg_precision", ratio(F.col("hit_predicted"), F.col("seg_predicted")))
     return scored.withColumn("seg_f1", f_score(F.col("seg_precision"), F.col("seg_recall"), 1.0)).withColumn("seg_f05", f_score(F.col("seg_precision"), F.col("seg_recall"), 0.5))
 

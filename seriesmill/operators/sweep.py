@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import blocks
+from ..functions import blocks, kernels
 from ..functions.series import KEYS, ratio, sent_if_small, so_far
 from ..sources.io import settled
-from .scoring import evaluation_slice, flag_anomalies, point_metrics, segment_metrics, smooth_errors
+from .scoring import flag_anomalies, point_scores, segment_scores, smooth_errors
 
 #: Bounds of span, window, z and run; the upper ends of whole numbers are exclusive.
 BOUNDS = {"span": (5, 100), "window": (50, 500), "z": (2.5, 5.0), "least_run": (1, 10)}
@@ -75,19 +77,69 @@ def sweep_parts(errors: DataFrame, subsystems: DataFrame, fraction: float = 0.6)
     return found.withColumn("warning", F.nullif(told, F.lit("")))
 
 
-def trials(errors: DataFrame, configs: DataFrame, subsystems: DataFrame, penalty: float = 5.0, fraction: float = 0.6) -> DataFrame:
+def _block_trials(configs: list[tuple]):
+    """What one block of a series tells of each configuration: counts over its own rows, runs of labels and of flags that lie within it and how many of them meet the other, and those that touch its ends. Errors are smoothed once for each span, and windows summed once for each span and window."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("position")
+        position, own = frame["position"].to_numpy(), frame[blocks.OWN].to_numpy(bool)
+        if not own.any():
+            return pd.DataFrame([], columns=_TOLD)
+        errors, truth = np.abs(frame["residual"].to_numpy(float)), frame["window_label"].to_numpy(bool)[own]
+        whole_before = np.concatenate(([0], np.cumsum(truth)))
+        left, right = position[own][0], position[own][-1] + 1
+        smooth, sums, out = {}, {}, []
+        for config, span, window, z, least in configs:
+            if span not in smooth:
+                smooth[span] = kernels.smoothed(errors, span, None if position[0] == 0 else 0.0)
+            if (span, window) not in sums:
+                sums[span, window] = kernels.limits(smooth[span], window)
+            mean, deviation = sums[span, window]
+            flags = kernels.long_runs(smooth[span] > mean + z * deviation, least)[own]
+            told, edges = [], []
+            for kind, mine, other in ((True, truth, np.concatenate(([0], np.cumsum(flags)))), (False, flags, whole_before)):
+                a, b = kernels.runs(mine)
+                hit = other[b] > other[a]
+                inside = ((a > 0) | (left == 0)) & (b < len(mine))
+                told += [int(inside.sum()), int((inside & hit).sum())]
+                edges += [{"kind": kind, "a": int(left + x), "b": int(left + y), "hit": bool(h)} for x, y, h in zip(a[~inside], b[~inside], hit[~inside], strict=True)]
+            both = int((truth & flags).sum())
+            out.append((*key[:-1], config, both, int(flags.sum()) - both, int(truth.sum()) - both, int(truth.sum()), int(flags.sum()), int(right - left), *told, edges))
+        return pd.DataFrame(out, columns=_TOLD)
+
+    return run
+
+
+_COUNTS = ["tp", "fp", "fn", "n_true", "n_predicted", "n"]
+_RUNS = ["seg_true", "hit_true", "seg_predicted", "hit_predicted"]
+_TOLD = [*KEYS, "config", *_COUNTS, *_RUNS, "edges"]
+
+
+def trials(errors: DataFrame, configs: DataFrame, subsystems: DataFrame, penalty: float = 5.0, fraction: float = 0.6, rows: int = 16_384) -> DataFrame:
     """(mission_id, subsystem, config, f05, seg_f05, false_rate, objective) over the first windows of each series.
 
-    errors: keys, position, residual, window_label. Configurations are a bounded table (a sweep's list), sent to every task; all series and configurations are scored in one job, whose flags are written once for both kinds of metrics.
+    errors: keys, position, residual, window_label. Configurations are a sweep's list, which goes to every task. Each block of so many rows is a task's work for all configurations at once: its rows are shuffled once, with those before it that a smoothed error, a window and a run can see (what lies further back weighs less than 1e-17), and only counts and the runs that touch its ends come out; those that follow each other across blocks are joined afterwards.
     """
-    keys = (*KEYS, "config")
-    first = evaluation_slice(errors.select(*KEYS, "position", "residual", "window_label"), "first", fraction)
-    rows = first.join(sent_if_small(configs))
-    flagged = flag_anomalies(thresholds_by_row(smooth_errors(rows, F.col("span"), keys=keys), keys), F.col("least_run"), keys, most_run=BOUNDS["least_run"][1])
-    flagged = settled(flagged.select(*keys, "position", "window_label", "predicted"), "trials")
-    points = point_metrics(flagged, keys=keys).select(*keys, "f05", "fp", "n_true", "n")
-    each = points.join(segment_metrics(flagged, keys=keys).select(*keys, "seg_f05"), [*keys])
-    each = each.withColumn("false_rate", ratio(F.col("fp"), F.col("n") - F.col("n_true"))).join(subsystems, [*KEYS])
+    keys, listed = (*KEYS, "config"), [tuple(r) for r in configs.select("config", "span", "window", "z", "least_run").collect()]
+    size = errors.groupBy(*KEYS).agg(F.floor(F.count("*") * F.lit(fraction)).alias("__cut"))
+    first = errors.select(*KEYS, "position", "residual", F.coalesce("window_label", F.lit(False)).alias("window_label")).join(size, [*KEYS]).where(F.col("position") < F.col("__cut")).drop("__cut")
+    run = max((c[4] for c in listed), default=1)
+    back = 20 * (max((c[1] for c in listed), default=1) + 1) + max((c[2] for c in listed), default=1) + run
+    spread = blocks.by_position(first, back, run, rows)
+    kinds = ", ".join(f"{k} {errors.schema[k].dataType.simpleString()}" for k in KEYS)
+    schema = f"{kinds}, config int, {', '.join(f'{c} bigint' for c in [*_COUNTS, *_RUNS])}, edges array<struct<kind:boolean,a:bigint,b:bigint,hit:boolean>>"
+    # Written once: counts and edges are both read from it.
+    told = settled(spread.groupBy(*KEYS, blocks.BLOCK).applyInPandas(_block_trials(listed), schema), "trials")
+
+    order = Window.partitionBy(*keys, "kind").orderBy("a")
+    pieces = told.select(*keys, F.inline("edges"))
+    pieces = pieces.withColumn("__new", F.coalesce((F.lag("b").over(order) < F.col("a")).cast("int"), F.lit(1)))
+    joined = pieces.withColumn("__run", F.sum("__new").over(so_far(order))).groupBy(*keys, "kind", "__run").agg(F.bool_or("hit").alias("hit"))
+    kind, hit = F.col("kind"), F.col("hit")
+    across = joined.groupBy(*keys).agg(F.count_if(kind).alias("__seg_true"), F.count_if(kind & hit).alias("__hit_true"), F.count_if(~kind).alias("__seg_predicted"), F.count_if(~kind & hit).alias("__hit_predicted"))
+    counts = told.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in [*_COUNTS, *_RUNS])).join(across, [*keys], "left")
+    counts = counts.withColumns({c: F.col(c) + F.coalesce(f"__{c}", F.lit(0)) for c in _RUNS})
+    each = segment_scores(point_scores(counts)).withColumn("false_rate", ratio(F.col("fp"), F.col("n") - F.col("n_true"))).join(subsystems, [*KEYS])
     means = each.groupBy("mission_id", "subsystem", "config").agg(*(F.avg(c).alias(c) for c in ("f05", "seg_f05", "false_rate")))
     return means.withColumn("objective", F.col("seg_f05") - F.col("false_rate") * penalty)
 
@@ -107,6 +159,8 @@ def tuned_parameters(channels: DataFrame, subsystems: DataFrame, tuned: DataFram
 
 
 def score_with_parameters(errors: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Windows with residuals, scored with the parameters of their own channel (columns span, window, z and least_run of tuned_parameters), all channels in one job."""
+    """Windows with residuals, scored with the parameters of their own channel (columns span, window, z and least_run of tuned_parameters), all channels in one job. How far blocks look back follows from the largest parameters, which are looked up first."""
+    most = parameters.agg(*(F.coalesce(F.max(c), F.lit(1)).alias(c) for c in ("span", "window", "least_run"))).first()
     rows = errors.join(parameters.select(*KEYS, *DEFAULT), [*KEYS])
-    return flag_anomalies(thresholds_by_row(smooth_errors(rows, F.col("span")), KEYS), F.col("least_run"))
+    smooth = smooth_errors(rows, F.col("span"), most_span=most["span"])
+    return flag_anomalies(thresholds_by_row(smooth, KEYS, most_window=most["window"]), F.col("least_run"), most_run=most["least_run"])

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..functions import kernels
+from ..functions.kernels import PIECE
 from ..operators.drift import FLOOR, areas
 
-#: Errors that are smoothed in one piece, and thresholds made in one.
-PIECE = 256
-
 
 class OnlineScorer:
     """One series' scoring state: the last inputs, the smoothed error, the last smoothed errors and the length of the run of flags that is open. Its results equal the batch scorer's in strict mode."""
 
     def __init__(self, inputs: int, span: int, window: int, z: float, least_run: int, state: tuple | None = None):
-        self.inputs, self.alpha, self.window, self.z, self.least_run = inputs, 2 / (span + 1), window, z, least_run
+        self.inputs, self.span, self.window, self.z, self.least_run = inputs, span, window, z, least_run
         values, smoothed, ring, flags = state or ([], None, [], 0)
         self.values, self.smoothed, self.ring, self.flags = np.array(values, float), smoothed, np.array(ring, float), int(flags)
 
@@ -29,26 +28,14 @@ class OnlineScorer:
         self.reset()
         self.run(np.asarray(values, float))
 
-    def _smooth(self, errors: np.ndarray) -> np.ndarray:
-        q, made = 1 - self.alpha, []
-        for k in range(0, len(errors), PIECE):
-            x = self.alpha * errors[k : k + PIECE]
-            if self.smoothed is None:
-                x[0], self.smoothed = errors[0], 0.0
-            if q > 0:
-                powers = q ** np.arange(len(x))
-                x = np.cumsum(x / powers) * powers + self.smoothed * q * powers
-            made.append(x)
-            self.smoothed = float(x[-1])
-        return np.concatenate(made) if made else errors
-
     def run(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(prediction, smoothed, threshold, predicted) of new values in order, nan where there is none yet."""
         n, first = len(values), max(0, self.inputs - len(self.values))
         prediction, smoothed, threshold, predicted = (np.full(n, np.nan) for _ in range(4))
         if n > first:
             prediction[first:] = np.concatenate((self.values[-1:] if len(self.values) else [np.nan], values[:-1]))[first:]
-            made = smoothed[first:] = self._smooth(np.abs(prediction[first:] - values[first:]))
+            made = smoothed[first:] = kernels.smoothed(np.abs(prediction[first:] - values[first:]), self.span, self.smoothed)
+            self.smoothed = float(made[-1])
             known = np.concatenate((self.ring, made))
             skip = max(0, self.window - len(self.ring))  # errors before there are as many as the window holds
             if len(made) > skip:

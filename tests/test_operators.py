@@ -452,3 +452,31 @@ def test_restarts_of_a_replay(spark, rows):
     got = {r.channel_id: (r.labelled_most, r.most, r.restarts) for r in reports.near_misses(df, "arrival", rows).collect()}
     assert got == {"a": (4.0, 4.0, 2), "b": (4.0, 4.0, 0)}
     assert reports.near_misses(df).columns == ["mission_id", "channel_id", "labelled_most", "most"]
+
+
+def test_grids_and_masks_cross_days(spark):
+    rng = np.random.default_rng(6)
+    data, at = [], {c: np.cumsum(rng.choice([600, 3600, 50_000, 200_000], size=60)) for c in "ab"}
+    data = [("m", c, START + timedelta(seconds=int(s)), k, float(k)) for c in "ab" for k, s in enumerate(at[c])]
+    ticks = spark.createDataFrame(data, "mission_id string, channel_id string, telemetry_timestamp timestamp, tick_id long, value float")
+    step, base = 3600, int((START - datetime(1970, 1, 1)).total_seconds())
+    got = {(r.channel_id, r.bucket_us): r.value for r in resample.resample_to_grid(ticks, step).collect()}
+    want = {}
+    for c in "ab":
+        by = {}
+        for k, s in enumerate(at[c]):
+            by.setdefault((base + int(s)) // step * step, []).append(float(k))
+        value = None
+        for t in range(min(by), max(by) + 1, step):
+            value = np.float32(np.mean(by[t])) if t in by else value
+            want[c, t * 1_000_000] = value
+    assert got == want
+    heard = {t for s in at.values() for t in ((base + s) // step * step).tolist()}
+    every = range(min(heard), max(heard) + 1, step)
+    lost = [t not in heard for t in every]
+    for expand in (False, True):
+        wide = [any(lost[max(0, k - expand) : k + 1 + expand]) for k in range(len(lost))]
+        assert {r.bucket_us: r.is_los for r in resample.outage_mask(ticks, step, expand).collect()} == {t * 1_000_000: w for t, w in zip(every, wide, strict=True)}
+    spans = [(k, len([*g])) for k, g in itertools.groupby(lost)]
+    starts = np.cumsum([0, *(n for _, n in spans)])
+    assert sorted((r.start, r.end) for r in resample.outage_durations(resample.outage_mask(ticks, step, False), step).collect()) == [(int(s), int(s) + n) for s, (k, n) in zip(starts, spans, strict=False) if k]
