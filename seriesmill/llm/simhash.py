@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 from .components import connected_components
@@ -62,8 +63,26 @@ def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", tex
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), row_hash(docs).alias("row")).mapInArrow(run, "id bigint, fp bigint, row bigint")
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.StructType) and any(_holds_map(f.dataType) for f in kind)
+
+
+def _ordered(column: Column, kind: T.DataType) -> Column:
+    """The column with maps, at any depth, as arrays of their entries in order, so that equal maps hash alike."""
+    if not _holds_map(kind):
+        return column
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*(_ordered(column[f.name], f.dataType).alias(f"f{k}") for k, f in enumerate(kind))))
+    entries = F.transform(F.map_entries(column), lambda e: F.struct(_ordered(e["key"], kind.keyType).alias("k"), _ordered(e["value"], kind.valueType).alias("v")))
+    return F.array_sort(entries)
+
+
 def row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*(docs[f"`{c}`"] for c in docs.columns))
+    return F.xxhash64(*(_ordered(docs[f"`{f.name}`"], f.dataType) for f in docs.schema))
 
 
 def _segment(j: int):

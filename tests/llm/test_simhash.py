@@ -61,3 +61,17 @@ def test_edge_cases(spark):
     assert got == [(1, 1), (3, 3), (3, 3), (5, 3), (7, 7), (8, 7), (9, 7)]
     assert [r.component_id for r in near_duplicates(docs).where("id is null").collect()] == [3]
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_maps_at_any_depth_are_hashed_by_content(spark):
+    from seriesmill.llm.simhash import row_hash, without_near_duplicates
+
+    text = " ".join(f"word{k}" for k in range(60))
+    schema = "doc_id long, text string, m map<string,int>, deep array<struct<a:int,b:map<int,array<map<string,string>>>>>"
+    one, two = {"a": 1, "b": 2}, {"b": 2, "a": 1}
+    rows = [(1, text, one, [(1, {1: [{"x": "y", "z": None}], 2: None})]), (1, text, two, [(1, {2: None, 1: [{"z": None, "x": "y"}]})]), (1, text, {"a": 2}, None), (2, text, None, [None]), (3, "other words that nobody repeats here", {}, [])]
+    docs = spark.createDataFrame(rows, schema)
+    hashes = [r.h for r in docs.select("doc_id", row_hash(docs).alias("h")).collect()]
+    assert hashes[0] == hashes[1] and len(set(hashes)) == 4
+    kept = without_near_duplicates(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 3}
