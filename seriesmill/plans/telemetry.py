@@ -19,9 +19,14 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
-    """Prepared rows with their position in the series, written once for what follows. The wide table has a row in some days only, so its blocks are longer."""
-    source, days = (views.wide_ticks(spark, sf_dir), 90) if wide else (views.ticks(spark, sf_dir), 1)
-    return io.settled(prepare.prepare(source, views.label_intervals(spark, sf_dir), MULTIPLIER, seconds=days * blocks.DAY), "series")
+    """Prepared rows with their position in the series, written once for all queries on the same files. The wide table has a row in some days only, so its blocks are longer."""
+    days, tables = (90, ["lineitem", "events"]) if wide else (1, ["events"])
+
+    def make() -> DataFrame:
+        source = views.wide_ticks(spark, sf_dir) if wide else views.ticks(spark, sf_dir)
+        return prepare.prepare(source, views.label_intervals(spark, sf_dir), MULTIPLIER, seconds=days * blocks.DAY)
+
+    return io.kept(spark, "series", io.input_fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in tables], wide, MULTIPLIER, days), make)
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +34,10 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str, mode: str = "batch") -> DataFrame:
-    """Scored windows, written once for what follows."""
-    return io.settled(scoring.score(scoring.predict_persistence(windows(spark, sf_dir)), SPAN, WINDOW, Z, LEAST_RUN, mode), "scored")
+    """Scored windows, written once for all queries on the same files."""
+    parameters = (MULTIPLIER, INPUTS, HORIZON, SPAN, WINDOW, Z, LEAST_RUN, mode)
+    fingerprint = io.input_fingerprint(spark, [f"{sf_dir}/events.parquet"], *parameters)
+    return io.kept(spark, "scored", fingerprint, lambda: scoring.score(scoring.predict_persistence(windows(spark, sf_dir)), SPAN, WINDOW, Z, LEAST_RUN, mode))
 
 
 def anomaly_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

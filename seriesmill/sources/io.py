@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 import uuid
+from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,19 +81,79 @@ def read_series(spark: SparkSession, path: str, mission_id: str | None = None, c
     return df
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """df, written to a new folder in spark.checkpoint.dir and read from there, so that what follows need not make it again and reads only the columns it uses. Where that is unset, one machine writes to its warehouse, and a cluster, which has no folder in common, makes df again each time."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str | None:
+    """spark.checkpoint.dir, or one machine's warehouse where that is unset; a cluster then has no folder in common."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
-            return df
+            return None
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df, written to a new folder in spark.checkpoint.dir and read from there, so that what follows need not make it again and reads only the columns it uses. Where that is unset, one machine writes to its warehouse, and a cluster, which has no folder in common, makes df again each time."""
+    spark = df.sparkSession
+    base = _shared(spark)
+    if base is None:
+        return df
+    path = f"{base}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _store(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
+
+
+@lru_cache(maxsize=1)
+def _library() -> str:
+    """A digest of the library's own text, as what it makes changes with it."""
+    root = Path(__file__).parent.parent
+    texts = (f"{p.relative_to(root)}\n{p.read_text()}" for p in sorted(root.rglob("*.py")) if "llm" not in p.parts)
+    return hashlib.sha256("\n".join(texts).encode()).hexdigest()
+
+
+def input_fingerprint(spark: SparkSession, paths: list[str], *parameters) -> str:
+    """A digest of the files below the paths (name, size, time of change), of parameters, and of the library: equal only where the same input goes the same way. It reads no file."""
+    found = []
+    for path in paths:
+        store, folder = _store(spark, path)
+        listed = store.listFiles(folder, True)
+        while listed.hasNext():
+            f = listed.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr((sorted(found), parameters, _library())).encode()).hexdigest()
+
+
+def kept(spark: SparkSession, label: str, fingerprint: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of that label and fingerprint, made and written if it is not there yet. It counts as there once it has the writers' mark: it is written under another name and renamed, so neither a lost driver nor a second one leaves half of it. `forget` deletes old ones."""
+    base = _shared(spark)
+    if base is None:
+        return make()
+    path = f"{base}/kept/{label}-{fingerprint}"
+    store, final = _store(spark, path)
+    mark = _store(spark, f"{path}/_SUCCESS")[1]
+    if not store.exists(mark):
+        new = f"{base}/kept/new-{uuid.uuid4().hex}"
+        make().write.parquet(new)
+        store.delete(final, True)
+        if not store.rename(_store(spark, new)[1], final) and not store.exists(mark):
+            raise OSError(f"{new} cannot be renamed to {path}")
+    return spark.read.parquet(path)
+
+
+def forget(spark: SparkSession, seconds: float) -> int:
+    """Delete kept tables that were written longer ago than so many seconds, and what lost drivers have left; how many there were."""
+    base = _shared(spark)
+    if base is None:
+        return 0
+    store, folder = _store(spark, f"{base}/kept")
+    old = [f.getPath() for f in store.listStatus(folder) if f.getModificationTime() < (time.time() - seconds) * 1000] if store.exists(folder) else []
+    return sum(bool(store.delete(path, True)) for path in old)
+
+
 def write_profiles(df: DataFrame, path: str) -> None:
     """Reference profiles by mission and channel; those of the channels present are replaced, others stay."""
     df.repartition(*KEYS).write.partitionBy(*KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
