@@ -75,7 +75,7 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
 def place_faults(df: DataFrame, faults_per_series: int, min_gap: int, tail: int, seed: int = 0, profile: dict | None = None, keys=KEYS, value: str = "value_normalized", before: int = 250, flat: float = 0.01) -> DataFrame:
     """A fault table (keys, type, start, end, magnitude, signal_class) placed at random, the same for one seed and series.
 
-    Faults keep within a segment and off its first row, off lost rows and the last `tail` rows, and apart by min_gap; one at least is tried in the first 60 % and in the rest. A flatline starts only where the variance of the rows before it, up to `before` in its segment, is not under `flat`. Only the extents of usable stretches go to Python, one row of arrays for each series.
+    Faults keep within a segment, at whose end they are cut, and off its first row, off lost rows and the last `tail` rows, and apart by min_gap; one at least is tried in the first 60 % and in the rest. A flatline starts only where the variance of the rows before it, up to `before` in its segment, is not under `flat`. Only the extents of usable stretches go to Python, one row of arrays for each series.
     """
     profile = {**DEFAULTS, "fault_type_weights": WEIGHTS, **(profile or {})}
     usable = df.withColumn("usable", ~F.coalesce(F.col("is_los"), F.lit(False)) if "is_los" in df.columns else F.lit(True))
@@ -108,16 +108,18 @@ def place_faults(df: DataFrame, faults_per_series: int, min_gap: int, tail: int,
                     for _ in range(30):
                         kind = FAULTS[rng.choice(3, p=weights / weights.sum())]
                         a, b = profile[f"{kind}_duration_range"]
-                        size = max(int(rng.integers(a, b + 1)), 2 if kind == "drift" else 1)
+                        least = 2 if kind == "drift" else 1
+                        size = max(int(rng.integers(a, b + 1)), least)
                         magnitude = None if kind == "flatline" else float(rng.uniform(*profile["magnitude_sigma_range"]))
-                        fits = [(max(s, low), min(last, min(e, high) - size)) for s, last, e in starts[kind] if min(last, min(e, high) - size) >= max(s, low)]
+                        fits = [(max(s, low), min(last, e - least, high - 1), e) for s, last, e in starts[kind] if min(last, e - least, high - 1) >= max(s, low)]
                         if not fits:
                             continue
-                        s, e = fits[rng.integers(len(fits))]
-                        start = int(rng.integers(s, e + 1))
-                        if all(start >= y + min_gap or start + size + min_gap <= x for x, y in taken):
-                            taken.append((start, start + size))
-                            out.append({**{key: row[key] for key in keys}, "type": kind, "start": start, "end": start + size, "magnitude": magnitude, "signal_class": profile["signal_class"]})
+                        s, last, e = fits[rng.integers(len(fits))]
+                        start = int(rng.integers(s, last + 1))
+                        end = min(start + size, e)
+                        if all(start >= y + min_gap or end + min_gap <= x for x, y in taken):
+                            taken.append((start, end))
+                            out.append({**{key: row[key] for key in keys}, "type": kind, "start": start, "end": end, "magnitude": magnitude, "signal_class": profile["signal_class"]})
                             break
             yield pd.DataFrame(out, columns=[*keys, "type", "start", "end", "magnitude", "signal_class"])
 
