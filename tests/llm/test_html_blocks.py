@@ -167,3 +167,15 @@ def test_misleading_names(spark):
     print("labelled as by hand:", sum(hits), "of", len(hits))
     # Names weigh more than form: most of these are labelled as their names say, which the README tells.
     assert len(hits) == sum(map(len, MISLEADING)) and sum(hits) >= 5
+
+
+def test_the_sample_is_of_different_pages_however_they_are_dealt(spark, monkeypatch):
+    from seriesmill.llm import html_blocks
+
+    rows = [(k, f"<p>{k}") for k in range(40)] + [(7, "<p>7")] * 300 + [(1, None), (None, "<p>n")]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    for size in (5, 30, 1000):
+        monkeypatch.setattr(html_blocks, "SAMPLE", size)
+        got = html_blocks.sampled(pages, "page_id", "html")
+        assert len(got) == len(set(got)) == min(size, 41) and got == html_blocks.sampled(pages.repartition(7), "page_id", "html")
+    assert html_blocks.sampled(pages.limit(0), "page_id", "html") == []
