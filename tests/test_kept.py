@@ -43,3 +43,17 @@ def test_series_of_two_queries_are_one_table(spark):
     second = tm.series(spark, "/root/testdata/sf0.001")
     assert names() == one and first.inputFiles() == second.inputFiles()
     assert tm.series(spark, "/root/testdata/sf0.001", wide=True).inputFiles() != first.inputFiles()
+
+
+def test_footers_tell_what_a_scan_does_without_reading_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = f"file://{tmp_path}/grid"
+    rows = spark.range(1000).select(F.lit("m").alias("mission_id"), F.concat(F.lit("0"), F.col("id") % 3).alias("channel_id"), (F.col("id") * 7 - 500).alias("bucket_us"), F.col("id").cast("float").alias("value"))
+    rows.repartition(4).write.partitionBy("mission_id", "channel_id").parquet(path)
+    found = io.footer_statistics(spark, path)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(bucket_us), MAX(bucket_us)]" in plan and "PushedGroupBy: [mission_id, channel_id]" in plan
+    scan = rows.groupBy("mission_id", "channel_id").agg(F.count("*"), F.min("bucket_us"), F.max("bucket_us"), F.lit("bucket_us bigint, value float"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, scan.collect()))
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") != "avro,csv,json,kafka,orc,text"
