@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .series import KEYS, micros, series, so_far
+from ..sources.io import settled
+from .series import KEYS, micros, sent_if_small, series, so_far
 
 BLOCK, OWN = "__block", "__own"
 #: Seconds of a block by time, and rows of one by position.
@@ -52,6 +53,16 @@ def running(df: DataFrame, amount: Column, name: str, keys=KEYS, *order) -> Data
     return joined.select(*kept, (F.col(name) + F.col("__before")).alias(name))
 
 
+def by_value(df: DataFrame, value: str, keys, parts: int = 64) -> DataFrame:
+    """A column of the block of each row by its value: up to so many ranges of each key, of about as many rows each, whose ends are written once, so that a task that is run again deals rows out as before."""
+    if parts < 2:
+        return df.withColumn(BLOCK, F.lit(0).cast("bigint"))
+    shares = [k / parts for k in range(1, parts)]
+    ends = settled(df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, shares)).alias("__ends")), "ranges")
+    placed = df.join(sent_if_small(ends), [*keys]).withColumn(BLOCK, F.size(F.filter("__ends", lambda e: e < F.col(value))).cast("bigint"))
+    return placed.drop("__ends")
+
+
 def numbered(df: DataFrame, keys=KEYS, seconds: float = DAY) -> DataFrame:
     """position: the number of each row in its series, from 0."""
     return running(by_time(df, seconds), F.lit(1), "position", keys).withColumn("position", F.col("position") - 1).drop(BLOCK)

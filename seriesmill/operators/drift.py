@@ -8,8 +8,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.features import WINDOWS, feature_frame, names
 from ..functions.series import KEYS, TIE, TIME, series, so_far, whole
+from ..sources.io import settled
 
 FLOOR = 0.001
 
@@ -32,17 +34,22 @@ def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.unpivot([*KEYS], columns, "feature", "x").where("x is not null")
 
 
-def wasserstein(reference: DataFrame, current: DataFrame, keys=(*KEYS, "feature")) -> DataFrame:
+def wasserstein(reference: DataFrame, current: DataFrame, keys=(*KEYS, "feature"), parts: int = 64) -> DataFrame:
     """(keys, score): the area between the two distribution functions over the reference's population deviation (at least 0.001); 0 if a side has no rows.
 
-    Values are counted first, so equal ones are one row; no sample is collected.
+    Values are counted first, so equal ones are one row; no sample is collected. Each key's values are cut into up to so many ranges, which are tasks of their own: sums run within them, and each range gets those of the ones before it and the first value of the next.
     """
     counted = reference.select(*keys, "x", F.lit(1).alias("r"), F.lit(0).alias("c")).union(current.select(*keys, "x", F.lit(0), F.lit(1)))
-    counted = counted.groupBy(*keys, "x").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    order = Window.partitionBy(*keys).orderBy("x")
-    total = Window.partitionBy(*keys)
-    gap = F.abs(F.try_divide(F.sum("r").over(so_far(order)).cast("double"), F.sum("r").over(total)) - F.try_divide(F.sum("c").over(so_far(order)).cast("double"), F.sum("c").over(total)))
-    areas = counted.select(*keys, (gap * (F.lead("x").over(order) - F.col("x"))).alias("area"), "r", "c")
+    counted = settled(counted.groupBy(*keys, "x").agg(F.sum("r").alias("r"), F.sum("c").alias("c")), "values")
+    placed = blocks.by_value(counted, "x", keys, parts)
+    order = blocks.within(keys, "x")
+    ends = placed.groupBy(*keys, blocks.BLOCK).agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.min("x").alias("x"))
+    total, before = Window.partitionBy(*keys), blocks.earlier(keys)
+    carried = [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in ("r", "c")] + [F.sum(n).over(total).alias(f"all_{n}") for n in ("r", "c")]
+    ends = ends.select(*keys, blocks.BLOCK, *carried, F.lead("x").over(blocks.sequence(keys)).alias("next_x"))
+    share = lambda n: F.try_divide((F.sum(n).over(so_far(order)) + F.col(f"before_{n}")).cast("double"), F.col(f"all_{n}"))
+    step = F.coalesce(F.lead("x").over(order), F.col("next_x")) - F.col("x")
+    areas = placed.join(ends, [*keys, blocks.BLOCK]).select(*keys, (F.abs(share("r") - share("c")) * step).alias("area"), "r", "c")
     areas = areas.groupBy(*keys).agg(F.sum("area").alias("area"), F.sum("r").alias("r"), F.sum("c").alias("c"))
     spread = reference.groupBy(*keys).agg(F.stddev_pop("x").alias("spread"))
     joined = areas.join(spread, [*keys], "left")

@@ -109,9 +109,10 @@ def _store(spark: SparkSession, path: str):
 
 @lru_cache(maxsize=1)
 def _library() -> str:
-    """A digest of the library's own text, as what it makes changes with it."""
+    """A digest of the text of the library's batch part, as what it makes changes with it."""
     root = Path(__file__).parent.parent
-    texts = (f"{p.relative_to(root)}\n{p.read_text()}" for p in sorted(root.rglob("*.py")) if "llm" not in p.parts)
+    folders = ("functions", "operators", "plans", "sources")
+    texts = (f"{p.relative_to(root)}\n{p.read_text()}" for folder in folders for p in sorted((root / folder).rglob("*.py")))
     return hashlib.sha256("\n".join(texts).encode()).hexdigest()
 
 

@@ -480,3 +480,15 @@ def test_grids_and_masks_cross_days(spark):
     spans = [(k, len([*g])) for k, g in itertools.groupby(lost)]
     starts = np.cumsum([0, *(n for _, n in spans)])
     assert sorted((r.start, r.end) for r in resample.outage_durations(resample.outage_mask(ticks, step, False), step).collect()) == [(int(s), int(s) + n) for s, (k, n) in zip(starts, spans, strict=False) if k]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_distance_by_ranges_of_values(spark, parts):
+    rng = np.random.default_rng(parts)
+    sides = {("a", "f"): (rng.normal(size=300).round(1), rng.normal(0.4, 1, 200).round(1)), ("a", "g"): (np.full(50, 2.0), np.full(9, 2.0)), ("b", "f"): (np.full(40, 1.0), rng.integers(0, 3, 77) * 1.0), ("b", "g"): (rng.normal(size=20), np.zeros(0))}
+    make = lambda side: spark.createDataFrame([("m", c, f, float(x)) for (c, f), xs in sides.items() for x in xs[side]], "mission_id string, channel_id string, feature string, x double")
+    got = {(r.channel_id, r.feature): r.score for r in drift.wasserstein(make(0), make(1), parts=parts).collect()}
+    for key, (a, b) in sides.items():
+        x = np.sort(np.concatenate((a, b)))
+        gap = np.abs(np.searchsorted(np.sort(a), x[:-1], "right") / len(a) - np.searchsorted(np.sort(b), x[:-1], "right") / max(1, len(b)))
+        assert got[key] == pytest.approx((gap * np.diff(x)).sum() / max(a.std(), 0.001) if len(b) else 0.0, abs=1e-9)
