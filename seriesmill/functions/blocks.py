@@ -53,6 +53,15 @@ def running(df: DataFrame, amount: Column, name: str, keys=KEYS, *order) -> Data
     return joined.select(*kept, (F.col(name) + F.col("__before")).alias(name))
 
 
+def stepped(df: DataFrame, name: str, keys=KEYS, seconds: float = DAY) -> DataFrame:
+    """A column of that name: the microseconds since the row before in the series."""
+    local = by_time(df, seconds).withColumn("__before_us", F.lag(micros()).over(within(keys)))
+    ends = local.groupBy(*keys, BLOCK).agg(F.max(micros()).alias("__end_us"))
+    carries = ends.select(*keys, BLOCK, F.lag("__end_us").over(sequence(keys)).alias("__last_us"))
+    joined = local.join(carries, [*keys, BLOCK])
+    return joined.select(*df.columns, (micros() - F.coalesce("__before_us", "__last_us")).alias(name))
+
+
 def by_value(df: DataFrame, value: str, keys, parts: int = 64) -> DataFrame:
     """A column of the block of each row by its value: up to so many ranges of each key, of about as many rows each, whose ends are written once, so that a task that is run again deals rows out as before."""
     if parts < 2:

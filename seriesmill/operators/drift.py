@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks
 from ..functions.features import WINDOWS, feature_frame, names
+from ..functions.quantiles import quantiles
 from ..functions.series import KEYS, TIE, TIME, series, so_far, whole
 from ..sources.io import settled
 
@@ -84,8 +85,9 @@ def mission_sweep(reference: DataFrame, current: DataFrame, threshold: float = 0
 def quality_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """(keys, feature, n, missing, mean, std, least, q25, median, q75, most) of each column."""
     every = df.unpivot([*KEYS], columns, "feature", "x")
-    percent = [F.percentile("x", p).alias(name) for p, name in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
-    return every.groupBy(*KEYS, "feature").agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), *percent, F.max("x").alias("most"))
+    keys, names = (*KEYS, "feature"), {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    found = every.groupBy(*keys).agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"))
+    return found.join(quantiles(every, "x", names, keys), [*keys], "left").select(*keys, "n", "missing", "mean", "std", "least", *names, "most")
 
 
 def rolling_features(df: DataFrame, value: str = "value_normalized", interval: float = 1.0) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blocks
+from ..functions.quantiles import quantiles
 from ..functions.series import KEYS, TIME, micros, so_far, whole
+from ..sources.io import settled
 from .runs import merge_intervals
 
 
@@ -29,8 +31,9 @@ def _filled(df: DataFrame, value: str, keys, seconds: float) -> DataFrame:
 def _segmented(df: DataFrame, multiplier: float, value: str, keys, seconds: float) -> DataFrame:
     """_filled with is_gap, segment_id and facts of the whole series (mean, std, __first, __last), which are gathered at once."""
     x = F.col(value).cast("double")
-    rows = _filled(df, value, keys, seconds).withColumn("__step", micros() - F.col("__previous_us"))
-    facts = rows.groupBy(*keys).agg(F.median("__step").alias("__median"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.min(micros()).alias("__first"), F.max(micros()).alias("__last"))
+    rows = settled(_filled(df, value, keys, seconds).withColumn("__step", micros() - F.col("__previous_us")), "filled")
+    facts = rows.groupBy(*keys).agg(F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.min(micros()).alias("__first"), F.max(micros()).alias("__last"))
+    facts = facts.join(quantiles(rows, "__step", {"__median": 0.5}, keys), [*keys], "left")
     flagged = rows.join(facts, [*keys]).withColumn("is_gap", F.coalesce(F.col("__step") > F.col("__median") * multiplier, F.lit(False)))
     return blocks.running(flagged, F.col("is_gap").cast("int"), "segment_id", keys).withColumn("segment_id", F.col("segment_id").cast("int"))
 

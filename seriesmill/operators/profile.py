@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import blocks
+from ..functions.quantiles import quantiles
 from ..functions.series import KEYS, TIME, micros, series, whole
+from ..sources.io import settled
 from .resample import resample_to_grid
 
 #: Names of columns, the likeliest first (fixed values).
@@ -49,9 +52,9 @@ def sample_manifest(df: DataFrame) -> DataFrame:
 def mission_report(df: DataFrame) -> DataFrame:
     """One row for each mission: channels, rows, times, and the median step of its first channel, in seconds."""
     total = df.groupBy("mission_id").agg(F.countDistinct("channel_id").alias("n_channels"), F.array_join(F.sort_array(F.collect_set("channel_id")), ",").alias("channels"), F.count("*").alias("n_rows"), F.min(micros()).alias("first_us"), F.max(micros()).alias("last_us"), F.min("channel_id").alias("channel_id"))
-    steps = df.join(total.select(*KEYS), [*KEYS], "left_semi").withColumn("step", micros() - F.lag(micros()).over(series()))
-    median = steps.groupBy("mission_id").agg((F.median("step") / 1e6).alias("median_step_s"))
-    return total.drop("channel_id").join(median, "mission_id")
+    steps = df.join(total.select(*KEYS), [*KEYS], "left_semi")
+    median = quantiles(blocks.stepped(steps, "step"), "step", {"median": 0.5}, ("mission_id",))
+    return total.drop("channel_id").join(median.select("mission_id", (F.col("median") / 1e6).alias("median_step_s")), "mission_id", "left")
 
 
 def channel_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -87,15 +90,17 @@ def skip_reasons(manifest: DataFrame) -> DataFrame:
 def feed_suitability(ticks: DataFrame, seconds: int, lag: int, value: str = "value") -> DataFrame:
     """(keys, n, span_h, median_step_s, largest_gap_s, least, most, std, flat_share, autocorrelation, verdict); the last but one is the correlation of the grid with its copy `lag` buckets before."""
     v = F.col(value).cast("double")
-    raw = ticks.withColumn("step", (micros() - F.lag(micros()).over(series())) / 1e6)
-    raw = raw.groupBy(*KEYS).agg(F.count("*").alias("n"), ((F.max(micros()) - F.min(micros())) / 3.6e9).alias("span_h"), F.median("step").alias("median_step_s"), F.max("step").alias("largest_gap_s"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_samp(v).alias("std"))
+    raw = settled(blocks.stepped(ticks.select(*KEYS, TIME, "tick_id", value), "step").withColumn("step", F.col("step") / 1e6), "steps")
+    median = quantiles(raw, "step", {"median_step_s": 0.5})
+    raw = raw.groupBy(*KEYS).agg(F.count("*").alias("n"), ((F.max(micros()) - F.min(micros())) / 3.6e9).alias("span_h"), F.max("step").alias("largest_gap_s"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_samp(v).alias("std"))
     order = Window.partitionBy(*KEYS).orderBy("bucket_us")
     grid = resample_to_grid(ticks, seconds, value).withColumn("v", v)
     grid = grid.select(*KEYS, "v", F.lag("v", lag).over(order).alias("early"), (F.col("v") - F.lag("v").over(order) == 0).cast("int").alias("zero"))
     shares = grid.groupBy(*KEYS).agg(F.try_divide(F.sum("zero").cast("double"), (F.count("*") - 1).cast("double")).alias("flat_share"), F.corr("v", "early").alias("autocorrelation"))
     a = F.col("autocorrelation")
     verdict = F.when(F.col("n") < 50, "DEAD").when(a.isNull() | (a < 0.55), "WEAK").when(a > 0.8, "STRONG").otherwise("OK")
-    return raw.join(shares, [*KEYS]).withColumn("verdict", verdict)
+    found = raw.join(shares, [*KEYS]).join(median, [*KEYS], "left").withColumn("verdict", verdict)
+    return found.select(*KEYS, "n", "span_h", "median_step_s", "largest_gap_s", "least", "most", "std", "flat_share", "autocorrelation", "verdict")
 
 
 def verdict_counts(verdicts: DataFrame, subsystems: DataFrame) -> DataFrame:

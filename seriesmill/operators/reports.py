@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks
+from ..functions.quantiles import quantiles
 from ..functions.series import KEYS, TIE, TIME, micros, ratio, series, so_far, whole
 from .scoring import flag_anomalies, segment_metrics
 
@@ -37,18 +38,27 @@ def diagnosis_summary(diagnoses: DataFrame) -> DataFrame:
     return every.join(diagnoses.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "left").fillna(0, ["n"])
 
 
+def _long(df: DataFrame, columns) -> DataFrame:
+    """(keys, kind, x): a row for each of some columns, given by name."""
+    return df.select(*KEYS, *(c.cast("double").alias(name) for name, c in columns.items())).unpivot([*KEYS], [*columns], "kind", "x")
+
+
+def _by_kind(df: DataFrame, columns) -> DataFrame:
+    """(keys, columns): for each name the value of (kind, column)."""
+    return df.groupBy(*KEYS).agg(*(F.max(F.when(F.col("kind") == kind, F.col(c))).alias(name) for name, (kind, c) in columns.items()))
+
+
 def error_against_threshold(scored: DataFrame) -> DataFrame:
     """(keys, n_labelled, nominal_error, labelled_error, spike_ratio, labelled_threshold, share_above, verdict): labelled windows; medians of the smoothed error on other and on labelled windows that have a threshold, and how much larger the latter is; the median threshold of the labelled ones, and the share of them above it."""
     known, label = F.col("threshold").isNotNull(), F.col("window_label")
     error = F.col("smoothed")
+    of = {"nominal_error": F.when(known & ~label, error), "labelled_error": F.when(known & label, error), "labelled_threshold": F.when(label, F.col("threshold"))}
+    medians = _by_kind(quantiles(_long(scored, of), "x", {"median": 0.5}, (*KEYS, "kind")), {name: (name, "median") for name in of})
     found = scored.groupBy(*KEYS).agg(
         F.count_if(label).alias("n_labelled"),
-        F.median(F.when(known & ~label, error)).alias("nominal_error"),
-        F.median(F.when(known & label, error)).alias("labelled_error"),
-        F.median(F.when(label, F.col("threshold"))).alias("labelled_threshold"),
         F.coalesce(F.avg(F.when(known & label, (error > F.col("threshold")).cast("double"))), F.lit(0.0)).alias("share_above"),
     )
-    found = found.withColumn("spike_ratio", F.try_divide("labelled_error", "nominal_error"))
+    found = found.join(medians, [*KEYS], "left").withColumn("spike_ratio", F.try_divide("labelled_error", "nominal_error"))
     verdict = F.when(F.col("n_labelled") == 0, "no labelled windows").when(F.col("share_above") > 0.05, "crosses the threshold").when(F.col("spike_ratio") >= 2.0, "rises below the threshold").otherwise("barely rises")
     return found.select(*KEYS, "n_labelled", "nominal_error", "labelled_error", "spike_ratio", "labelled_threshold", "share_above", verdict.alias("verdict"))
 
@@ -73,7 +83,10 @@ def warm_statistics(scored: DataFrame) -> DataFrame:
     """(keys, threshold_min, threshold_median, threshold_max, error_median, error_p99, error_max) of warm windows without labels."""
     warm = scored.where("threshold is not null and not window_label")
     t, e = F.col("threshold"), F.col("smoothed")
-    return warm.groupBy(*KEYS).agg(F.min(t).alias("threshold_min"), F.median(t).alias("threshold_median"), F.max(t).alias("threshold_max"), F.median(e).alias("error_median"), F.percentile(e, 0.99).alias("error_p99"), F.max(e).alias("error_max"))
+    found = quantiles(_long(warm, {"threshold": t, "error": e}), "x", {"median": 0.5, "p99": 0.99}, (*KEYS, "kind"))
+    middle = _by_kind(found, {"threshold_median": ("threshold", "median"), "error_median": ("error", "median"), "error_p99": ("error", "p99")})
+    ends = warm.groupBy(*KEYS).agg(F.min(t).alias("threshold_min"), F.max(t).alias("threshold_max"), F.max(e).alias("error_max"))
+    return ends.join(middle, [*KEYS], "left").select(*KEYS, "threshold_min", "threshold_median", "threshold_max", "error_median", "error_p99", "error_max")
 
 
 def near_misses(scored: DataFrame, arrival: str | None = None, rows: int = blocks.ROWS) -> DataFrame:

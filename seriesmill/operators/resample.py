@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks
+from ..functions.quantiles import quantiles
 from ..functions.series import KEYS, TIME, micros, so_far
+from ..sources.io import settled
 from .runs import find_runs
 
 
@@ -80,8 +82,9 @@ def outage_stats(ticks: DataFrame, seconds: int = 30, lookback_us: int | None =
     if lookback_us is not None:
         newest = ticks.groupBy("mission_id").agg(F.max(micros()).alias("newest"))
         ticks = ticks.join(newest, "mission_id").where(micros() >= F.col("newest") - lookback_us).drop("newest")
-    grouped = outage_durations(outage_mask(ticks, seconds, expand=False), seconds).groupBy("mission_id")
-    found = grouped.agg(F.percentile("duration_s", 0.5).alias("m"), F.percentile("duration_s", 0.9).alias("p"), F.count("*").alias("n_events"))
+    events = settled(outage_durations(outage_mask(ticks, seconds, expand=False), seconds), "outages")
+    counted = events.groupBy("mission_id").agg(F.count("*").alias("n_events"))
+    found = counted.join(quantiles(events, "duration_s", {"m": 0.5, "p": 0.9}, ("mission_id",)), "mission_id", "left")
     enough = F.col("n_events") >= least
     return found.select("mission_id", F.when(enough, F.col("m")).alias("median_s"), F.when(enough, F.col("p")).alias("p90_s"), "n_events")
 
