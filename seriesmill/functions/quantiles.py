@@ -11,11 +11,16 @@ from ..sources.io import settled
 from . import blocks
 from .series import KEYS
 
+#: Different values of all keys that are not worth several ranges.
+ONE_RANGE = 50_000
+
 
 def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], keys=KEYS, parts: int = 64) -> DataFrame:
     """(keys, a column of doubles for each name of shares): the value at share * (n - 1) of each key's n values in order, between two of them in proportion, as `percentile` gives it. Nulls do not count, and NaN is the largest value. Keys without values, or with a null among them, have no row."""
     counts = df.select(*keys, F.col(value).cast("double").alias("__value")).where("__value IS NOT NULL").groupBy(*keys, "__value").agg(F.count("*").alias("__count"))
     counts = settled(counts, "counts")
+    if counts.count() <= ONE_RANGE:
+        parts = 1
     total = counts.groupBy(*keys).agg(F.sum("__count").alias("__n"))
     ranked = blocks.running(blocks.by_value(counts, "__value", keys, parts), F.col("__count"), "__upto", keys, "__value").join(total, [*keys])
     at = {name: F.lit(float(share)) * (F.col("__n") - 1) for name, share in shares.items()}
