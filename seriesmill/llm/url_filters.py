@@ -2,7 +2,7 @@
 
 A host is turned round label by label (`net.example.www.`), so that a rule's host and all its subdomains are one interval of keys; within a rule's host, the urls whose path starts with the rule's are one interval of paths. Intervals of prefixes are nested or apart. So one sorted sweep over keys and interval starts finds, for each key, the last start before it; the rules open there are that start and those around it which have not ended (the stack that each start carries, from which the ended ones are dropped). A sweep over hosts gives the open hosts of each url, and a second one, over paths within them, the open rules.
 
-Both sweeps are dealt out by ranges of keys between splitters, a sample of at most `SPLITTERS` starts; each range begins with a start, so it needs nothing of the one before. Keys between two starts are further dealt out by a hash into `SALTS` shares, with the starts copied to each, so that a hot host or an interval with most of the urls is not one task. The rules may be many; they are never collected.
+Both sweeps are dealt out by ranges of keys between splitters, a sample of at most `SPLITTERS` starts; each range begins with a start, so it needs nothing of the one before. Keys between two starts are further dealt out by a hash into as many shares as the session has shuffle partitions, with the starts copied to each, so that a hot host or an interval with most of the urls is the work of all tasks. The rules may be many; they are never collected, and the starts are made once and written.
 
 Of the rules that fit, the longest (host and path together) wins; of equally long ones that with the longer host, then the first in order; of one host and path with both actions, allow. A url without a fitting rule gets `default`. A null url, or one without `://`, has an empty host and path, which no rule fits. A rule with a null or empty host fits nothing; a null path counts as empty. Repeated rows of pages give repeated results, repeated rules count once. Empty tables give empty results, or all urls the default. Only the named columns are read, so further columns may have any name.
 """
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, materialize
 
-SPLITTERS, SALTS = 256, 16
+SPLITTERS = 256
 
 
 def url_host(url: Column) -> Column:
@@ -41,9 +41,10 @@ def _sweep(points: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     sample = starts.select(key).orderBy(F.xxhash64(key)).limit(SPLITTERS)
     splitters = F.broadcast(sample.agg(F.sort_array(F.collect_list(key)).alias("splitters")))
     columns = [c for c in points.columns if c != key]
-    salt = F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int")
+    shares = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*points.columns), F.lit(shares)).cast("int")
     shared = points.select(*points.columns, salt.alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["open"].dataType).alias("open"))
-    copied = starts.select(*[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in columns], key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), "open")
+    copied = starts.select(*[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in columns], key, F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("salt"), F.lit(0).alias("kind"), "open")
     both = shared.unionByName(copied).join(splitters).withColumn("range", F.size(F.filter("splitters", lambda s: s <= F.col(key)))).drop("splitters")
     order = Window.partitionBy("range", "salt").orderBy(key, "kind").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("open", F.last("open", ignorenulls=True).over(order)).where("kind = 1").drop("kind", "salt", "range")
@@ -60,7 +61,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     outer = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: reversed_host(F.array_join(F.slice(labels, -k, k), ".")))
     hosts = known.select("rule_host", "key").distinct()
     around = hosts.select(F.col("key").alias("inner"), F.explode(outer).alias("key")).join(hosts.select("key"), "key")
-    host_starts = around.groupBy("inner").agg(F.collect_set("key").alias("open")).withColumnRenamed("inner", "key")
+    host_starts = materialize(around.groupBy("inner").agg(F.collect_set("key").alias("open")).withColumnRenamed("inner", "key"), "host-starts")
     swept = _sweep(urls.withColumn("key", F.coalesce(reversed_host(F.col("host")), F.lit(""))), host_starts, "key")
     swept = swept.withColumn("open", F.filter(F.coalesce("open", F.array().cast("array<string>")), lambda start: F.startswith("key", start)))
     none = F.size("open") == 0
@@ -68,7 +69,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
 
     path_prefixes = F.transform(F.sequence(F.lit(0), F.length("rule_path")), lambda k: F.substring("rule_path", F.lit(1), k))
     rule = known.select("key", "rule_path", F.struct(F.concat("rule_host", "rule_path").alias("rule"), "rule_host", "rule_path", "action").alias("value"))
-    path_starts = _starts(rule, ["key"], "rule_path", path_prefixes, "value").select(F.concat("key", F.lit("\0"), "rule_path").alias("place"), "open")
+    path_starts = _starts(rule, ["key"], "rule_path", path_prefixes, "value")
+    path_starts = materialize(path_starts.select(F.concat("key", F.lit("\0"), "rule_path").alias("place"), "open"), "path-starts")
     points = swept.where(~none).select("id", "host", "path", F.size("open").alias("depth"), F.explode("open").alias("node"))
     points = points.select("id", "host", "path", "depth", F.concat("node", F.lit("\0"), "path").alias("place"), "node")
     found = _sweep(points, path_starts, "place")

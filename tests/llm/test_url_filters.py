@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from seriesmill.llm.url_filters import filter_urls
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -34,3 +36,26 @@ def test_equals_brute_force(spark):
     assert len({x[3] for x in want}) > 20
     assert {r.verdict for r in filter_urls(pages, frame.limit(0)).collect()} == {"allow"}
     assert filter_urls(pages.limit(0), frame).count() == 0
+
+
+@pytest.mark.parametrize("partitions", ["1", "61"])
+def test_a_hot_host_in_as_many_shares_as_partitions(spark, partitions):
+    rules = spark.createDataFrame([("hot.org", "/", "block"), ("hot.org", "/a/", "allow"), ("b.hot.org", "/a/b", "block")], "host string, path string, action string")
+    urls = [f"http://{host}/{path}{k}" for k in range(300) for host in ("hot.org", "b.hot.org") for path in ("", "a/", "a/b/")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.id: (r.rule, r.verdict) for r in filter_urls(pages, rules).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, url in enumerate(urls):
+        host, path = url[7:].split("/", 1)
+        if not path.startswith("a/"):
+            want = ("hot.org/", "block")
+        elif host == "b.hot.org" and path.startswith("a/b"):
+            want = ("b.hot.org/a/b", "block")
+        else:
+            want = ("hot.org/a/", "allow")
+        assert got[k] == want, url
+    assert len(got) == len(urls)
