@@ -15,7 +15,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +57,7 @@ def write_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
     for plane in range(planes - 1, -1, -1):
         bits = (values & values.dtype.type(1 << plane)) != 0
         packed = np.packbits(bits, bitorder="little").tobytes()
-        before = np.concatenate(([0], np.cumsum(np.add.reduceat(bits, range(0, n, BLOCK_BITS), dtype=np.int64)))) if n else np.zeros(1, np.int64)
+        before = np.concatenate(([0], np.cumsum([np.count_nonzero(bits[k : k + BLOCK_BITS]) for k in range(0, n, BLOCK_BITS)]))) if n else np.zeros(1, np.int64)
         blocks = [_pack(packed[k : k + BLOCK_BITS // 8]) for k in range(0, len(packed), BLOCK_BITS // 8)]
         offsets = offset + np.concatenate(([0], np.cumsum([len(x) for x in blocks]))).astype("<i8")
         offset = int(offsets[-1])
@@ -167,14 +166,56 @@ class WaveletMatrix:
         return [self.access(i) for i in range(start, end)]
 
 
+#: In lower-cased ASCII, a piece that is not a run of letters: these are cut off where they stand, the leftmost first.
+CUT_OFF = r"'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9\t\n\x0b\x0c\r ]+"
+
+LISTS = pa.large_list(pa.large_string())
+
+
+class Known:
+    """Different strings and their ids, as bytes, which `make` gives for those not yet known. Beyond `most` strings or bytes, only the first ones and those just asked for stay."""
+
+    def __init__(self, make, most: int, first: dict[str, bytes], most_bytes: int = 48 << 20):
+        self.make, self.most, self.most_bytes, self.first = make, most, most_bytes, len(first)
+        self.names, self.ids = pa.array(first.keys(), pa.large_string()), pa.array(first.values(), pa.large_binary())
+
+    def places(self, names: pa.LargeStringArray) -> np.ndarray:
+        """Where in `ids` those of each of these different strings stand."""
+        places = self._known(names)
+        if new := int(np.count_nonzero(places < 0)):
+            if len(self.names) + new > self.most or self.names.nbytes + self.ids.nbytes > self.most_bytes:
+                stay = np.unique(np.concatenate((np.arange(self.first), places[places >= 0])))
+                self.names, self.ids = self.names.take(pa.array(stay)), self.ids.take(pa.array(stay))
+                places = self._known(names)
+            made = names.filter(pa.array(places < 0))
+            places[places < 0] = np.arange(len(self.names), len(self.names) + new)
+            self.names, self.ids = pa.concat_arrays([self.names, made]), pa.concat_arrays([self.ids, self.make(made)])
+        return places
+
+    def _known(self, names: pa.LargeStringArray) -> np.ndarray:
+        """The places of those that are known, else -1. The table that is looked up is made of what is asked for, which mostly is less."""
+        found = pc.index_in(self.names, value_set=names).fill_null(-1).to_numpy()
+        places, here = np.full(len(names), -1), np.flatnonzero(found >= 0)
+        places[found[here]] = here
+        return places
+
+    def joined(self, lists: pa.LargeListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings one after the other, and where those of each list start, with the end."""
+        words = lists.flatten().dictionary_encode()
+        places = self.places(words.dictionary)
+        taken = self.ids.take(pa.array(places[words.indices.to_numpy()]))
+        starts = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        return np.frombuffer(_data(taken), "<u4"), (starts[np.asarray(lists.offsets) - lists.offsets[0].as_py()] - starts[0]) // 4
+
+
 class Encoder:
-    """The library's ids of whole texts. Stretches between ASCII white space, which no piece crosses, are encoded once and remembered; the ids of a batch are then taken from those of its different stretches."""
+    """The library's ids of whole texts. Stretches between ASCII white space, which no piece crosses, are encoded once and remembered, and so are the normalised pieces they are cut into; the ids of a batch are then taken from those of its different stretches."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.cut, self.most = word_pieces(path), most
+        self.cut = word_pieces(path)
         # The same model for words that are known to be normalised pieces: nothing is left but to cut them apart, and to name their bytes where these are not printable ASCII.
         cut_apart, name_bytes = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.plain = Tokenizer.from_str(json.dumps(self.cut.config | {"normalizer": None, "pre_tokenizer": cut_apart}))
@@ -182,65 +223,80 @@ class Encoder:
         vocabulary = self.cut.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.special = {"": b"", **{s: struct.pack("<I", i) for s, i in self.cut.special.items()}}
-        self.known = dict(self.special)
+        self.pieces = Known(self.piece_ids, most, {"": b""})
+        self.chunks = Known(self.chunk_ids, most, {"": b"", **{s: struct.pack("<I", i) for s, i in self.cut.special.items()}})
 
-    def alone(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.cut.library.encode_batch_fast(chunks, add_special_tokens=False)]
+    def alone(self, chunks: list[str]) -> pa.LargeBinaryArray:
+        return pa.array([np.array(x.ids, "<u4").tobytes() for x in self.cut.library.encode_batch_fast(chunks, add_special_tokens=False)], pa.large_binary())
 
-    def together(self, pieces: list[str]) -> list[bytes]:
+    def together(self, pieces: list[str]) -> pa.LargeBinaryArray:
         """The ids of normalised pieces: all go to the library in one text, whose ids are cut at the tokens that end a piece."""
         text = " ".join(pieces)
         library = self.plain if text.isascii() and text.isprintable() else self.normal
         flat = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        raw, ends = flat.tobytes(), ((np.flatnonzero(self.ends_word[flat]) + 1) * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("ids do not end with the pieces")
+        return _binaries(flat, np.concatenate(([0], ends)))
+
+    def piece_ids(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        ascii_ones, out, order = pc.string_is_ascii(pieces).to_numpy(zero_copy_only=False), [], []
+        for mask in (ascii_ones, ~ascii_ones):
+            order.append(np.flatnonzero(mask))
+            wanted = _strings(pieces.filter(pa.array(mask)))
+            out += [self.together(wanted[k : k + 1000]) for k in range(0, len(wanted), 1000)]
+        return pa.concat_arrays(out).take(pa.array(np.argsort(np.concatenate(order))))
+
+    def chunk_ids(self, chunks: pa.LargeStringArray) -> pa.LargeBinaryArray:
         """The ids of each stretch: it is cut into normalised pieces, which many share; stretches outside of the blocks for which that is done here go to the library alone."""
+        ascii_ones = pc.string_is_ascii(chunks)
         find, normal, inside = self.cut.pattern.findall, self.cut.normal, KNOWN.fullmatch
-        parts = [((c.lower(),) if c.isalpha() else find(c.lower())) if c.isascii() else find(normal(c)) if inside(c) else None for c in chunks]
-        new = [*{*chain.from_iterable(filter(None, parts))}.difference(self.pieces)]
-        if len(self.pieces) + len(new) > self.most:
-            self.pieces.clear()
-            new = [*{*chain.from_iterable(filter(None, parts))}]
-        ascii_ones = [p for p in new if p.isascii() and p.isprintable()]
-        for wanted in (ascii_ones, [*{*new}.difference(ascii_ones)]):
-            for k in range(0, len(wanted), 1000):
-                self.pieces.update(zip(wanted[k : k + 1000], self.together(wanted[k : k + 1000]), strict=True))
-        rest = iter(self.alone([c for c, p in zip(chunks, parts, strict=True) if p is None]))
-        piece = self.pieces.__getitem__
-        return [next(rest) if p is None else piece(p[0]) if len(p) == 1 else b"".join(map(piece, p)) for p in parts]
+        others = _strings(chunks.filter(pc.invert(ascii_ones)))
+        parts = [find(normal(c)) if inside(c) else None for c in others]
+        lone = [c for c, p in zip(others, parts, strict=True) if p is None]
+        cut = pa.concat_arrays([_cut_ascii(pc.ascii_lower(chunks.filter(ascii_ones))), pa.array([p for p in parts if p is not None], LISTS)])
+        out = [_binaries(*self.pieces.joined(cut))] + [self.alone(lone)] * bool(lone)
+        # Of those of `out`: ASCII ones, others in the known blocks, and those encoded alone.
+        kind = np.zeros(len(chunks), np.int8)
+        kind[~ascii_ones.to_numpy(zero_copy_only=False)] = [2 if p is None else 1 for p in parts]
+        return pa.concat_arrays(out).take(pa.array(np.argsort(np.argsort(kind, kind="stable"))))
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each followed by end_id if one is given, and the number of ids of each text."""
-        texts = pc.fill_null(texts, "")
-        # Lower-cased beforehand, ASCII texts have fewer different stretches. Special strings are lower-case only, so texts that may hold one stay as they are.
-        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
-        texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
-        if pc.any(marked := pc.match_substring(texts, "<|")).as_py():
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        # Lower-cased and cut into pieces beforehand, ASCII texts have fewer different stretches. Special strings are lower-case only, so texts that may hold one stay as they are.
+        marked = pc.match_substring(texts, "<|")
+        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(marked))
+        if pc.any(plain).as_py():
+            texts = pc.replace_with_mask(texts, plain, _spaced_ascii(pc.ascii_lower(texts.filter(plain))))
+        if pc.any(marked).as_py():
             spaced = [self.cut.special_pattern.sub(r" \1 ", x) for x in texts.filter(marked).to_pylist()]
             texts = pc.replace_with_mask(texts, marked, pa.array(spaced, texts.type))
-        chunks = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        words = chunks.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        known = self.known
-        new = [c for c in names if c not in known]
-        if len(known) + len(new) > self.most:
-            known = self.known = dict(self.special)
-            new = [c for c in names if c not in known]
-        for k in range(0, len(new), 20_000):
-            known.update(zip(new[k : k + 20_000], self.chunk_ids(new[k : k + 20_000]), strict=True))
-        taken = pa.array([known[c] for c in names], pa.large_binary()).take(words.indices)
-        ids = np.frombuffer(_data(taken), "<u4")
-        until = np.concatenate(([0], np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False)))) // 4
-        lengths = np.diff(until[np.asarray(chunks.offsets) - chunks.offsets[0].as_py()])
+        ids, starts = self.chunks.joined(pc.ascii_split_whitespace(texts).cast(LISTS))
+        lengths = np.diff(starts)
         if end_id is not None:
             ids, lengths = np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
         return ids, lengths
 
 
+def _spaced_ascii(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """Lower-cased ASCII texts with spaces between their pieces."""
+    return pc.replace_substring_regex(texts, CUT_OFF, r" \0 ")
+
+
+def _cut_ascii(texts: pa.LargeStringArray) -> pa.LargeListArray:
+    return pc.ascii_split_whitespace(_spaced_ascii(texts)).cast(LISTS)
+
+
+def _strings(values: pa.LargeStringArray) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _binaries(ids: np.ndarray, starts: np.ndarray) -> pa.LargeBinaryArray:
+    """The bytes of ids between each start and the next."""
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer((starts * 4).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+
+
 def _data(values: pa.LargeBinaryArray) -> memoryview:
     """The bytes of all values, one after the other."""
     offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]

@@ -41,6 +41,28 @@ def test_encoder_equals_the_library():
     assert [len(x) for x in slices(pa.record_batch({"id": [1] * 7, "text": ["aaaa", "bbb", None, "c" * 50, "", "dd", "e"]}), 8)] == [3, 1, 3]
 
 
+def test_encoder_of_odd_batches_equals_the_library():
+    library, rng = Tokenizer.from_file(PATH), np.random.default_rng(3)
+    marks = ["'", "'s", "'RE", "''ll", "\x00", "\x1c", "\x1f", "\x7f", "\x0b", "\x0c", "\n", " ", "  ", "!", "<", "<|", "|>", "\\0", "9", "Ab", "x", "don't", "</w>"]
+    ascii_only = ["".join(rng.choice(marks, rng.integers(1, 12))) for _ in range(400)]
+    batches = [[], [""], [None, None], ["  \n"], ["ａｂ ก็"], ["é"], ["'s"], ["<|endoftext|>"], ["<|EndOfText|> <|endoftext|>x"], ascii_only, [x + "é’" + y for x, y in zip(ascii_only, ascii_only[1:], strict=False)]]
+    for most in (3, 1000):
+        own = Encoder(PATH, most=most)
+        for rows in batches * 2:
+            ids, lengths = own.encode(pa.array(rows, pa.string()))
+            want = [library.encode(row or "", add_special_tokens=False).ids for row in rows]
+            assert lengths.tolist() == [*map(len, want)] and ids.tolist() == [i for x in want for i in x], (most, rows[:3])
+
+
+def test_common_words_go_to_the_library_once():
+    own, sent = Encoder(PATH, most=60), []
+    together = own.together
+    own.together = lambda pieces: sent.extend(pieces) or together(pieces)
+    for k in range(20):
+        own.encode(pa.array(["The end, (the) END. " + " ".join(f"{'abcdefghij'[k // 2]}{'xy'[k % 2]}{'klmnopqrst'[i]}q" for i in range(10))]))
+    assert sent.count("the") == sent.count("end") == 1 and len({*sent}) == 206
+
+
 def test_repeated_ids_keep_every_row(spark, tmp_path):
     docs = spark.createDataFrame([(5, "again and again")] * 40 + [(5, "other"), (4, "before"), (6, "after")], "doc_id long, text string").repartition(6)
     write_token_shards(docs, PATH, f"file://{tmp_path}/r", shard_tokens=10)
