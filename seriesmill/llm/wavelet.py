@@ -166,9 +166,10 @@ class WaveletMatrix:
         return [self.access(i) for i in range(start, end)]
 
 
-#: In lower-cased ASCII, a piece that is not a run of letters: these are cut off where they stand, the leftmost first.
-CUT_OFF = r"'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9\t\n\x0b\x0c\r ]+"
-
+#: In lower-cased ASCII, pieces that hold no letter or digit, and contractions: these are cut off where they stand, the leftmost first.
+CUT_OFF = r"'s|'t|'re|'ve|'m|'ll|'d|[^a-z0-9\t\n\x0b\x0c\r ]+"
+#: And single digits, which are pieces too. Whole texts are not cut at these, so a number is one stretch.
+CUT_DIGITS = CUT_OFF + "|[0-9]"
 LISTS = pa.large_list(pa.large_string())
 
 
@@ -195,7 +196,7 @@ class Known:
     def _known(self, names: pa.LargeStringArray) -> np.ndarray:
         """The places of those that are known, else -1. The table that is looked up is made of what is asked for, which mostly is less."""
         found = pc.index_in(self.names, value_set=names).fill_null(-1).to_numpy()
-        places, here = np.full(len(names), -1), np.flatnonzero(found >= 0)
+        places, here = np.full(len(names), -1, np.int32), np.flatnonzero(found >= 0)
         places[found[here]] = here
         return places
 
@@ -254,7 +255,7 @@ class Encoder:
         others = _strings(chunks.filter(pc.invert(ascii_ones)))
         parts = [find(normal(c)) if inside(c) else None for c in others]
         lone = [c for c, p in zip(others, parts, strict=True) if p is None]
-        cut = pa.concat_arrays([_cut_ascii(pc.ascii_lower(chunks.filter(ascii_ones))), pa.array([p for p in parts if p is not None], LISTS)])
+        cut = pa.concat_arrays([pc.ascii_split_whitespace(_spaced(pc.ascii_lower(chunks.filter(ascii_ones)), CUT_DIGITS)).cast(LISTS), pa.array([p for p in parts if p is not None], LISTS)])
         out = [_binaries(*self.pieces.joined(cut))] + [self.alone(lone)] * bool(lone)
         # Of those of `out`: ASCII ones, others in the known blocks, and those encoded alone.
         kind = np.zeros(len(chunks), np.int8)
@@ -264,11 +265,11 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each followed by end_id if one is given, and the number of ids of each text."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        # Lower-cased and cut into pieces beforehand, ASCII texts have fewer different stretches. Special strings are lower-case only, so texts that may hold one stay as they are.
+        # Lower-cased and cut beforehand, ASCII texts have fewer different stretches. Special strings are lower-case only, so texts that may hold one stay as they are.
         marked = pc.match_substring(texts, "<|")
         plain = pc.and_(pc.string_is_ascii(texts), pc.invert(marked))
         if pc.any(plain).as_py():
-            texts = pc.replace_with_mask(texts, plain, _spaced_ascii(pc.ascii_lower(texts.filter(plain))))
+            texts = pc.replace_with_mask(texts, plain, _spaced(pc.ascii_lower(texts.filter(plain)), CUT_OFF))
         if pc.any(marked).as_py():
             spaced = [self.cut.special_pattern.sub(r" \1 ", x) for x in texts.filter(marked).to_pylist()]
             texts = pc.replace_with_mask(texts, marked, pa.array(spaced, texts.type))
@@ -279,13 +280,9 @@ class Encoder:
         return ids, lengths
 
 
-def _spaced_ascii(texts: pa.LargeStringArray) -> pa.LargeStringArray:
-    """Lower-cased ASCII texts with spaces between their pieces."""
-    return pc.replace_substring_regex(texts, CUT_OFF, r" \0 ")
-
-
-def _cut_ascii(texts: pa.LargeStringArray) -> pa.LargeListArray:
-    return pc.ascii_split_whitespace(_spaced_ascii(texts)).cast(LISTS)
+def _spaced(texts: pa.LargeStringArray, pattern: str) -> pa.LargeStringArray:
+    """Texts with spaces around all matches."""
+    return pc.replace_substring_regex(texts, pattern, r" \0 ")
 
 
 def _strings(values: pa.LargeStringArray) -> list[str]:
