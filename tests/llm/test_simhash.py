@@ -75,3 +75,30 @@ def test_maps_at_any_depth_are_hashed_by_content(spark):
     assert hashes[0] == hashes[1] and len(set(hashes)) == 4
     kept = without_near_duplicates(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 3}
+
+
+def test_no_exploded_table_is_broadcast(spark, monkeypatch):
+    from seriesmill.llm import components, simhash
+
+    plans, write = [], simhash.materialize
+
+    def watched(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", watched)
+    monkeypatch.setattr(components, "materialize", watched)
+    rng = random.Random(1)
+    prints = [(rng.getrandbits(63) ^ 1 << rng.randrange(20),) for _ in range(50)]
+    link_fingerprints(spark.createDataFrame(prints, "fp long")).collect()
+
+    depth = lambda line: re.search(r"[^ :+-]", line).start()
+    exploded = 0
+    for plan in plans:
+        lines = [x for x in plan.splitlines() if x.strip(" :+-")]
+        exploded += sum("Generate explode" in x for x in lines)
+        for k, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                end = next((m for m in range(k + 1, len(lines)) if depth(lines[m]) <= depth(line)), len(lines))
+                assert not any("Generate explode" in x for x in lines[k:end]), "\n".join(lines[k:end])
+    assert exploded >= 5
