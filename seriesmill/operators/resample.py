@@ -77,14 +77,16 @@ def outage_durations(mask: DataFrame, seconds: int = 30) -> DataFrame:
     return runs.withColumn("duration_s", (F.col("end") - F.col("start")) * seconds)
 
 
-def outage_stats(ticks: DataFrame, seconds: int = 30, lookback_us: int | None = None, least: int = 3) -> DataFrame:
-    """(mission_id, median_s, p90_s, n_events) of outages, from the mask without widening; null medians below `least` events."""
+def outage_stats(ticks: DataFrame, seconds: int = 30, lookback_us: int | None = None, least: int = 3, missions: DataFrame | None = None) -> DataFrame:
+    """(mission_id, median_s, p90_s, n_events) of outages, from the mask without widening, for each mission with ticks, or each of `missions`; null medians below `least` events, 0 events where there is no outage."""
+    missions = (ticks if missions is None else missions).select("mission_id").where("mission_id IS NOT NULL").distinct()
     if lookback_us is not None:
         newest = ticks.groupBy("mission_id").agg(F.max(micros()).alias("newest"))
         ticks = ticks.join(newest, "mission_id").where(micros() >= F.col("newest") - lookback_us).drop("newest")
     events = settled(outage_durations(outage_mask(ticks, seconds, expand=False), seconds), "outages")
     counted = events.groupBy("mission_id").agg(F.count("*").alias("n_events"))
-    found = counted.join(quantiles(events, "duration_s", {"m": 0.5, "p": 0.9}, ("mission_id",)), "mission_id", "left")
+    found = missions.join(counted, "mission_id", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("bigint")))
+    found = found.join(quantiles(events, "duration_s", {"m": 0.5, "p": 0.9}, ("mission_id",)), "mission_id", "left")
     enough = F.col("n_events") >= least
     return found.select("mission_id", F.when(enough, F.col("m")).alias("median_s"), F.when(enough, F.col("p")).alias("p90_s"), "n_events")
 

@@ -334,7 +334,9 @@ def los_durations(spark, sf_dir):
 
 @register(f"WITH {LOST} SELECT quantile_cont(duration_s, 0.5)::DOUBLE AS median_s, quantile_cont(duration_s, 0.9)::DOUBLE AS p90_s, count(*) AS n_events FROM ld")
 def los_statistics(spark, sf_dir):
-    return resample.outage_stats(views.ticks(spark, sf_dir), 300)
+    # One row even of no ticks, as an aggregate over all gives it.
+    mission = spark.range(1).select(F.lit(views.MISSION).alias("mission_id"))
+    return resample.outage_stats(views.ticks(spark, sf_dir), 300, missions=mission)
 
 
 @register(f"WITH {TICKS}, k AS (SELECT us AS lost_us, lead(us) OVER (ORDER BY us) AS recovered_us FROM t) SELECT * FROM k WHERE recovered_us - lost_us > 1200000000")

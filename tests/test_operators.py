@@ -132,6 +132,17 @@ def test_outage_statistics(spark):
     assert sorted(r.lost_us for r in resample.silences(df, 60).collect()) == [int((START + timedelta(seconds=s) - datetime(1970, 1, 1)).total_seconds() * 1e6) for s in (85, 235, 385)]
 
 
+def test_outage_statistics_without_outages(spark, tmp_path):
+    whole = frame(spark, [(t, 1.0) for t in range(0, 540, 5)], "value float")
+    none = {"mission_id": "m", "median_s": None, "p90_s": None, "n_events": 0}
+    assert [r.asDict() for r in resample.outage_stats(whole, 30).collect()] == [none]
+    assert resample.outage_stats(whole.limit(0), 30).count() == 0
+    events = spark.range(0, 2000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    for name, rows in (("whole", events), ("empty", events.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/events.parquet")
+        assert [tuple(r) for r in queries.QUERIES["los_statistics"](spark, f"{tmp_path}/{name}").collect()] == [(None, None, 0)]
+
+
 def test_runs(spark):
     df = positioned(spark, [True, True, False, None, True], "flag boolean")
     assert sorted((r.start, r.end) for r in runs.find_runs(df, "flag").collect()) == [(0, 2), (4, 5)]
