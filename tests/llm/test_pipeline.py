@@ -16,7 +16,7 @@ from seriesmill.llm.secrets import MARK
 from seriesmill.llm.simhash import without_near_duplicates
 
 from .test_secrets import brute as brute_spans
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_components, brute_fingerprint, exploded_and_sent, watch_plans
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,6 +52,14 @@ def test_odd_rows_and_columns(spark, tmp_path):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_no_exploded_table_is_broadcast(spark, monkeypatch):
+    plans = watch_plans(monkeypatch)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SMALL)
+    found = [exploded_and_sent(x) for x in [*plans, out._jdf.queryExecution().executedPlan().toString()]]
+    assert sum(n for n, _ in found) >= 5 and not any(sent for _, sent in found)
+
+
 def test_rows_of_one_id_are_judged_in_their_own_groups(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(50)) for _ in range(60)) for _ in range(4)]
